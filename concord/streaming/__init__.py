@@ -1,0 +1 @@
+"""No streaming operators: the work rebuilt here is batch only (see README)."""
