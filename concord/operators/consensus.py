@@ -1,15 +1,17 @@
-"""Majority, agreement and divergence over the long vote table.
+"""Majority, agreement and divergence of votes.
 
-Every per-item step is an aggregation with map-side combining, so no operator
-ever gathers the rows of an item, label or voter in one task. Rates over *all*
-records take their denominator from the record listing, one row per record.
+Three frames build on each other: ``votes`` (long or wide), the *consensus*
+(one row per item: ``majority, top_votes, n_votes, n_labels``) and the *judged*
+votes (one row per vote: its item's consensus and ``n_label``, the voters that
+gave the same label). Rates over *all* records take their denominator from the
+record listing, one row per record.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from concord.functions import fixed_values as fixed
@@ -22,24 +24,16 @@ def record_count(listing: DataFrame) -> Column:
     return listing.agg(F.count(F.lit(1)).alias("n")).scalar()
 
 
-def label_counts(votes: DataFrame) -> DataFrame:
-    """Votes per (item, label); items without a valid vote keep one row with count 0."""
-    return votes.groupBy(ITEM, LABEL).agg(F.count(LABEL).alias("n"), F.min(MODEL).alias("first_model"))
-
-
 def consensus(votes: DataFrame, tie: str = "label") -> DataFrame:
     """Per item: majority label, its votes, all valid votes and distinct labels.
 
     Ties go to the smallest label, or with ``tie="first_model"`` to the label
     whose earliest voter, by name, comes first. Without a valid vote the label
-    is null and the counts are 0.
+    is null and the counts are 0. Two aggregations with map-side combining.
     """
-    if tie == "label":
-        counts = votes.groupBy(ITEM, LABEL).agg(F.count(LABEL).alias("n"))
-        best = F.min(F.struct(-F.col("n"), F.col(LABEL)))
-    else:
-        counts = label_counts(votes)
-        best = F.min(F.struct(-F.col("n"), F.col("first_model"), F.col(LABEL)))
+    first = [F.min(MODEL).alias("first")] if tie == "first_model" else []
+    counts = votes.groupBy(ITEM, LABEL).agg(F.count(LABEL).alias("n"), *first)
+    best = F.min(F.struct(-F.col("n"), *(["first"] if first else []), LABEL))
     return (
         counts.groupBy(ITEM)
         .agg(
@@ -52,6 +46,66 @@ def consensus(votes: DataFrame, tie: str = "label") -> DataFrame:
     )
 
 
+def with_consensus(wide: DataFrame, voters: Sequence[str], tie: str = "label") -> DataFrame:
+    """The wide table with each item's consensus beside it: row by row, nothing is moved."""
+    labels = F.filter(F.array(*voters), lambda x: x.isNotNull())
+
+    def ranked(label: Column) -> Column:
+        votes = F.size(F.filter("_labels", lambda x: x == label)).alias("n")
+        order = [F.array_position("_labels", label).alias("first")] if tie == "first_model" else []
+        return F.struct((-votes).alias("n"), *order, label.alias(LABEL))
+
+    best = F.col("_best")
+    return (
+        wide.withColumn("_labels", labels)
+        .withColumn("_distinct", F.array_distinct("_labels"))
+        .withColumn("_best", F.array_min(F.transform("_distinct", ranked)))
+        .select(
+            *wide.columns,
+            best[LABEL].alias("majority"),
+            F.coalesce(-best["n"], F.lit(0)).cast("bigint").alias("top_votes"),
+            F.size("_labels").cast("bigint").alias("n_votes"),
+            F.size("_distinct").cast("bigint").alias("n_labels"),
+        )
+    )
+
+
+def judge(votes: DataFrame, tie: str = "label") -> DataFrame:
+    """Judged votes from the long table, for any number of voters.
+
+    One shuffle and one sort for all columns. (item, model) is unique, so a
+    window holds no more rows than there are voters.
+    """
+    own = Window.partitionBy(ITEM)
+    peers = own.orderBy(LABEL).rangeBetween(Window.currentRow, Window.currentRow)
+    order = [F.min(MODEL).over(peers).alias("first")] if tie == "first_model" else []
+    ranked = votes.withColumn("n_label", F.count(LABEL).over(peers)).withColumn(
+        "_rank", F.struct((-F.col("n_label")).alias("n"), *order, F.col(LABEL))
+    )
+    return (
+        ranked.withColumn("_best", F.min("_rank").over(own))
+        .withColumn("n_votes", F.count(LABEL).over(own))
+        .select(
+            *votes.columns,
+            "n_label",
+            F.col("_best")[LABEL].alias("majority"),
+            (-F.col("_best.n")).alias("top_votes"),
+            "n_votes",
+        )
+    )
+
+
+def judge_wide(wide: DataFrame, voters: Sequence[str], tie: str = "label") -> DataFrame:
+    """Judged votes from the wide table; no shuffle, no join."""
+    cells = [F.struct(F.lit(v).alias(MODEL), F.col(v).alias(LABEL)) for v in voters]
+    keep = ["majority", "top_votes", "n_votes"]
+    rows = with_consensus(wide, voters, tie).select(
+        ITEM, *keep, F.array(*voters).alias("_labels"), F.explode(F.array(*cells)).alias("cell")
+    )
+    same = F.size(F.filter("_labels", lambda x: x == F.col("cell")[LABEL])).cast("bigint")
+    return rows.select(ITEM, "cell.*", F.when(F.col("cell")[LABEL].isNotNull(), same).otherwise(0).alias("n_label"), *keep)
+
+
 def label_frequency(votes: DataFrame) -> DataFrame:
     return votes.dropna(subset=[LABEL]).groupBy(MODEL, LABEL).agg(F.count(F.lit(1)).alias("n"))
 
@@ -91,33 +145,26 @@ def top_class_share(votes: DataFrame, listing: DataFrame) -> DataFrame:
 
 
 def agreement_rates(
-    votes: DataFrame, listing: DataFrame, strong: int = 7, majority: int = 5, full_min_votes: int = 1
+    cons: DataFrame, listing: DataFrame, strong: int = 7, majority: int = 5, full_min_votes: int = 1
 ) -> DataFrame:
     """Full, strong and majority agreement in percent of all records, and mean top vote count.
 
     Full means one distinct label among at least ``full_min_votes`` votes.
     """
     full = (F.col("n_labels") == 1) & (F.col("n_votes") >= full_min_votes)
-    total = record_count(listing)
-
-    def percent(hit: Column) -> Column:
-        return F.lit(100.0) * F.count_if(hit) / F.first(F.col("total"))
+    counts = cons.agg(
+        F.count_if(full).alias("full"),
+        F.count_if(F.col("top_votes") >= strong).alias("strong"),
+        F.count_if(F.col("top_votes") >= majority).alias("majority"),
+        F.sum("top_votes").alias("votes"),
+    ).withColumn("total", record_count(listing))
+    percent = [(F.lit(100.0) * F.col(c) / F.col("total")).alias(f"{c}_pct") for c in ("full", "strong", "majority")]
+    return counts.select(*percent, (F.col("votes") / F.col("total")).alias("mean_votes"))
 
-    return (
-        consensus(votes)
-        .withColumn("total", total)
-        .agg(
-            percent(full).alias("full_pct"),
-            percent(F.col("top_votes") >= strong).alias("strong_pct"),
-            percent(F.col("top_votes") >= majority).alias("majority_pct"),
-            (F.sum("top_votes") / F.first("total")).alias("mean_votes"),
-        )
-    )
 
-
-def majority_distribution(votes: DataFrame, n: int = 15) -> DataFrame:
+def majority_distribution(cons: DataFrame, n: int = 15) -> DataFrame:
     """Records per majority label, the ``n`` largest."""
-    counts = consensus(votes).dropna(subset=["majority"]).groupBy("majority").agg(F.count(F.lit(1)).alias("n"))
+    counts = cons.dropna(subset=["majority"]).groupBy("majority").agg(F.count(F.lit(1)).alias("n"))
     return counts.orderBy(F.desc("n"), "majority").limit(n)
 
 
@@ -129,12 +176,11 @@ def _share(denominator: str | int) -> Column:
 
 
 def category_consensus(
-    votes: DataFrame, n: int = 15, denominator: str | int = "valid", min_items: int = 0
+    cons: DataFrame, n: int = 15, denominator: str | int = "valid", min_items: int = 0
 ) -> DataFrame:
     """Mean consensus percent per majority label with at least ``min_items`` records, best ``n``."""
     return (
-        consensus(votes)
-        .dropna(subset=["majority"])
+        cons.dropna(subset=["majority"])
         .groupBy("majority")
         .agg((F.avg(_share(denominator)) * 100.0).alias("consensus_pct"), F.count(F.lit(1)).alias("n_items"))
         .filter(F.col("n_items") >= min_items)
@@ -163,9 +209,9 @@ def _tally(keyed: DataFrame, key: str, without_vote: object, listing: DataFrame,
     return total if keys else total.filter("n > 0")
 
 
-def consensus_histogram(votes: DataFrame, listing: DataFrame) -> DataFrame:
+def consensus_histogram(cons: DataFrame, listing: DataFrame) -> DataFrame:
     """Records per number of agreeing voters; 0 for records without a valid vote."""
-    return _tally(consensus(votes).select("top_votes"), "top_votes", 0, listing)
+    return _tally(cons.select("top_votes"), "top_votes", 0, listing)
 
 
 def _bin(value: Column, edges: Sequence[float], names: Sequence[str], right: bool) -> Column:
@@ -173,59 +219,54 @@ def _bin(value: Column, edges: Sequence[float], names: Sequence[str], right: boo
     return F.coalesce(*[F.when(hit, F.lit(name)) for hit, name in zip(inside, names)])
 
 
-def consensus_bins(votes: DataFrame, listing: DataFrame) -> DataFrame:
+def consensus_bins(cons: DataFrame, listing: DataFrame) -> DataFrame:
     """Records per consensus share in five bins closed on the left; no vote counts as share 0."""
     names = fixed.CONSENSUS_BINS
-    binned = consensus(votes).select(_bin(_share("valid"), fixed.CONSENSUS_EDGES, names, right=False).alias("bin"))
+    binned = cons.select(_bin(_share("valid"), fixed.CONSENSUS_EDGES, names, right=False).alias("bin"))
     return _tally(binned, "bin", names[0], listing, names)
 
 
-def agreement_bins(votes: DataFrame, listing: DataFrame, n_voters: int) -> DataFrame:
+def agreement_bins(cons: DataFrame, listing: DataFrame, n_voters: int) -> DataFrame:
     """Records per agreement percent of all voters in three bins closed on the right."""
     names = fixed.AGREEMENT_BINS
     percent = _share(n_voters) * 100.0
-    binned = consensus(votes).select(_bin(percent, fixed.AGREEMENT_EDGES, names, right=True).alias("bin"))
+    binned = cons.select(_bin(percent, fixed.AGREEMENT_EDGES, names, right=True).alias("bin"))
     return _tally(binned, "bin", names[0], listing, names)
 
 
-def unanimity(votes: DataFrame) -> DataFrame:
+def unanimity(cons: DataFrame) -> DataFrame:
     """Unanimous (more than one vote), Majority (over half) and Minority records."""
     level = (
         F.when((F.col("top_votes") == F.col("n_votes")) & (F.col("n_votes") > 1), F.lit("Unanimous"))
         .when(F.col("top_votes") * 2 > F.col("n_votes"), F.lit("Majority"))
         .otherwise(F.lit("Minority"))
     )
-    counts = consensus(votes).filter("n_votes > 0").groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n"))
+    counts = cons.filter("n_votes > 0").groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n"))
     names = [("Unanimous", 0), ("Majority", 0), ("Minority", 0)]
-    zero = votes.sparkSession.createDataFrame(names, "level string, n bigint")
+    zero = cons.sparkSession.createDataFrame(names, "level string, n bigint")
     return counts.unionByName(zero).groupBy("level").agg(F.sum("n").alias("n"))
 
 
-def unique_vote(votes: DataFrame, listing: DataFrame) -> DataFrame:
+def _share_of_records(judged: DataFrame, hit: Column, listing: DataFrame, name: str) -> DataFrame:
+    counts = judged.groupBy(MODEL).agg(F.count_if(hit).alias("n"))
+    return counts.select(MODEL, (F.lit(100.0) * F.col("n") / record_count(listing)).alias(name))
+
+
+def unique_vote(judged: DataFrame, listing: DataFrame) -> DataFrame:
     """Percent of all records where a voter alone gave its label."""
-    alone = label_counts(votes).filter("n = 1").groupBy(F.col("first_model").alias(MODEL)).agg(
-        F.count(F.lit(1)).alias("n")
-    )
-    zero = votes.select(MODEL, F.lit(0).cast("bigint").alias("n")).distinct()
-    return (
-        alone.unionByName(zero)
-        .groupBy(MODEL)
-        .agg(F.sum("n").alias("n"))
-        .select(MODEL, (F.lit(100.0) * F.col("n") / record_count(listing)).alias("unique_pct"))
-    )
+    return _share_of_records(judged, F.col("n_label") == 1, listing, "unique_pct")
 
 
-def with_consensus(votes: DataFrame, tie: str = "label") -> DataFrame:
-    """Votes next to their item's consensus; both sides share the partitioning by item."""
-    return votes.join(consensus(votes, tie), ITEM)
+def alignment(judged: DataFrame, listing: DataFrame) -> DataFrame:
+    """Percent of all records where a voter gave the majority label."""
+    return _share_of_records(judged, F.col(LABEL) == F.col("majority"), listing, "alignment_pct")
 
 
-def divergence(votes: DataFrame, min_votes: int = 3) -> DataFrame:
+def divergence(judged: DataFrame, min_votes: int = 3) -> DataFrame:
     """Percent of a voter's valid votes that miss the majority, over items with enough votes."""
     counted = F.col(LABEL).isNotNull() & (F.col("n_votes") >= min_votes)
     return (
-        with_consensus(votes)
-        .groupBy(MODEL)
+        judged.groupBy(MODEL)
         .agg(
             F.count_if(counted & (F.col(LABEL) != F.col("majority"))).alias("n_divergent"),
             F.count_if(counted).alias("n_valid"),
@@ -240,16 +281,6 @@ def divergence(votes: DataFrame, min_votes: int = 3) -> DataFrame:
     )
 
 
-def alignment(votes: DataFrame, listing: DataFrame, tie: str = "label") -> DataFrame:
-    """Percent of all records where a voter gave the majority label."""
-    return (
-        with_consensus(votes, tie)
-        .groupBy(MODEL)
-        .agg(F.count_if(F.col(LABEL) == F.col("majority")).alias("n"))
-        .select(MODEL, (F.lit(100.0) * F.col("n") / record_count(listing)).alias("alignment_pct"))
-    )
-
-
 def family_means(rates: DataFrame, value: str, family: Column, families: Sequence[str]) -> DataFrame:
     """Mean of a rate per family; 0.0 for a listed family without a row, others left out."""
     rows = rates.select(family.alias("family"), F.col(value).alias("rate")).filter(F.col("family").isin(*families))
@@ -262,10 +293,10 @@ def family_means(rates: DataFrame, value: str, family: Column, families: Sequenc
 
 
 def family_alignment(
-    votes: DataFrame, listing: DataFrame, family_of: Mapping[str, str], families: Sequence[str]
+    judged: DataFrame, listing: DataFrame, family_of: Mapping[str, str], families: Sequence[str]
 ) -> DataFrame:
     """Mean alignment of the voters of each family."""
-    return family_means(alignment(votes, listing), "alignment_pct", lookup(F.col(MODEL), family_of), families)
+    return family_means(alignment(judged, listing), "alignment_pct", lookup(F.col(MODEL), family_of), families)
 
 
 def error_rates(votes: DataFrame, listing: DataFrame) -> DataFrame:

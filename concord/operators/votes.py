@@ -33,12 +33,18 @@ def collapse(
     known = F.when(voter.isin(*voters), F.lit(True)).otherwise(
         F.raise_error(F.concat(F.lit("voter not in the given list: "), voter.cast("string")))
     )
-    cells = [
-        F.min(F.when(voter == key, value)).alias(name + suffix)
-        for suffix, value in measures.items()
-        for key, name in voters.items()
-    ]
-    return rows.filter(known).groupBy(item.alias(ITEM)).agg(*cells)
+    # Measures are computed once per row here, not once per voter in the aggregation.
+    cells = {f"_measure{i}": value for i, value in enumerate(measures.values())}
+    prepared = rows.filter(known).select(
+        item.alias(ITEM), voter.alias("_voter"), *[value.alias(name) for name, value in cells.items()]
+    )
+    return prepared.groupBy(ITEM).agg(
+        *[
+            F.min(F.when(F.col("_voter") == key, F.col(cell))).alias(name + suffix)
+            for suffix, cell in zip(measures, cells)
+            for key, name in voters.items()
+        ]
+    )
 
 
 def lengthen(wide: DataFrame, voters: Sequence[str], values: Mapping[str, str] = VALUES) -> DataFrame:

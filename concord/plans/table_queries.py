@@ -118,12 +118,12 @@ def filter_in(spark, sf):
 
 @query("select_pattern", "SELECT item_id, " + ", ".join(f"{m}_time" for m in MODELS) + " FROM wide")
 def select_pattern(spark, sf):
-    return votes.select_like(views.votes_wide(spark, sf), "item_id", suffix="_time")
+    return votes.select_like(views.votes_wide(spark, sf, latency=True), "item_id", suffix="_time")
 
 
 @query("rename_strip", "SELECT item_id, " + ", ".join(f"{m}_time AS {m}" for m in MODELS) + " FROM wide")
 def rename_strip(spark, sf):
-    times = votes.select_like(views.votes_wide(spark, sf), "item_id", suffix="_time")
+    times = votes.select_like(views.votes_wide(spark, sf, latency=True), "item_id", suffix="_time")
     padded = times.withColumnsRenamed({c: f" {c}  " for c in times.columns})
     return votes.strip_names(padded, suffix="_time")
 
@@ -312,7 +312,7 @@ def unpivot_votes(spark, sf):
 
 @query("pivot_votes", "SELECT item_id, " + ", ".join(MODELS + [f"{m}_time" for m in MODELS]) + " FROM wide")
 def pivot_votes(spark, sf):
-    return votes.widen(views.raw_votes(spark, sf), MODELS, {"raw_prediction": "", "latency_s": "_time"})
+    return votes.widen(views.raw_votes(spark, sf, latency=True), MODELS, {"raw_prediction": "", "latency_s": "_time"})
 
 
 @query(
@@ -321,7 +321,7 @@ def pivot_votes(spark, sf):
        LEFT JOIN (SELECT * FROM clean WHERE model = 'm1') c ON o.o_orderkey = c.item_id""",
 )
 def left_merge(spark, sf):
-    one = views.clean_votes(spark, sf).filter("model = 'm1'").select("item_id", "prediction", "latency_s")
+    one = views.clean_votes(spark, sf, latency=True).filter("model = 'm1'").select("item_id", "prediction", "latency_s")
     return joins.merge_onto(views.listing(spark, sf), one)
 
 

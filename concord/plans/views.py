@@ -11,7 +11,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from concord.functions import cleaning
+from concord.functions import cleaning, fixed_values
 from concord.operators import neighbours, ordering, timing, votes
 
 VOTERS = {n: f"m{n}" for n in range(1, 8)}
@@ -35,29 +35,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def votes_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per order with ``m1..m7`` (raw prediction) and ``m1_time..m7_time``.
+ERROR_CODE = ord("E") * 256
+
+
+def _coded_wide(spark: SparkSession, sf_dir: str, latency: bool) -> DataFrame:
+    """One row per order with ``m1..m7``, coded predictions, and maybe ``m1_time..m7_time``.
 
     The smallest label is found on an integer that sorts like the label, its
     one-letter flags as ``first * 256 + second``: strings as aggregation
     buffers would turn the hash aggregation into a sorting one.
     """
-    rows = table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_linenumber", "l_quantity", "l_returnflag", "l_linestatus"
-    )
+    rows = table(spark, sf_dir, "lineitem")
     failed = (F.col("l_returnflag") == "R") & (F.col("l_linestatus") == "O") & (F.col("l_quantity") < 10)
-    error_code = ord("E") * 256
-    code = F.when(failed, F.lit(error_code)).otherwise(F.ascii("l_returnflag") * 256 + F.ascii("l_linestatus"))
-    wide = votes.collapse(
-        rows, F.col("l_orderkey"), F.col("l_linenumber"), VOTERS, {"": code, "_time": F.col("l_quantity")}
-    )
+    code = F.when(failed, F.lit(ERROR_CODE)).otherwise(F.ascii("l_returnflag") * 256 + F.ascii("l_linestatus"))
+    measures = {"": code, "_time": F.col("l_quantity")} if latency else {"": code}
+    return votes.collapse(rows, F.col("l_orderkey"), F.col("l_linenumber"), VOTERS, measures)
+
+
+def _decoded(column: str):
+    code = F.col(column)
+    flags = F.concat(F.chr(F.shiftright(code, 8)), F.chr(code.bitwiseAND(255)))
+    return F.when(code == ERROR_CODE, F.lit(fixed_values.ERROR_PROCESSING)).when(code.isNotNull(), flags)
 
-    def text(column: str):
-        c = F.col(column)
-        flags = F.concat(F.chr(F.shiftright(c, 8)), F.chr(F.expr(f"{column} & 255")))
-        return F.when(c == error_code, F.lit("Error_Processing")).when(c.isNotNull(), flags)
 
-    return wide.withColumns({m: text(m) for m in MODELS})
+def votes_wide(spark: SparkSession, sf_dir: str, latency: bool = False) -> DataFrame:
+    """One row per order with ``m1..m7``, raw predictions, and maybe ``m1_time..m7_time``."""
+    return _coded_wide(spark, sf_dir, latency).withColumns({m: _decoded(m) for m in MODELS})
 
 
 def clean_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,13 +68,16 @@ def clean_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wide.withColumns({m: cleaning.null_errors(F.col(m)) for m in MODELS})
 
 
-def raw_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``item_id, model, raw_prediction, latency_s``, partitioned by item."""
-    return votes.lengthen(votes_wide(spark, sf_dir), MODELS, {"raw_prediction": "", "latency_s": "_time"})
+def raw_votes(spark: SparkSession, sf_dir: str, latency: bool = False) -> DataFrame:
+    """``item_id, model, raw_prediction``, maybe ``latency_s``, partitioned by item."""
+    values = {"raw_prediction": "", "latency_s": "_time"} if latency else {"raw_prediction": ""}
+    coded = votes.lengthen(_coded_wide(spark, sf_dir, latency), MODELS, values)
+    return coded.withColumn("raw_prediction", _decoded("raw_prediction"))
 
 
-def clean_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return raw_votes(spark, sf_dir).withColumn("prediction", cleaning.null_errors(F.col("raw_prediction")))
+def clean_votes(spark: SparkSession, sf_dir: str, latency: bool = False) -> DataFrame:
+    raw = raw_votes(spark, sf_dir, latency)
+    return raw.withColumn("prediction", cleaning.null_errors(F.col("raw_prediction")))
 
 
 def listing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,6 +15,14 @@ def _rounded(df, *columns):
     return df.withColumns({c: F.round(c, 6) for c in columns})
 
 
+def _consensus(spark, sf):
+    return consensus.with_consensus(views.clean_wide(spark, sf), MODELS)
+
+
+def _judged(spark, sf):
+    return consensus.judge_wide(views.clean_wide(spark, sf), MODELS)
+
+
 @query(
     "consensus_having",
     """SELECT majority, round(avg(100e0 * top_votes / n_votes), 6) AS consensus_pct, count(*) AS n_items
@@ -22,7 +30,7 @@ def _rounded(df, *columns):
        ORDER BY avg(100e0 * top_votes / n_votes) DESC, majority LIMIT 25""",
 )
 def consensus_having(spark, sf):
-    best = consensus.category_consensus(views.clean_votes(spark, sf), n=25, min_items=50)
+    best = consensus.category_consensus(consensus.consensus(views.clean_votes(spark, sf)), n=25, min_items=50)
     return _rounded(best, "consensus_pct")
 
 
@@ -33,7 +41,7 @@ def consensus_having(spark, sf):
        ORDER BY avg(100e0 * top_votes / 7e0) DESC, majority LIMIT 15""",
 )
 def category_consensus(spark, sf):
-    best = consensus.category_consensus(views.clean_votes(spark, sf), n=15, denominator=len(MODELS))
+    best = consensus.category_consensus(_consensus(spark, sf), n=15, denominator=len(MODELS))
     return _rounded(best, "consensus_pct")
 
 
@@ -151,7 +159,7 @@ def majority_vote(spark, sf):
        FROM all_cons""",
 )
 def agreement_rates(spark, sf):
-    rates = consensus.agreement_rates(views.clean_votes(spark, sf), views.listing(spark, sf), strong=4, majority=2)
+    rates = consensus.agreement_rates(_consensus(spark, sf), views.listing(spark, sf), strong=4, majority=2)
     return _rounded(rates, *rates.columns)
 
 
@@ -161,12 +169,12 @@ def agreement_rates(spark, sf):
        GROUP BY majority ORDER BY n DESC, majority LIMIT 15""",
 )
 def majority_dist(spark, sf):
-    return consensus.majority_distribution(views.clean_votes(spark, sf), 15)
+    return consensus.majority_distribution(_consensus(spark, sf), 15)
 
 
 @query("consensus_hist", "SELECT top_votes, count(*) AS n FROM all_cons GROUP BY top_votes")
 def consensus_hist(spark, sf):
-    return consensus.consensus_histogram(views.clean_votes(spark, sf), views.listing(spark, sf))
+    return consensus.consensus_histogram(_consensus(spark, sf), views.listing(spark, sf))
 
 
 _SHARE_BINS = "(VALUES " + ", ".join(f"('{b}')" for b in fixed.CONSENSUS_BINS) + ") AS b(bin)"
@@ -182,7 +190,7 @@ _AGREEMENT_BINS = "(VALUES " + ", ".join(f"('{b}')" for b in fixed.AGREEMENT_BIN
         ON b.bin = c.bin GROUP BY b.bin""",
 )
 def consensus_bins(spark, sf):
-    return consensus.consensus_bins(views.clean_votes(spark, sf), views.listing(spark, sf))
+    return consensus.consensus_bins(_consensus(spark, sf), views.listing(spark, sf))
 
 
 @query(
@@ -194,7 +202,7 @@ def consensus_bins(spark, sf):
         ON b.bin = c.bin GROUP BY b.bin""",
 )
 def agreement_bins(spark, sf):
-    return consensus.agreement_bins(views.clean_votes(spark, sf), views.listing(spark, sf), len(MODELS))
+    return consensus.agreement_bins(_consensus(spark, sf), views.listing(spark, sf), len(MODELS))
 
 
 @query(
@@ -205,7 +213,7 @@ def agreement_bins(spark, sf):
                   FROM cons WHERE n_votes > 0) c ON l.level = c.level GROUP BY l.level""",
 )
 def unanimity(spark, sf):
-    return consensus.unanimity(views.clean_votes(spark, sf))
+    return consensus.unanimity(_consensus(spark, sf))
 
 
 @query(
@@ -215,7 +223,7 @@ def unanimity(spark, sf):
        LEFT JOIN label_n l ON c.item_id = l.item_id AND c.prediction = l.prediction GROUP BY c.model""",
 )
 def unique_vote(spark, sf):
-    return _rounded(consensus.unique_vote(views.clean_votes(spark, sf), views.listing(spark, sf)), "unique_pct")
+    return _rounded(consensus.unique_vote(_judged(spark, sf), views.listing(spark, sf)), "unique_pct")
 
 
 @query(
@@ -228,7 +236,7 @@ def unique_vote(spark, sf):
              FROM clean c JOIN cons s ON c.item_id = s.item_id) GROUP BY model""",
 )
 def divergence(spark, sf):
-    return _rounded(consensus.divergence(views.clean_votes(spark, sf)), "divergence_pct")
+    return _rounded(consensus.divergence(_judged(spark, sf)), "divergence_pct")
 
 
 _ALIGNMENT = """SELECT c.model, 100e0 * count(CASE WHEN c.prediction = s.majority THEN 1 END) / max(t.n_records) AS a
@@ -237,7 +245,7 @@ _ALIGNMENT = """SELECT c.model, 100e0 * count(CASE WHEN c.prediction = s.majorit
 
 @query("alignment", f"SELECT model, round(a, 6) AS alignment_pct FROM ({_ALIGNMENT})")
 def alignment(spark, sf):
-    return _rounded(consensus.alignment(views.clean_votes(spark, sf), views.listing(spark, sf)), "alignment_pct")
+    return _rounded(consensus.alignment(_judged(spark, sf), views.listing(spark, sf)), "alignment_pct")
 
 
 _FAMILY_LIST = "(VALUES " + ", ".join(f"('{f}')" for f in FAMILIES) + ") AS l(family)"
@@ -249,7 +257,7 @@ _FAMILY_LIST = "(VALUES " + ", ".join(f"('{f}')" for f in FAMILIES) + ") AS l(fa
         LEFT JOIN family f ON l.family = f.family LEFT JOIN ({_ALIGNMENT}) x ON f.model = x.model GROUP BY l.family""",
 )
 def family_alignment(spark, sf):
-    rows, records = views.clean_votes(spark, sf), views.listing(spark, sf)
+    rows, records = _judged(spark, sf), views.listing(spark, sf)
     return _rounded(consensus.family_alignment(rows, records, FAMILY_OF, FAMILIES), "alignment_pct")
 
 
@@ -296,5 +304,5 @@ def valid_error(spark, sf):
 def latency_throughput(spark, sf):
     failed = F.col("prediction").isNull()
     return _rounded(
-        timing.latency_throughput(views.clean_votes(spark, sf), failed), "mean_latency_s", "throughput"
+        timing.latency_throughput(views.clean_votes(spark, sf, latency=True), failed), "mean_latency_s", "throughput"
     )
