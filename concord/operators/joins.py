@@ -28,18 +28,18 @@ def priority_fill(preferred: DataFrame, fallback: DataFrame, keys: list[str]) ->
 def reindex(df: DataFrame, key: str, wanted: Sequence[str]) -> DataFrame:
     """One row per wanted key with its ``position``; null columns for an unknown key."""
     listed = df.sparkSession.createDataFrame(list(enumerate(wanted)), f"position bigint, {key} string")
-    return listed.join(df, key, "left")
+    return listed.join(df.filter(F.col(key).isin(*wanted)), key, "left")
 
 
 def intersect_names(df: DataFrame, key: str, wanted: Sequence[str]) -> DataFrame:
     """The wanted keys that occur in ``df``, with their position in the list."""
     listed = df.sparkSession.createDataFrame(list(enumerate(wanted)), f"position bigint, {key} string")
-    return listed.join(df.select(key), key, "left_semi")
+    return listed.join(df.select(key).filter(F.col(key).isin(*wanted)).distinct(), key, "left_semi")
 
 
 def task_grid(datasets: DataFrame, models: Sequence[str], available: DataFrame, key: str = "dataset") -> DataFrame:
     """Every available dataset with every model, as one task row each."""
-    present = datasets.join(available, key, "left_semi")
+    present = datasets.join(available.select(key).distinct(), key, "left_semi")
     return present.select(key, F.explode(F.array(*[F.lit(m) for m in models])).alias(MODEL))
 
 

@@ -51,14 +51,26 @@ def confusion_dense(df: DataFrame, max_labels: int = 2000) -> DataFrame:
 def class_report(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Precision, recall, F1 and support per label of truth or prediction, 0 where undefined."""
     cells = df.groupBy(*keys, TRUTH, PREDICTION).agg(F.count(F.lit(1)).alias("n"))
+    return report_from_cells(cells, keys).drop("tp")
+
+
+def report_from_cells(cells: DataFrame, keys: Sequence[str] = (), carry: Sequence[str] = ()) -> DataFrame:
+    """As ``class_report`` from counted (truth, prediction) cells, with the hits as ``tp``.
+
+    ``carry`` names further cell columns, of which each label keeps the minimum.
+    """
     hit = F.when(F.col(TRUTH) == F.col(PREDICTION), F.col("n")).otherwise(F.lit(0))
     none = F.lit(0).cast("bigint")
-    as_truth = F.struct(F.col(TRUTH).alias("label"), hit.alias("tp"), F.col("n").alias("support"), none.alias("predicted"))
-    as_prediction = F.struct(F.col(PREDICTION).alias("label"), none.alias("tp"), none.alias("support"), F.col("n").alias("predicted"))
+
+    def side(label: str, tp: Column, support: Column, predicted: Column) -> Column:
+        counts = [tp.alias("tp"), support.alias("support"), predicted.alias("predicted")]
+        return F.struct(F.col(label).alias("label"), *counts)
+
+    both = F.array(side(TRUTH, hit, F.col("n"), none), side(PREDICTION, none, none, F.col("n")))
     sums = (
-        cells.select(*keys, F.inline(F.array(as_truth, as_prediction)))
+        cells.select(*keys, *carry, F.inline(both))
         .groupBy(*keys, "label")
-        .agg(*[F.sum(c).alias(c) for c in ("tp", "support", "predicted")])
+        .agg(*[F.sum(c).alias(c) for c in ("tp", "support", "predicted")], *[F.min(c).alias(c) for c in carry])
     )
     return sums.select(
         *keys,
@@ -67,6 +79,8 @@ def class_report(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
         _ratio(F.col("tp"), F.col("support")).alias("recall"),
         _ratio(F.col("tp") * 2, F.col("predicted") + F.col("support")).alias("f1"),
         "support",
+        "tp",
+        *carry,
     )
 
 
@@ -74,7 +88,10 @@ def _ratio(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, part / whole).otherwise(F.lit(0.0))
 
 
+MACRO = ("precision", "recall", "f1")
+
+
 def macro_scores(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Unweighted mean over the labels of precision, recall and F1, in percent."""
-    means = [(F.avg(c) * 100.0).alias(f"macro_{c}") for c in ("precision", "recall", "f1")]
+    means = [(F.avg(c) * 100.0).alias(f"macro_{c}") for c in MACRO]
     return class_report(df, keys).groupBy(*keys).agg(*means)

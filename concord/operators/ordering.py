@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from concord.operators.small import attach
 from concord.session import materialize
 
 SLICE = "_slice"
@@ -33,18 +34,8 @@ def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], name:
     before = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
     shifts = sizes.withColumn("_shift", F.coalesce(F.sum("_size").over(before), F.lit(0))).drop("_size")
     inside = Window.partitionBy(SLICE, *keys).orderBy(*order)
-    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"s.{c}")) for c in (SLICE, *keys)]
-    joined = sliced.withColumn("_inside", F.row_number().over(inside)).alias("r").join(
-        shifts.alias("s"), _all(same), "left"
-    )
-    return joined.select(*[F.col(f"r.{c}") for c in df.columns], (F.col("_inside") + F.col("_shift")).alias(name))
-
-
-def _all(conditions: Sequence[Column]) -> Column:
-    hit = conditions[0]
-    for condition in conditions[1:]:
-        hit = hit & condition
-    return hit
+    numbered = attach(sliced.withColumn("_inside", F.row_number().over(inside)), shifts, [SLICE, *keys])
+    return numbered.select(*df.columns, (F.col("_inside") + F.col("_shift")).alias(name))
 
 
 def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:

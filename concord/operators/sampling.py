@@ -33,11 +33,13 @@ def _cutoff(df: DataFrame, key: str, seed: int, wanted, digits: int) -> Column:
         wanted(F.sum("n").over(everything)).alias("wanted"),
     )
     cut = ranks.filter((F.col("before") < F.col("wanted")) & (F.col("wanted") <= F.col("through")))
-    inside = Window.partitionBy("b").orderBy("h", "k")
+    place = cut.select(F.struct("b", "before", "wanted").alias("place")).scalar()
+    inside = Window.orderBy("h", "k")
     return (
-        rows.join(cut, "b")
-        .withColumn("rank", F.row_number().over(inside) + F.col("before"))
-        .filter("rank = wanted")
+        rows.withColumn("place", place)
+        .filter(F.col("b") == F.col("place.b"))
+        .withColumn("rank", F.row_number().over(inside) + F.col("place.before"))
+        .filter(F.col("rank") == F.col("place.wanted"))
         .select(F.struct("h", "k").alias("cut"))
         .scalar()
     )

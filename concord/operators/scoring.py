@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from concord.functions import fixed_values as fixed
+from concord.operators import metrics
 
 Scorer = Callable[[pd.DataFrame], Sequence]
 
@@ -135,40 +136,51 @@ def evaluate_grid(
     truth: str = "truth",
     keys: tuple[str, str] = ("dataset", "model"),
 ) -> DataFrame:
-    """Accuracy per (dataset, model), or the error that stopped that task.
+    """Test size, accuracy and macro scores per (dataset, model), or the error that stopped that task.
 
     ``factory`` makes the scorer of a model, once per partition. Each batch
-    adds up its hits per task, so a large task spreads over many partitions
-    and only counters are shuffled. One failed batch fails the whole task.
+    gives counted (truth, prediction) cells per task, so a large task spreads
+    over many partitions and only counters are shuffled. One failed batch
+    fails the whole task. Labels are compared as text.
     """
     dataset, model = keys
-    schema = f"{dataset} string, {model} string, n bigint, hits bigint, error string"
+    schema = f"{dataset} string, {model} string, truth string, prediction string, n bigint, error string"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorers: dict[str, Scorer] = {}
         for batch in batches:
-            rows = []
+            parts = []
             for (d, m), part in batch.groupby([dataset, model], sort=False):
                 try:
                     if m not in scorers:
                         scorers[m] = factory(m)
-                    predicted = np.asarray(list(scorers[m](part)), dtype=object)
-                    rows.append((d, m, len(part), int((predicted == part[truth].to_numpy()).sum()), None))
+                    predicted = list(scorers[m](part))
+                    cells = pd.DataFrame({"truth": part[truth].astype(str).to_numpy(), "prediction": predicted})
+                    cells = cells.astype({"prediction": str}).value_counts().rename("n").reset_index()
+                    parts.append(cells.assign(**{dataset: d, model: m, "error": None}))
                 except Exception as e:
-                    rows.append((d, m, len(part), 0, f"{type(e).__name__}: {e}"))
-            yield pd.DataFrame(rows, columns=[dataset, model, "n", "hits", "error"])
+                    error = f"{type(e).__name__}: {e}"
+                    parts.append(pd.DataFrame([{dataset: d, model: m, "n": len(part), "error": error}]))
+            columns = [dataset, model, "truth", "prediction", "n", "error"]
+            yield pd.concat([p.reindex(columns=columns) for p in parts], ignore_index=True)
 
     columns = list(dict.fromkeys([dataset, model, truth, *inputs]))
-    counted = records.select(*columns).mapInPandas(run, schema)
+    cells = (
+        records.select(*columns)
+        .mapInPandas(run, schema)
+        .groupBy(dataset, model, "truth", "prediction")
+        .agg(F.sum("n").alias("n"), F.min("error").alias("error"))
+    )
+    # A failed batch is a cell without labels that carries the error.
+    labels = metrics.report_from_cells(cells, [dataset, model], carry=["error"])
+    known = F.col("label").isNotNull()
     ok = F.col("error").isNull()
-    return (
-        counted.groupBy(dataset, model)
-        .agg(F.sum("n").alias("n"), F.sum("hits").alias("hits"), F.min("error").alias("error"))
-        .select(
-            dataset,
-            model,
-            F.when(ok, F.col("n")).alias("test_samples"),
-            F.when(ok, F.lit(100.0) * F.col("hits") / F.col("n")).alias("accuracy"),
-            "error",
-        )
+    totals = labels.groupBy(dataset, model).agg(
+        F.min("error").alias("error"),
+        F.count_if(F.col("support") > 0).alias("num_classes"),
+        F.sum("support").alias("test_samples"),
+        (F.lit(100.0) * F.sum("tp") / F.sum("support")).alias("accuracy"),
+        *[(F.avg(F.when(known, F.col(c))) * 100.0).alias(f"macro_{c}") for c in metrics.MACRO],
     )
+    figures = ["num_classes", "test_samples", "accuracy", *[f"macro_{c}" for c in metrics.MACRO]]
+    return totals.select(dataset, model, *[F.when(ok, F.col(c)).alias(c) for c in figures], "error")

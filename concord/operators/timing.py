@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from concord.functions.cleaning import eps_ratio, per_second, safe_ratio
 from concord.operators.ordering import SLICE, number_rows, range_slices
+from concord.operators.small import attach
 
 MODEL = "model"
 
@@ -47,7 +48,7 @@ def quantiles(df: DataFrame, value: str, shares: Sequence[float], names: Sequenc
         position = F.lit(share) * (F.col("n") - 1)
         for edge, suffix in ((F.floor(position), "lo"), (F.ceil(position), "hi")):
             picked.append(F.max(F.when(F.col("rank") == edge + 1, F.col(value))).alias(f"{name}_{suffix}"))
-    edges = ranked.join(sizes, key).groupBy(key).agg(F.max("n").alias("n"), *picked)
+    edges = attach(ranked, sizes, [key]).groupBy(key).agg(F.max("n").alias("n"), *picked)
     out = []
     for share, name in zip(shares, names):
         position = F.lit(share) * (F.col("n") - 1)
@@ -67,8 +68,7 @@ def box_stats(df: DataFrame, value: str, key: str = MODEL, approx: bool = False)
     reach = (F.col("q3") - F.col("q1")) * 1.5
     inside = F.col(value).between(F.col("q1") - reach, F.col("q3") + reach)
     return (
-        df.select(key, value)
-        .join(quartiles, key)
+        attach(df.select(key, value), quartiles, [key])
         .groupBy(key)
         .agg(
             *[F.max(n).alias(n) for n in names],
@@ -80,15 +80,24 @@ def box_stats(df: DataFrame, value: str, key: str = MODEL, approx: bool = False)
 
 
 def trial_stats(trials: DataFrame, warmup: int = 15, runs: int = 50, repeats: int | None = None) -> DataFrame:
-    """Mean and population std over repeats of the mean latency of ``runs`` trials after warm-up."""
+    """Mean and population std over repeats of the mean latency of ``runs`` trials after warm-up.
+
+    ``throughput`` follows from the mean latency; ``throughput_mean`` and
+    ``throughput_std`` are over the throughput of each repeat.
+    """
     after = F.col("iter") - warmup - 1
     rows = trials.select(MODEL, "ms", F.floor(after / runs).alias("repeat")).filter(after >= 0)
     if repeats is not None:
         rows = rows.filter(F.col("repeat") < repeats)
-    means = rows.groupBy(MODEL, "repeat").agg(F.avg("ms").alias("ms"))
+    means = rows.groupBy(MODEL, "repeat").agg(F.avg("ms").alias("ms")).withColumn("rate", per_second(F.col("ms")))
     return (
         means.groupBy(MODEL)
-        .agg(F.avg("ms").alias("latency_mean_ms"), F.stddev_pop("ms").alias("latency_std_ms"))
+        .agg(
+            F.avg("ms").alias("latency_mean_ms"),
+            F.stddev_pop("ms").alias("latency_std_ms"),
+            F.avg("rate").alias("throughput_mean"),
+            F.stddev_pop("rate").alias("throughput_std"),
+        )
         .withColumn("throughput", per_second(F.col("latency_mean_ms")))
     )
 
@@ -173,3 +182,8 @@ def idle_power(samples: DataFrame, power: str = "power_w") -> Column:
 def per_item_energy(energy_j: Column, n_items: Column, digits: int = 3) -> Column:
     """Millijoules per item."""
     return F.round(safe_ratio(energy_j * 1000.0, n_items), digits)
+
+
+def per_watt(figure: Column, mean_power_w: Column, digits: int = 3) -> Column:
+    """Accuracy or throughput per watt of mean power, 0 without power."""
+    return F.round(safe_ratio(figure, mean_power_w), digits)

@@ -12,6 +12,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from concord.operators.small import attach
+
 ITEM, MODEL, LABEL = "item_id", "model", "prediction"
 VALUES = {LABEL: "", "latency_s": "_time"}
 
@@ -84,7 +86,7 @@ def discover_voters(votes: DataFrame, limit: int = 64) -> list[str]:
 def live_votes(votes: DataFrame) -> DataFrame:
     """Votes of the voters that have at least one valid prediction."""
     alive = votes.groupBy(MODEL).agg(F.count(LABEL).alias("n")).filter("n > 0").select(MODEL)
-    return votes.join(alive, MODEL, "left_semi")
+    return attach(votes, alive, [MODEL], "left_semi")
 
 
 def select_like(df: DataFrame, *keep: str, suffix: str = "", contains: str = "", drop_suffix: str = "") -> DataFrame:

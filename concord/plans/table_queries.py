@@ -44,7 +44,7 @@ def folder_label(spark, sf):
 )
 def task_grid(spark, sf):
     parts = views.table(spark, sf, "part")
-    lines = views.table(spark, sf, "lineitem").select(F.col("l_partkey").alias("p_partkey"))
+    lines = views.table(spark, sf, "lineitem").select(F.col("l_partkey").alias("p_partkey")).distinct()
     available = parts.join(lines, "p_partkey", "left_semi").select(F.col("p_type").alias("dataset")).distinct()
     return joins.task_grid(parts.select(F.col("p_type").alias("dataset")).distinct(), MODELS, available)
 
@@ -359,7 +359,7 @@ def reindex_list(spark, sf):
 )
 def intersect_names(spark, sf):
     lines = views.table(spark, sf, "lineitem")
-    names = lines.select(F.concat(F.lit("m"), F.col("l_linenumber").cast("string")).alias("model")).distinct()
+    names = lines.select(F.concat(F.lit("m"), F.col("l_linenumber").cast("string")).alias("model"))
     return joins.intersect_names(names, "model", WANTED_MODELS)
 
 

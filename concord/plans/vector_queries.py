@@ -257,15 +257,26 @@ def grid_scorer(model: str):
     return score
 
 
+_GRID = """SELECT p.p_type AS dataset, l.l_linenumber AS m, l.l_returnflag AS truth,
+                  CASE WHEN l.l_linenumber > 3 THEN 'R' WHEN l.l_linestatus = 'O' THEN 'N' ELSE 'A' END AS prediction
+           FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey WHERE l.l_linenumber < 7"""
+_GRID_LABELS = f"""SELECT dataset, m, label, sum(tp) AS tp, sum(s) AS s, sum(q) AS q FROM (
+                     SELECT dataset, m, truth AS label, CASE WHEN truth = prediction THEN 1 ELSE 0 END AS tp, 1 AS s, 0 AS q
+                     FROM ({_GRID}) UNION ALL SELECT dataset, m, prediction, 0, 0, 1 FROM ({_GRID}))
+                   GROUP BY dataset, m, label"""
+
+
 @query(
     "evaluate_grid",
-    """SELECT p.p_type AS dataset, concat('m', cast(l.l_linenumber AS varchar)) AS model,
-              CASE WHEN l.l_linenumber < 7 THEN count(*) END AS test_samples,
-              round(CASE WHEN l.l_linenumber < 7 THEN 100e0 * sum(CASE WHEN l.l_returnflag =
-                CASE WHEN l.l_linenumber > 3 THEN 'R' WHEN l.l_linestatus = 'O' THEN 'N' ELSE 'A' END
-                THEN 1 ELSE 0 END) / count(*) END, 6) AS accuracy,
-              CASE WHEN l.l_linenumber = 7 THEN 'RuntimeError: no weights' END AS error
-       FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey GROUP BY p.p_type, l.l_linenumber""",
+    f"""SELECT dataset, concat('m', cast(m AS varchar)) AS model, count(CASE WHEN s > 0 THEN 1 END) AS num_classes,
+               cast(sum(s) AS bigint) AS test_samples, round(100e0 * sum(tp) / sum(s), 6) AS accuracy,
+               round(100e0 * avg(CASE WHEN q > 0 THEN tp::double / q ELSE 0e0 END), 6) AS macro_precision,
+               round(100e0 * avg(CASE WHEN s > 0 THEN tp::double / s ELSE 0e0 END), 6) AS macro_recall,
+               round(100e0 * avg(2e0 * tp / (q + s)), 6) AS macro_f1, NULL AS error
+        FROM ({_GRID_LABELS}) GROUP BY dataset, m
+        UNION ALL SELECT DISTINCT p.p_type, 'm7', NULL::bigint, NULL::bigint, NULL::double, NULL::double, NULL::double,
+               NULL::double, 'RuntimeError: no weights'
+        FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey WHERE l.l_linenumber = 7""",
 )
 def evaluate_grid(spark, sf):
     lines = views.table(spark, sf, "lineitem").select("l_partkey", "l_linenumber", "l_linestatus", "l_returnflag")
@@ -276,7 +287,8 @@ def evaluate_grid(spark, sf):
         F.col("l_linestatus").alias("status"),
         F.col("l_returnflag").alias("truth"),
     )
-    return _rounded(scoring.evaluate_grid(records, grid_scorer, ["status"]), "accuracy")
+    grid = scoring.evaluate_grid(records, grid_scorer, ["status"])
+    return _rounded(grid, "accuracy", *[f"macro_{c}" for c in metrics.MACRO])
 
 
 @query("linear_probe")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from concord.functions import paths
+from concord.operators.small import attach
 
 
 def read_files(spark: SparkSession, root: str, glob: str = "*", recursive: bool = True) -> DataFrame:
@@ -42,7 +43,7 @@ def with_folder_label(df: DataFrame, path: Column, root: str = "") -> DataFrame:
     classes = labelled.select("label").distinct()
     # One row per class from here on.
     position = F.row_number().over(Window.orderBy("label")) - 1
-    return labelled.join(classes.withColumn("class_index", position.cast("bigint")), "label")
+    return attach(labelled, classes.withColumn("class_index", position.cast("bigint")), ["label"])
 
 
 def with_ground_truth(df: DataFrame, path: str = "filepath") -> DataFrame:
