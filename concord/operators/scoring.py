@@ -58,6 +58,7 @@ def score_partitions(
     every record gives ``Error_Model_Load``. ``num_partitions`` spreads a
     costly scorer over more tasks than the scan has.
     """
+    load_error, record_error = fixed.ERROR_MODEL_LOAD, fixed.ERROR_PROCESSING
     fields = [df.schema[key], T.StructField("prediction", T.StringType())]
     if latency:
         fields.append(T.StructField("latency_s", T.FloatType()))
@@ -69,9 +70,9 @@ def score_partitions(
             score = None
         for batch in batches:
             if score is None:
-                labels, seconds = [fixed.ERROR_MODEL_LOAD] * len(batch), [0.0] * len(batch)
+                labels, seconds = [load_error] * len(batch), [0.0] * len(batch)
             else:
-                labels, seconds = _score_batch(score, batch, fixed.ERROR_PROCESSING)
+                labels, seconds = _score_batch(score, batch, record_error)
             out = {key: batch[key], "prediction": labels}
             if latency:
                 out["latency_s"] = np.asarray(seconds, dtype="float32")
