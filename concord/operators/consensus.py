@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from concord.functions import fixed_values as fixed
+from concord.functions import text
 from concord.functions.rules import lookup
 from concord.operators.votes import ITEM, LABEL, MODEL
 
@@ -97,10 +98,10 @@ def judge(votes: DataFrame, tie: str = "label") -> DataFrame:
 
 def judge_wide(wide: DataFrame, voters: Sequence[str], tie: str = "label") -> DataFrame:
     """Judged votes from the wide table; no shuffle, no join."""
-    cells = [F.struct(F.lit(v).alias(MODEL), F.col(v).alias(LABEL)) for v in voters]
+    cells = ", ".join(text.struct(**{MODEL: text.literal(v), LABEL: text.name(v)}) for v in voters)
     keep = ["majority", "top_votes", "n_votes"]
     rows = with_consensus(wide, voters, tie).select(
-        ITEM, *keep, F.array(*voters).alias("_labels"), F.explode(F.array(*cells)).alias("cell")
+        ITEM, *keep, F.array(*voters).alias("_labels"), F.expr(f"explode(array({cells}))").alias("cell")
     )
     same = F.size(F.filter("_labels", lambda x: x == F.col("cell")[LABEL])).cast("bigint")
     return rows.select(ITEM, "cell.*", F.when(F.col("cell")[LABEL].isNotNull(), same).otherwise(0).alias("n_label"), *keep)
@@ -118,8 +119,8 @@ def top_labels(votes: DataFrame, n: int = 10) -> DataFrame:
 
 def label_matrix(votes: DataFrame, voters: Sequence[str]) -> DataFrame:
     """Label by voter counts, 0 where a voter never gave the label."""
-    cells = [F.count_if(F.col(MODEL) == v).alias(v) for v in voters]
-    return votes.dropna(subset=[LABEL]).groupBy(LABEL).agg(*cells)
+    cells = [f"count_if({MODEL} = {text.literal(v)}) as {text.name(v)}" for v in voters]
+    return votes.dropna(subset=[LABEL]).groupBy(LABEL).agg(*map(F.expr, cells))
 
 
 def diversity(votes: DataFrame, approx: bool = False) -> DataFrame:

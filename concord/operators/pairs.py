@@ -13,28 +13,22 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from concord.functions import text
+from concord.functions.rules import lookup
 from concord.operators.consensus import family_means, record_count
 from concord.operators.votes import ITEM, LABEL, MODEL
-from concord.functions.rules import lookup
 
 
 def pair_counts(wide: DataFrame, voters: Sequence[str]) -> DataFrame:
     """Per pair of voters, the items both voted on and those they agree on; from the wide table."""
     counters, pairs = [], []
     for i, (a, b) in enumerate(combinations(voters, 2)):
-        counters += [
-            F.count_if(F.col(a).isNotNull() & F.col(b).isNotNull()).alias(f"both_{i}"),
-            F.count_if(F.col(a) == F.col(b)).alias(f"same_{i}"),
-        ]
-        pairs.append(
-            F.struct(
-                F.lit(a).alias("model_a"),
-                F.lit(b).alias("model_b"),
-                F.col(f"both_{i}").alias("n_both"),
-                F.col(f"same_{i}").alias("n_same"),
-            )
-        )
-    return wide.agg(*counters).select(F.inline(F.array(*pairs)))
+        x, y = text.name(a), text.name(b)
+        counters.append(f"count_if({x} is not null and {y} is not null) as both_{i}")
+        counters.append(f"count_if({x} = {y}) as same_{i}")
+        names = {"model_a": text.literal(a), "model_b": text.literal(b)}
+        pairs.append(text.struct(**names, n_both=f"both_{i}", n_same=f"same_{i}"))
+    return wide.selectExpr(*counters).selectExpr(f"inline(array({', '.join(pairs)}))")
 
 
 def pair_counts_long(votes: DataFrame) -> DataFrame:
@@ -95,9 +89,9 @@ def agreement_all_rows(
             [(v, v, 100.0) for v in voters], "model_a string, model_b string, agreement double"
         )
     else:
-        answered = wide.agg(*[F.count(v).alias(v) for v in voters])
-        cells = [F.struct(F.lit(v).alias("model_a"), F.lit(v).alias("model_b"), F.col(v).alias("n")) for v in voters]
-        own = answered.select(F.inline(F.array(*cells))).select(
+        answered = wide.selectExpr(*[f"count({text.name(v)}) as {text.name(v)}" for v in voters])
+        cells = [text.struct(model_a=text.literal(v), model_b=text.literal(v), n=text.name(v)) for v in voters]
+        own = answered.selectExpr(f"inline(array({', '.join(cells)}))").select(
             "model_a", "model_b", (F.lit(100.0) * F.col("n") / record_count(listing)).alias("agreement")
         )
     return _both_ways(pairs, "agreement").unionByName(own)

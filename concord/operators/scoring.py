@@ -145,25 +145,43 @@ def evaluate_grid(
     fails the whole task. Labels are compared as text.
     """
     dataset, model = keys
-    schema = f"{dataset} string, {model} string, truth string, prediction string, n bigint, error string"
+    schema = f"{dataset} string, {model} string, truth string, prediction string, error string, n bigint"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorers: dict[str, Scorer] = {}
         for batch in batches:
-            parts = []
-            for (d, m), part in batch.groupby([dataset, model], sort=False):
+            labels = pd.Series(None, index=batch.index, dtype=object)
+            errors = pd.Series(None, index=batch.index, dtype=object)
+
+            def fill(name: str, part: pd.DataFrame) -> None:
+                if name not in scorers:
+                    scorers[name] = factory(name)
+                predicted = list(scorers[name](part))
+                if len(predicted) != len(part):
+                    raise ValueError("as many predictions as records expected")
+                labels[part.index] = [str(p) for p in predicted]
+
+            for name, rows in batch.groupby(model, sort=False):
                 try:
-                    if m not in scorers:
-                        scorers[m] = factory(m)
-                    predicted = list(scorers[m](part))
-                    cells = pd.DataFrame({"truth": part[truth].astype(str).to_numpy(), "prediction": predicted})
-                    cells = cells.astype({"prediction": str}).value_counts().rename("n").reset_index()
-                    parts.append(cells.assign(**{dataset: d, model: m, "error": None}))
-                except Exception as e:
-                    error = f"{type(e).__name__}: {e}"
-                    parts.append(pd.DataFrame([{dataset: d, model: m, "n": len(part), "error": error}]))
-            columns = [dataset, model, "truth", "prediction", "n", "error"]
-            yield pd.concat([p.reindex(columns=columns) for p in parts], ignore_index=True)
+                    fill(name, rows)
+                except Exception:
+                    # Only the datasets that fail on their own are failed tasks.
+                    for _, part in rows.groupby(dataset, sort=False):
+                        try:
+                            fill(name, part)
+                        except Exception as e:
+                            errors[part.index] = f"{type(e).__name__}: {e}"
+            failed = errors.notna()
+            cells = pd.DataFrame(
+                {
+                    dataset: batch[dataset],
+                    model: batch[model],
+                    "truth": batch[truth].astype(str).mask(failed, None),
+                    "prediction": labels.mask(failed, None),
+                    "error": errors,
+                }
+            )
+            yield cells.groupby(list(cells.columns), dropna=False, sort=False).size().rename("n").reset_index()
 
     columns = list(dict.fromkeys([dataset, model, truth, *inputs]))
     cells = (

@@ -12,6 +12,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from concord.functions import fixed_values as fixed
+from concord.functions import text
 from concord.operators.small import attach
 
 ITEM, MODEL, LABEL = "item_id", "model", "prediction"
@@ -32,32 +34,30 @@ def collapse(
     ``measures`` column suffix to expression. A voter outside the list fails
     the query instead of vanishing.
     """
-    known = F.when(voter.isin(*voters), F.lit(True)).otherwise(
-        F.raise_error(F.concat(F.lit("voter not in the given list: "), voter.cast("string")))
-    )
     # Measures are computed once per row here, not once per voter in the aggregation.
     cells = {f"_measure{i}": value for i, value in enumerate(measures.values())}
-    prepared = rows.filter(known).select(
-        item.alias(ITEM), voter.alias("_voter"), *[value.alias(name) for name, value in cells.items()]
-    )
-    return prepared.groupBy(ITEM).agg(
-        *[
-            F.min(F.when(F.col("_voter") == key, F.col(cell))).alias(name + suffix)
-            for suffix, cell in zip(measures, cells)
-            for key, name in voters.items()
-        ]
-    )
+    prepared = rows.select(item.alias(ITEM), voter.alias("_voter"), *[v.alias(c) for c, v in cells.items()])
+    listed = ", ".join(text.literal(key) for key in voters)
+    unknown = "raise_error('voter not in the given list: ' || _voter)"
+    minima = [
+        f"min(case when _voter = {text.literal(key)} then {cell} end) as {text.name(name + suffix)}"
+        for suffix, cell in zip(measures, cells)
+        for key, name in voters.items()
+    ]
+    checked = prepared.filter(f"case when _voter in ({listed}) then true else {unknown} end")
+    return checked.groupBy(ITEM).agg(*map(F.expr, minima))
 
 
 def lengthen(wide: DataFrame, voters: Sequence[str], values: Mapping[str, str] = VALUES) -> DataFrame:
     """Wide to long. ``explode`` keeps the partitioning by item, unlike ``unpivot``,
     so later per-item work needs no second shuffle."""
     cells = [
-        F.struct(F.lit(v).alias(MODEL), *[F.col(v + suffix).alias(name) for name, suffix in values.items()])
+        text.struct(**{MODEL: text.literal(v)}, **{value: text.name(v + suffix) for value, suffix in values.items()})
         for v in voters
     ]
-    present = " or ".join(f"{name} is not null" for name in values)
-    return wide.select(ITEM, F.explode(F.array(*cells)).alias("cell")).select(ITEM, "cell.*").filter(present)
+    present = " or ".join(f"cell.{text.name(value)} is not null" for value in values)
+    rows = wide.selectExpr(text.name(ITEM), f"explode(array({', '.join(cells)})) as cell")
+    return rows.filter(present).select(ITEM, "cell.*")
 
 
 def unpivot(wide: DataFrame, voters: Sequence[str], id_column: str = ITEM) -> DataFrame:
@@ -68,11 +68,22 @@ def unpivot(wide: DataFrame, voters: Sequence[str], id_column: str = ITEM) -> Da
 def widen(votes: DataFrame, voters: Sequence[str], values: Mapping[str, str] = VALUES) -> DataFrame:
     """Long to wide, one shuffle on the item."""
     cells = [
-        F.max(F.when(F.col(MODEL) == v, F.col(name))).alias(v + suffix)
-        for name, suffix in values.items()
+        f"max(case when {MODEL} = {text.literal(v)} then {text.name(value)} end) as {text.name(v + suffix)}"
+        for value, suffix in values.items()
         for v in voters
     ]
-    return votes.groupBy(ITEM).agg(*cells)
+    return votes.groupBy(ITEM).agg(*map(F.expr, cells))
+
+
+def map_cells(wide: DataFrame, voters: Sequence[str], expression: str) -> DataFrame:
+    """The wide table with ``expression``, in which ``{}`` stands for the cell, applied to every voter."""
+    cells = {v: f"{expression.replace('{}', text.name(v))} as {text.name(v)}" for v in voters}
+    return wide.selectExpr(*[cells.get(c, text.name(c)) for c in wide.columns])
+
+
+def clean(wide: DataFrame, voters: Sequence[str], mark: str = fixed.ERROR_MARK) -> DataFrame:
+    """The wide table with every failed prediction set to null."""
+    return map_cells(wide, voters, f"case when not contains({{}}, {text.literal(mark)}) then {{}} end")
 
 
 def discover_voters(votes: DataFrame, limit: int = 64) -> list[str]:

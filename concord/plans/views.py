@@ -52,27 +52,26 @@ def _coded_wide(spark: SparkSession, sf_dir: str, latency: bool) -> DataFrame:
     return votes.collapse(rows, F.col("l_orderkey"), F.col("l_linenumber"), VOTERS, measures)
 
 
-def _decoded(column: str):
-    code = F.col(column)
-    flags = F.concat(F.chr(F.shiftright(code, 8)), F.chr(code.bitwiseAND(255)))
-    return F.when(code == ERROR_CODE, F.lit(fixed_values.ERROR_PROCESSING)).when(code.isNotNull(), flags)
+DECODED = (
+    f"case when {{}} = {ERROR_CODE} then '{fixed_values.ERROR_PROCESSING}'"
+    " when {} is not null then chr(shiftright({}, 8)) || chr({} & 255) end"
+)
 
 
 def votes_wide(spark: SparkSession, sf_dir: str, latency: bool = False) -> DataFrame:
     """One row per order with ``m1..m7``, raw predictions, and maybe ``m1_time..m7_time``."""
-    return _coded_wide(spark, sf_dir, latency).withColumns({m: _decoded(m) for m in MODELS})
+    return votes.map_cells(_coded_wide(spark, sf_dir, latency), MODELS, DECODED)
 
 
 def clean_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wide = votes_wide(spark, sf_dir)
-    return wide.withColumns({m: cleaning.null_errors(F.col(m)) for m in MODELS})
+    return votes.clean(votes_wide(spark, sf_dir), MODELS)
 
 
 def raw_votes(spark: SparkSession, sf_dir: str, latency: bool = False) -> DataFrame:
     """``item_id, model, raw_prediction``, maybe ``latency_s``, partitioned by item."""
     values = {"raw_prediction": "", "latency_s": "_time"} if latency else {"raw_prediction": ""}
     coded = votes.lengthen(_coded_wide(spark, sf_dir, latency), MODELS, values)
-    return coded.withColumn("raw_prediction", _decoded("raw_prediction"))
+    return coded.withColumn("raw_prediction", F.expr(DECODED.replace("{}", "raw_prediction")))
 
 
 def clean_votes(spark: SparkSession, sf_dir: str, latency: bool = False) -> DataFrame:
