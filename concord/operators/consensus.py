@@ -48,25 +48,25 @@ def consensus(votes: DataFrame, tie: str = "label") -> DataFrame:
 
 
 def with_consensus(wide: DataFrame, voters: Sequence[str], tie: str = "label") -> DataFrame:
-    """The wide table with each item's consensus beside it: row by row, nothing is moved."""
-    labels = F.filter(F.array(*voters), lambda x: x.isNotNull())
+    """The wide table with each item's consensus beside it: row by row, nothing is moved.
 
-    def ranked(label: Column) -> Column:
-        votes = F.size(F.filter("_labels", lambda x: x == label)).alias("n")
-        order = [F.array_position("_labels", label).alias("first")] if tie == "first_model" else []
-        return F.struct((-votes).alias("n"), *order, label.alias(LABEL))
-
-    best = F.col("_best")
+    A label's rank is the number of cells without it, so the smallest wins.
+    Missing votes are a label of their own that ranks behind all others.
+    """
+    n = len(voters)
+    others = f"if(x is null, {n}, size(array_remove(_labels, x)))"
+    order = "array_position(_labels, x) as first, " if tie == "first_model" else ""
+    votes = " + ".join(f"int({text.name(v)} is not null)" for v in voters)
     return (
-        wide.withColumn("_labels", labels)
-        .withColumn("_distinct", F.array_distinct("_labels"))
-        .withColumn("_best", F.array_min(F.transform("_distinct", ranked)))
-        .select(
-            *wide.columns,
-            best[LABEL].alias("majority"),
-            F.coalesce(-best["n"], F.lit(0)).cast("bigint").alias("top_votes"),
-            F.size("_labels").cast("bigint").alias("n_votes"),
-            F.size("_distinct").cast("bigint").alias("n_labels"),
+        wide.selectExpr("*", f"array({', '.join(map(text.name, voters))}) as _labels", f"{votes} as _votes")
+        .selectExpr("*", "array_distinct(_labels) as _distinct")
+        .selectExpr("*", f"array_min(transform(_distinct, x -> struct({others} as others, {order}x as label))) as _best")
+        .selectExpr(
+            *map(text.name, wide.columns),
+            "_best.label as majority",
+            f"bigint({n} - _best.others) as top_votes",
+            "bigint(_votes) as n_votes",
+            f"bigint(size(_distinct) - int(_votes < {n})) as n_labels",
         )
     )
 
@@ -99,12 +99,17 @@ def judge(votes: DataFrame, tie: str = "label") -> DataFrame:
 def judge_wide(wide: DataFrame, voters: Sequence[str], tie: str = "label") -> DataFrame:
     """Judged votes from the wide table; no shuffle, no join."""
     cells = ", ".join(text.struct(**{MODEL: text.literal(v), LABEL: text.name(v)}) for v in voters)
-    keep = ["majority", "top_votes", "n_votes"]
-    rows = with_consensus(wide, voters, tie).select(
-        ITEM, *keep, F.array(*voters).alias("_labels"), F.expr(f"explode(array({cells}))").alias("cell")
+    rows = with_consensus(wide, voters, tie).selectExpr(
+        ITEM,
+        "majority",
+        "top_votes",
+        "n_votes",
+        f"array({', '.join(map(text.name, voters))}) as _labels",
+        f"explode(array({cells})) as cell",
     )
-    same = F.size(F.filter("_labels", lambda x: x == F.col("cell")[LABEL])).cast("bigint")
-    return rows.select(ITEM, "cell.*", F.when(F.col("cell")[LABEL].isNotNull(), same).otherwise(0).alias("n_label"), *keep)
+    same = f"{len(voters)} - size(array_remove(_labels, cell.{LABEL}))"
+    n_label = f"bigint(if(cell.{LABEL} is null, 0, {same})) as n_label"
+    return rows.selectExpr(ITEM, "cell.*", n_label, "majority", "top_votes", "n_votes")
 
 
 def label_frequency(votes: DataFrame) -> DataFrame:

@@ -30,7 +30,7 @@ def _judged(spark, sf):
        ORDER BY avg(100e0 * top_votes / n_votes) DESC, majority LIMIT 25""",
 )
 def consensus_having(spark, sf):
-    best = consensus.category_consensus(consensus.consensus(views.clean_votes(spark, sf)), n=25, min_items=50)
+    best = consensus.category_consensus(_consensus(spark, sf), n=25, min_items=50)
     return _rounded(best, "consensus_pct")
 
 
