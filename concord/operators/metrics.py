@@ -32,18 +32,20 @@ def confusion(df: DataFrame) -> DataFrame:
 def confusion_dense(df: DataFrame, max_labels: int = 2000) -> DataFrame:
     """All cells over the labels of truth and prediction, zeros included.
 
-    The result has labels² rows, so the label count is checked first; beyond
-    the limit the non-zero cells of ``confusion`` are the form to use.
+    The result has labels² rows, so beyond ``max_labels`` the query fails; the
+    non-zero cells of ``confusion`` are the form to use then.
     """
     cells = confusion(df)
-    labels = cells.select(F.explode(F.array(TRUTH, PREDICTION)).alias("label")).distinct()
-    found = [row[0] for row in labels.orderBy("label").limit(max_labels + 1).collect()]
-    if len(found) > max_labels:
-        raise ValueError(f"more than {max_labels} labels: use confusion()")
-    typ = cells.schema[TRUTH].dataType
-    axis = F.array(*[F.lit(x).cast(typ) for x in found])
-    empty = df.sparkSession.range(1).select(F.explode(axis).alias(TRUTH)).select(
-        TRUTH, F.explode(axis).alias(PREDICTION), F.lit(0).cast("bigint").alias("n")
+    # The filter keeps the counts in this branch, so both branches share one aggregation.
+    found = cells.filter("n > 0").select(F.explode(F.array(TRUTH, PREDICTION)).alias("label"))
+    labels = found.distinct().limit(max_labels + 1)
+    too_many = F.raise_error(F.lit(f"more than {max_labels} labels: use confusion()"))
+    listed = labels.agg(F.collect_list("label").alias("all"))
+    axis = listed.select(F.when(F.size("all") <= max_labels, F.col("all")).otherwise(too_many).alias("axis"))
+    empty = (
+        axis.select("axis", F.explode("axis").alias(TRUTH))
+        .select(TRUTH, F.explode("axis").alias(PREDICTION))
+        .withColumn("n", F.lit(0).cast("bigint"))
     )
     return cells.unionByName(empty).groupBy(TRUTH, PREDICTION).agg(F.sum("n").alias("n"))
 

@@ -8,9 +8,9 @@ without one items are first reduced to their distinct vote patterns.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from itertools import combinations
+from itertools import combinations, combinations_with_replacement
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from concord.functions import text
@@ -19,10 +19,14 @@ from concord.operators.consensus import family_means, record_count
 from concord.operators.votes import ITEM, LABEL, MODEL
 
 
-def pair_counts(wide: DataFrame, voters: Sequence[str]) -> DataFrame:
-    """Per pair of voters, the items both voted on and those they agree on; from the wide table."""
+def pair_counts(wide: DataFrame, voters: Sequence[str], own: bool = False) -> DataFrame:
+    """Per pair of voters, the items both voted on and those they agree on; from the wide table.
+
+    With ``own`` each voter is also paired with itself, which counts its votes.
+    """
     counters, pairs = [], []
-    for i, (a, b) in enumerate(combinations(voters, 2)):
+    chosen = combinations_with_replacement(voters, 2) if own else combinations(voters, 2)
+    for i, (a, b) in enumerate(chosen):
         x, y = text.name(a), text.name(b)
         counters.append(f"count_if({x} is not null and {y} is not null) as both_{i}")
         counters.append(f"count_if({x} = {y}) as same_{i}")
@@ -57,20 +61,22 @@ def pair_counts_long(votes: DataFrame) -> DataFrame:
     )
 
 
-def _both_ways(pairs: DataFrame, rate: str) -> DataFrame:
-    swapped = F.array(F.struct("model_a", "model_b", rate), F.struct(
-        F.col("model_b").alias("model_a"), F.col("model_a").alias("model_b"), rate))
-    return pairs.select(F.inline(swapped))
+def _matrix(pairs: DataFrame, rate: Column) -> DataFrame:
+    """Both triangles and the diagonal from pairs that include each voter with itself."""
+    rows = pairs.withColumn("agreement", rate)
+    one = text.struct(model_a="model_a", model_b="model_b", agreement="agreement")
+    other = text.struct(model_a="model_b", model_b="model_a", agreement="agreement")
+    return rows.selectExpr(f"inline(if(model_a = model_b, array({one}), array({one}, {other})))")
+
+
+def _on_diagonal(value: float, elsewhere: Column) -> Column:
+    return F.when(F.col("model_a") == F.col("model_b"), F.lit(float(value))).otherwise(elsewhere)
 
 
 def agreement_matrix(wide: DataFrame, voters: Sequence[str], scale: float = 100.0) -> DataFrame:
     """Symmetric agreement over the items both voted on; 0 without overlap, diagonal full."""
     rate = F.when(F.col("n_both") > 0, F.lit(scale) * F.col("n_same") / F.col("n_both")).otherwise(F.lit(0.0))
-    pairs = pair_counts(wide, voters).withColumn("agreement", rate)
-    diagonal = wide.sparkSession.createDataFrame(
-        [(v, v, float(scale)) for v in voters], "model_a string, model_b string, agreement double"
-    )
-    return _both_ways(pairs, "agreement").unionByName(diagonal)
+    return _matrix(pair_counts(wide, voters, own=True), _on_diagonal(scale, rate))
 
 
 def agreement_all_rows(
@@ -81,20 +87,8 @@ def agreement_all_rows(
     The diagonal is 100, or with ``diagonal="coverage"`` the share of records
     the voter answered.
     """
-    total = record_count(listing)
-    rate = (F.lit(100.0) * F.col("n_same") / total).alias("agreement")
-    pairs = pair_counts(wide, voters).select("model_a", "model_b", rate)
-    if diagonal == "full":
-        own = wide.sparkSession.createDataFrame(
-            [(v, v, 100.0) for v in voters], "model_a string, model_b string, agreement double"
-        )
-    else:
-        answered = wide.selectExpr(*[f"count({text.name(v)}) as {text.name(v)}" for v in voters])
-        cells = [text.struct(model_a=text.literal(v), model_b=text.literal(v), n=text.name(v)) for v in voters]
-        own = answered.selectExpr(f"inline(array({', '.join(cells)}))").select(
-            "model_a", "model_b", (F.lit(100.0) * F.col("n") / record_count(listing)).alias("agreement")
-        )
-    return _both_ways(pairs, "agreement").unionByName(own)
+    rate = F.lit(100.0) * F.col("n_same") / record_count(listing)
+    return _matrix(pair_counts(wide, voters, own=True), _on_diagonal(100.0, rate) if diagonal == "full" else rate)
 
 
 def intra_family(

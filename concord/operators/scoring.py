@@ -99,7 +99,8 @@ def embed_column(factory: Callable[[], Callable[[object], Sequence[float]]]) ->
                     out.append(None)
             yield pd.Series(out, dtype=object)
 
-    return embed
+    # Otherwise a filter derived from a later explode would run the costly function a second time.
+    return embed.asNondeterministic()
 
 
 def embed_partitions(

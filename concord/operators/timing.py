@@ -12,9 +12,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from concord.functions import text
 from concord.functions.cleaning import eps_ratio, per_second, safe_ratio
-from concord.operators.ordering import SLICE, number_rows, range_slices
+from concord.operators.ordering import SLICE, range_slices
 from concord.operators.small import attach
+from concord.session import materialize
 
 MODEL = "model"
 
@@ -37,24 +39,50 @@ def latency_throughput(
 def quantiles(df: DataFrame, value: str, shares: Sequence[float], names: Sequence[str], key: str = MODEL) -> DataFrame:
     """Exact, linearly interpolated quantiles per key, for groups of any size.
 
-    Built on row numbers instead of ``percentile``, which would hold all
-    distinct values of a group in one task.
+    ``percentile`` would hold all distinct values of a group in one task. Here
+    values are range-partitioned once; slice sizes tell which slices hold the
+    wanted ranks, and only those are read again and sorted.
     """
     present = df.select(key, value).dropna(subset=[value])
-    ranked = number_rows(present, [key], [value], "rank")
-    sizes = present.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    picked = []
-    for share, name in zip(shares, names):
-        position = F.lit(share) * (F.col("n") - 1)
-        for edge, suffix in ((F.floor(position), "lo"), (F.ceil(position), "hi")):
-            picked.append(F.max(F.when(F.col("rank") == edge + 1, F.col(value))).alias(f"{name}_{suffix}"))
-    edges = attach(ranked, sizes, [key]).groupBy(key).agg(F.max("n").alias("n"), *picked)
-    out = []
-    for share, name in zip(shares, names):
-        position = F.lit(share) * (F.col("n") - 1)
-        low, high = F.col(f"{name}_lo"), F.col(f"{name}_hi")
-        out.append((low + (high - low) * (position - F.floor(position))).alias(name))
-    return edges.select(key, *out)
+    sliced = materialize(range_slices(present, [key, value]))
+    sizes = sliced.groupBy(key, SLICE).agg(F.count(F.lit(1)).alias("size"))
+    # One row per key and slice, at most as many as there are partitions per key.
+    slices = Window.partitionBy(key).orderBy(SLICE)
+    placed = sizes.select(
+        key,
+        SLICE,
+        (F.sum("size").over(slices) - F.col("size")).alias("before"),
+        "size",
+        F.sum("size").over(Window.partitionBy(key)).alias("n"),
+    )
+    ranks = [
+        text.struct(edge=text.literal(f"{name}_{edge}"), rank=f"bigint({edge}({share}D * (n - 1))) + 1 - before")
+        for name, share in zip(names, shares)
+        for edge in ("floor", "ceil")
+    ]
+    wanted = (
+        placed.selectExpr(text.name(key), SLICE, "size", "n", f"array({', '.join(ranks)}) as ranks")
+        .selectExpr(text.name(key), SLICE, "n", "filter(ranks, r -> r.rank between 1 and size) as ranks")
+        .filter("size(ranks) > 0")
+    )
+    inside = Window.partitionBy(SLICE, key).orderBy(value)
+    numbered = attach(sliced, wanted, [SLICE, key]).withColumn("at", F.row_number().over(inside))
+    found = numbered.select(key, "n", F.col(value).alias("value"), "at", F.explode("ranks").alias("r")).filter("at = r.rank")
+    edges = found.groupBy(key).agg(
+        F.max("n").alias("n"),
+        *[
+            F.expr(f"max(case when r.edge = {text.literal(f'{name}_{edge}')} then value end) as {name}_{edge}")
+            for name in names
+            for edge in ("floor", "ceil")
+        ],
+    )
+    return edges.selectExpr(
+        text.name(key),
+        *[
+            f"{name}_floor + ({name}_ceil - {name}_floor) * ({share}D * (n - 1) - floor({share}D * (n - 1))) as {name}"
+            for name, share in zip(names, shares)
+        ],
+    )
 
 
 def box_stats(df: DataFrame, value: str, key: str = MODEL, approx: bool = False) -> DataFrame:

@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from concord.functions import fixed_values as fixed
 from concord.functions import text
-from concord.operators.small import attach
 
 ITEM, MODEL, LABEL = "item_id", "model", "prediction"
 VALUES = {LABEL: "", "latency_s": "_time"}
@@ -95,9 +94,13 @@ def discover_voters(votes: DataFrame, limit: int = 64) -> list[str]:
 
 
 def live_votes(votes: DataFrame) -> DataFrame:
-    """Votes of the voters that have at least one valid prediction."""
-    alive = votes.groupBy(MODEL).agg(F.count(LABEL).alias("n")).filter("n > 0").select(MODEL)
-    return attach(votes, alive, [MODEL], "left_semi")
+    """Votes of the voters that have at least one valid prediction.
+
+    The voter names come as one scalar list, so the votes are not shuffled on
+    the few, large voter keys.
+    """
+    alive = votes.groupBy(MODEL).agg(F.count(LABEL).alias("n")).filter("n > 0").agg(F.collect_set(MODEL).alias("m"))
+    return votes.filter(F.array_contains(alive.scalar(), F.col(MODEL)))
 
 
 def select_like(df: DataFrame, *keep: str, suffix: str = "", contains: str = "", drop_suffix: str = "") -> DataFrame:

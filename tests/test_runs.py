@@ -4,6 +4,7 @@ import random
 import statistics
 
 import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from concord.operators import metrics, ordering, runs, sampling, timing
@@ -227,8 +228,8 @@ def test_confusion(spark):
     assert as_set(metrics.confusion(df)) == {("a", "a", 1), ("a", "c", 1), ("b", "a", 2)}
     dense = {(r.truth, r.prediction): r.n for r in metrics.confusion_dense(df).collect()}
     assert len(dense) == 9 and dense["b", "a"] == 2 and dense["c", "c"] == 0
-    with pytest.raises(ValueError):
-        metrics.confusion_dense(df, max_labels=2)
+    with pytest.raises(PySparkException, match="more than 2 labels"):
+        metrics.confusion_dense(df, max_labels=2).collect()
 
 
 def test_valid_pairs(spark):
