@@ -6,14 +6,16 @@ import pytest
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "tools"))
 
-from concord.session import local_session  # noqa: E402
+from concord.session import local_session, release  # noqa: E402
 
 SMALL = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
 def spark():
-    return local_session(cores=8, shuffle_partitions=4, memory="6g")
+    session = local_session(cores=8, shuffle_partitions=4, memory="6g")
+    yield session
+    release(session)
 
 
 def votes_of(spark, table):
