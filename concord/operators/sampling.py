@@ -10,6 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# Hash buckets are named by this many hex digits. The one bucket that gets sorted holds
+# 1/16**DIGITS of the rows, about a million of 10**11.
+DIGITS = 4
+
 
 def _hashed(key: str, seed: int) -> Column:
     return F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}")))
@@ -50,15 +54,12 @@ def _selected(df: DataFrame, key: str, seed: int, wanted, digits: int) -> Column
     return F.coalesce(mine <= _cutoff(df, key, seed, wanted, digits), F.lit(False))
 
 
-def split(df: DataFrame, key: str, train_share: float = 0.8, seed: int = 42, digits: int = 2) -> DataFrame:
-    """Adds ``subset``: exactly ``int(train_share * n)`` rows are ``train``, the rest ``test``.
-
-    Raise ``digits`` with the data: the one bucket that is sorted has 1/16**digits of the rows.
-    """
+def split(df: DataFrame, key: str, train_share: float = 0.8, seed: int = 42, digits: int = DIGITS) -> DataFrame:
+    """Adds ``subset``: exactly ``int(train_share * n)`` rows are ``train``, the rest ``test``."""
     train = _selected(df, key, seed, lambda n: F.floor(F.lit(train_share) * n), digits)
     return df.withColumn("subset", F.when(train, F.lit("train")).otherwise(F.lit("test")))
 
 
-def sample(df: DataFrame, key: str, n: int, seed: int = 42, digits: int = 2) -> DataFrame:
+def sample(df: DataFrame, key: str, n: int, seed: int = 42, digits: int = DIGITS) -> DataFrame:
     """Exactly ``n`` rows without replacement, or all rows when there are no more."""
     return df.filter(_selected(df, key, seed, lambda total: F.least(F.lit(n), total), digits))
