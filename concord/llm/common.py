@@ -82,3 +82,12 @@ TYPES |= {"boolean": T.BooleanType(), "binary": T.BinaryType()}
 def schema(**columns: str) -> T.StructType:
     """A schema that needs no running session, unlike a DDL string."""
     return T.StructType([T.StructField(name, TYPES[kind]) for name, kind in columns.items()])
+
+
+def keyed(*others: str) -> list:
+    """``doc_id`` without nulls, ``no_id`` where it was null, and other columns: pandas keeps long ids exact."""
+    return [F.coalesce("doc_id", F.lit(0)).cast("long").alias("doc_id"), F.col("doc_id").isNull().alias("no_id"), *others]
+
+
+def ids_of(batch) -> list[int | None]:
+    return [None if none else i for i, none in zip(batch.doc_id.tolist(), batch.no_id.tolist(), strict=True)]
