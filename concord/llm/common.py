@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import re
 import tempfile
 import uuid
@@ -70,9 +69,11 @@ def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name), F.lit(""))
 
 
-def same_file(path: str) -> str:
-    """Path without a file: scheme, for libraries that open files by plain path."""
-    return re.sub(r"^file:(//)?(?=/)", "", path) if path.startswith("file:") else os.fspath(path)
+def open_store(path: str):
+    """File system and place of a path, for reading and writing files inside tasks."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path)
 
 
 TYPES = {"long": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(), "string": T.StringType()}

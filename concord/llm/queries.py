@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from concord.llm import line_crf, packing, secrets, token_files
+from concord.llm import line_crf, packing, secrets, token_files, warc
 from concord.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op4_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_crf.screen(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(table(spark, sf_dir, "documents"))
 
@@ -29,8 +33,20 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op4_line_crf": op4_line_crf,
+    "op5_warc": op5_warc,
     "op6_token_files": op6_token_files,
     "op9_packing": op9_packing,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op5_warc": """
+        with p as (
+            select page_id, strlen(coalesce(html, '')) as payload_bytes, sha256(coalesce(html, '')) as payload_digest
+            from pages
+        ), f as (select *, min(page_id) over (partition by payload_digest) as first from p)
+        select page_id, payload_bytes, payload_digest,
+            case when payload_bytes >= 100 and page_id <> first then 'revisit' else 'response' end as record_type,
+            case when payload_bytes >= 100 and page_id <> first then first end as refers_to
+        from f
+    """,
+}

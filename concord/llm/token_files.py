@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from concord.llm.common import ids_of, keyed, n_tasks, schema, shared_folder, written
+from concord.llm.common import ids_of, keyed, n_tasks, open_store, schema, shared_folder, written
 from concord.llm.tokens import Encoder
 
 MAGIC = b"TKF1"
@@ -54,17 +54,11 @@ def unpack(data: bytes, n: int, bits: int) -> np.ndarray:
     return np.packbits(each, axis=1, bitorder="little").view("<u4").ravel()
 
 
-def store(path: str):
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(path)
-
-
 class Writer:
     """Appends documents to one token file."""
 
     def __init__(self, path: str, vocabulary: int):
-        system, place = store(path)
+        system, place = open_store(path)
         system.create_dir(place.rpartition("/")[0], recursive=True)
         self.out = system.open_output_stream(place)
         self.out.write(MAGIC)
@@ -105,7 +99,7 @@ class Reader:
     """Random access to one token file; holds its index and one block."""
 
     def __init__(self, path: str):
-        system, place = store(path)
+        system, place = open_store(path)
         self.file = system.open_input_file(place)
         size = self.file.size()
         self.file.seek(size - struct.calcsize(TRAILER))
