@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from concord.llm import line_crf, packing, secrets, token_files, warc
+from concord.llm import line_crf, packing, secrets, token_files, topk, warc
 from concord.llm.common import table
 
 
@@ -26,6 +26,10 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -35,6 +39,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_line_crf": op4_line_crf,
     "op5_warc": op5_warc,
     "op6_token_files": op6_token_files,
+    "op7_topk": op7_topk,
     "op9_packing": op9_packing,
 }
 
@@ -49,4 +54,23 @@ ORACLES: dict[str, str] = {
             case when payload_bytes >= 100 and page_id <> first then first end as refers_to
         from f
     """,
+    "op7_topk": """
+        with e as (
+            select row_number() over () as row, vec_id, embedding from embeddings
+            where embedding is not null
+                and len(embedding) = len([x for x in embedding if x is not null and isfinite(x)])
+        ), v as (
+            select row, vec_id, unnest(range(len(embedding))) as i,
+                cast(floor(256 * cast(unnest(embedding) as double)) as bigint) as x
+            from e
+        ), s as (
+            select q.row as query_row, q.vec_id as query_id, c.row, c.vec_id, cast(sum(q.x * c.x) as bigint) as score
+            from v q join v c on q.i = c.i and q.row <> c.row
+            where q.vec_id % 50 = 0
+            group by all
+        ), r as (
+            select *, row_number() over (partition by query_row order by score desc, vec_id, row) as rank from s
+        )
+        select query_id, cast(rank as integer) as rank, vec_id, score from r where rank <= 5
+    """,
 }
