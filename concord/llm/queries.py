@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from concord.llm import line_crf, packing, secrets, token_files, topk, warc
+from concord.llm import line_crf, mixing, packing, secrets, token_files, topk, warc
 from concord.llm.common import table
 
 
@@ -14,6 +14,11 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op4_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_crf.screen(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -36,6 +41,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
+    "op2_mixing": op2_mixing,
     "op4_line_crf": op4_line_crf,
     "op5_warc": op5_warc,
     "op6_token_files": op6_token_files,
@@ -44,6 +50,46 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    # a source takes the first words of its shuffled stream, over again when all are taken
+    "op2_mixing": """
+        with d as (
+            select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) as size
+            from documents
+        ), s as (
+            select source, sum(size) as source_size, row_number() over (order by source nulls last) as turn
+            from d group by source
+        ), w as (
+            select *, [1, 2, 3][(turn - 1) % 3 + 1] as weight, 3 * source_size as cap from s
+        ), l as (
+            select *, (sum(source_size) over () - coalesce(sum(cap) over (
+                    order by cap / weight, turn rows between unbounded preceding and 1 preceding), 0))
+                / sum(weight) over (order by cap / weight, turn rows between current row and unbounded following) as level
+            from w
+        ), t as (
+            select source, source_size, ceil(source_size / 32) as blocks,
+                case when cap / weight <= level then cast(cap as double)
+                    else weight * max(level) over () end as target
+            from l
+        ), e as (
+            select *, floor(target / greatest(source_size, 1)) as epochs,
+                least(blocks, round((target - floor(target / greatest(source_size, 1)) * source_size)
+                    / greatest(least(source_size, 32), 1))) as more
+            from t
+        ), q as (
+            select *, epochs + floor(more / greatest(blocks, 1)) as whole,
+                case when more = blocks then 0 else more end * 32 as upto
+            from e
+        ), p as (
+            select d.*, coalesce(sum(size) over (
+                partition by source
+                order by md5('mix:' || coalesce(cast(doc_id as varchar), 'none')), doc_id, size
+                rows between unbounded preceding and 1 preceding), 0) as first
+            from d
+        )
+        select p.doc_id, p.size, cast(q.source_size as bigint) as source_size, q.target,
+            cast(p.size * whole + greatest(0, least(first + p.size, upto) - first) as bigint) as taken
+        from p join q on p.source is not distinct from q.source
+    """,
     "op5_warc": """
         with p as (
             select page_id, strlen(coalesce(html, '')) as payload_bytes, sha256(coalesce(html, '')) as payload_digest
