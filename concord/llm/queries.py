@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from concord.llm import line_crf, mixing, packing, pii, secrets, token_files, topk, warc
+from concord.llm import line_crf, minhash, mixing, packing, pii, secrets, token_files, topk, warc
 from concord.llm.common import table
 
 
@@ -35,6 +35,10 @@ def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings"))
 
 
+def op8_minmax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -50,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_warc": op5_warc,
     "op6_token_files": op6_token_files,
     "op7_topk": op7_topk,
+    "op8_minmax": op8_minmax,
     "op9_packing": op9_packing,
     "op10_pii": op10_pii,
 }
@@ -124,4 +129,29 @@ ORACLES: dict[str, str] = {
         )
         select query_id, cast(rank as integer) as rank, vec_id, score from r where rank <= 5
     """,
+    "op8_minmax": """
+        with recursive w as (
+            select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as w
+            from documents
+        ), s as (
+            select distinct doc_id, shingle from (
+                select doc_id, unnest(case when len(w) between 1 and 4 then [array_to_string(w, ' ')]
+                    else [array_to_string(w[i : i + 4], ' ') for i in range(1, len(w) - 3)] end) as shingle
+                from w
+            )
+        ), n as (select doc_id, count(*) as n from s group by doc_id),
+        i as (
+            select a.doc_id as x, b.doc_id as y, count(*) as together
+            from s a join s b on a.shingle = b.shingle and a.doc_id <> b.doc_id group by all
+        ), e as (
+            select x, y from i join n p on x = p.doc_id join n q on y = q.doc_id
+            where 100 * together >= 75 * (p.n + q.n - together)
+        ), r as (
+            select doc_id, doc_id as other from w
+            union select r.doc_id, e.y from r join e on r.other = e.x
+        ), c as (select doc_id, min(other) as component_id from r group by doc_id)
+        select c.doc_id, coalesce(n.n, 0) as n_shingles, component_id, c.doc_id = component_id as kept
+        from c left join n using (doc_id)
+    """,
 }
