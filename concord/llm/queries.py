@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from concord.llm import line_crf, minhash, mixing, packing, pii, secrets, token_files, topk, warc
+from concord.llm import line_crf, minhash, mixing, packing, pii, secrets, suffix_dedup, token_files, topk, warc
 from concord.llm.common import table
 
 
@@ -19,6 +19,10 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op4_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_crf.screen(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -50,6 +54,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_mixing": op2_mixing,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_line_crf": op4_line_crf,
     "op5_warc": op5_warc,
     "op6_token_files": op6_token_files,
