@@ -120,11 +120,11 @@ def placed(rows: DataFrame, slices: DataFrame, sources: DataFrame) -> DataFrame:
     found = rows.join(firsts, key).withColumn("first", first)
     found = found.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
     first = F.col("first") + F.col("copy") * F.col("size")
-    return found.select("doc_id", "size", "copy", "sid", "source_size", "target", first.alias("first"))
+    return found.select("doc_id", "source", "size", "copy", "sid", "source_size", "target", first.alias("first"))
 
 
 def mix(docs: DataFrame) -> DataFrame:
-    """doc_id, size, source_size, target, taken, and the source: one row per row of ``docs``."""
+    """doc_id, source, size, source_size, target and taken words; ``copy`` counts rows equal in the first three."""
     rows = sized(docs)
     slices = rows.groupBy("source", "slice").agg(F.sum(F.col("size") * F.col("copies")).alias("words"))
     slices = written(slices)
@@ -139,5 +139,7 @@ def mix(docs: DataFrame) -> DataFrame:
     inside = F.least(last + 1, (F.col("block") + 1) * BLOCK) - F.greatest(first, F.col("block") * BLOCK)
     pieces = pieces.withColumn("words", inside).join(times, ["sid", "block"], "left")
     taken = F.sum(F.coalesce(F.col("words") * F.col("times"), F.lit(0))).alias("taken")
-    done = pieces.groupBy("sid", "doc_id", "size", "copy", "source_size", "target").agg(taken)
-    return done.select("doc_id", "size", "source_size", "target", "taken", "sid", "copy")
+    keys = ["sid", "source", "doc_id", "size", "copy", "source_size", "target"]
+    return pieces.groupBy(keys).agg(taken).select(
+        "doc_id", "source", "size", "source_size", "target", "taken", "copy"
+    )
