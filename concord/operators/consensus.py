@@ -4,7 +4,7 @@ Three frames build on each other: ``votes`` (long or wide), the *consensus*
 (one row per item: ``majority, top_votes, n_votes, n_labels``) and the *judged*
 votes (one row per vote: its item's consensus and ``n_label``, the voters that
 gave the same label). Rates over *all* records take their denominator from the
-record listing, one row per record.
+record listing, one row per record, and count votes of listed records alone.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from concord.functions import fixed_values as fixed
 from concord.functions import text
 from concord.functions.rules import lookup
-from concord.operators.votes import ITEM, LABEL, MODEL
+from concord.operators.votes import ITEM, LABEL, MODEL, aligned, only_listed
 
 
 def record_count(listing: DataFrame) -> Column:
@@ -123,9 +123,9 @@ def top_labels(votes: DataFrame, n: int = 10) -> DataFrame:
 
 
 def label_matrix(votes: DataFrame, voters: Sequence[str]) -> DataFrame:
-    """Label by voter counts, 0 where a voter never gave the label."""
+    """Label by voter counts, 0 where a voter never gave the label; a voter outside the list fails the query."""
     cells = [f"count_if({MODEL} = {text.literal(v)}) as {text.name(v)}" for v in voters]
-    return votes.dropna(subset=[LABEL]).groupBy(LABEL).agg(*map(F.expr, cells))
+    return only_listed(votes.dropna(subset=[LABEL]), MODEL, voters).groupBy(LABEL).agg(*map(F.expr, cells))
 
 
 def diversity(votes: DataFrame, approx: bool = False) -> DataFrame:
@@ -137,7 +137,7 @@ def diversity(votes: DataFrame, approx: bool = False) -> DataFrame:
 def top_class_share(votes: DataFrame, listing: DataFrame) -> DataFrame:
     """Most frequent label per voter and its share of all records."""
     return (
-        label_frequency(votes)
+        label_frequency(aligned(votes, listing))
         .groupBy(MODEL)
         .agg(F.min(F.struct(-F.col("n"), F.col(LABEL))).alias("best"), F.count(F.lit(1)).alias("n_labels"))
         .select(
@@ -158,7 +158,7 @@ def agreement_rates(
     Full means one distinct label among at least ``full_min_votes`` votes.
     """
     full = (F.col("n_labels") == 1) & (F.col("n_votes") >= full_min_votes)
-    counts = cons.agg(
+    counts = aligned(cons, listing).agg(
         F.count_if(full).alias("full"),
         F.count_if(F.col("top_votes") >= strong).alias("strong"),
         F.count_if(F.col("top_votes") >= majority).alias("majority"),
@@ -170,7 +170,7 @@ def agreement_rates(
 
 def majority_distribution(cons: DataFrame, n: int = 15) -> DataFrame:
     """Records per majority label, the ``n`` largest."""
-    counts = cons.dropna(subset=["majority"]).groupBy("majority").agg(F.count(F.lit(1)).alias("n"))
+    counts = cons.filter("n_votes > 0").groupBy("majority").agg(F.count(F.lit(1)).alias("n"))
     return counts.orderBy(F.desc("n"), "majority").limit(n)
 
 
@@ -186,7 +186,7 @@ def category_consensus(
 ) -> DataFrame:
     """Mean consensus percent per majority label with at least ``min_items`` records, best ``n``."""
     return (
-        cons.dropna(subset=["majority"])
+        cons.filter("n_votes > 0")  # the cheap column: a filter on the majority would compute it twice
         .groupBy("majority")
         .agg((F.avg(_share(denominator)) * 100.0).alias("consensus_pct"), F.count(F.lit(1)).alias("n_items"))
         .filter(F.col("n_items") >= min_items)
@@ -217,7 +217,7 @@ def _tally(keyed: DataFrame, key: str, without_vote: object, listing: DataFrame,
 
 def consensus_histogram(cons: DataFrame, listing: DataFrame) -> DataFrame:
     """Records per number of agreeing voters; 0 for records without a valid vote."""
-    return _tally(cons.select("top_votes"), "top_votes", 0, listing)
+    return _tally(aligned(cons, listing).select("top_votes"), "top_votes", 0, listing)
 
 
 def _bin(value: Column, edges: Sequence[float], names: Sequence[str], right: bool) -> Column:
@@ -228,7 +228,7 @@ def _bin(value: Column, edges: Sequence[float], names: Sequence[str], right: boo
 def consensus_bins(cons: DataFrame, listing: DataFrame) -> DataFrame:
     """Records per consensus share in five bins closed on the left; no vote counts as share 0."""
     names = fixed.CONSENSUS_BINS
-    binned = cons.select(_bin(_share("valid"), fixed.CONSENSUS_EDGES, names, right=False).alias("bin"))
+    binned = aligned(cons, listing).select(_bin(_share("valid"), fixed.CONSENSUS_EDGES, names, right=False).alias("bin"))
     return _tally(binned, "bin", names[0], listing, names)
 
 
@@ -236,7 +236,7 @@ def agreement_bins(cons: DataFrame, listing: DataFrame, n_voters: int) -> DataFr
     """Records per agreement percent of all voters in three bins closed on the right."""
     names = fixed.AGREEMENT_BINS
     percent = _share(n_voters) * 100.0
-    binned = cons.select(_bin(percent, fixed.AGREEMENT_EDGES, names, right=True).alias("bin"))
+    binned = aligned(cons, listing).select(_bin(percent, fixed.AGREEMENT_EDGES, names, right=True).alias("bin"))
     return _tally(binned, "bin", names[0], listing, names)
 
 
@@ -254,7 +254,7 @@ def unanimity(cons: DataFrame) -> DataFrame:
 
 
 def _share_of_records(judged: DataFrame, hit: Column, listing: DataFrame, name: str) -> DataFrame:
-    counts = judged.groupBy(MODEL).agg(F.count_if(hit).alias("n"))
+    counts = aligned(judged, listing).groupBy(MODEL).agg(F.count_if(hit).alias("n"))
     return counts.select(MODEL, (F.lit(100.0) * F.col("n") / record_count(listing)).alias(name))
 
 
@@ -308,7 +308,8 @@ def family_alignment(
 def error_rates(votes: DataFrame, listing: DataFrame) -> DataFrame:
     """Valid and failed records per voter; an absent or null vote is a failure."""
     return (
-        votes.groupBy(MODEL)
+        aligned(votes, listing)
+        .groupBy(MODEL)
         .agg(F.count(LABEL).alias("n_valid"))
         .withColumn("total", record_count(listing))
         .select(

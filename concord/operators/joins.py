@@ -44,8 +44,11 @@ def task_grid(datasets: DataFrame, models: Sequence[str], available: DataFrame,
 
 
 def upsert_model(existing: DataFrame, new: DataFrame, model: str, listing: DataFrame) -> DataFrame:
-    """The long table with one model's rows replaced, for the records now listed."""
-    kept = existing.filter(F.col(MODEL) != model)
+    """The long table with one model's rows replaced, for the records now listed.
+
+    No new rows at all still replace the old ones; rows without a model stay.
+    """
+    kept = existing.filter(~F.col(MODEL).eqNullSafe(model))
     fresh = new.withColumn(MODEL, F.lit(model))
     return kept.unionByName(fresh, allowMissingColumns=True).join(listing, ITEM, "left_semi")
 

@@ -29,24 +29,18 @@ def confusion(df: DataFrame) -> DataFrame:
     return df.groupBy(TRUTH, PREDICTION).agg(F.count(F.lit(1)).alias("n"))
 
 
-def confusion_dense(df: DataFrame, max_labels: int = 2000) -> DataFrame:
-    """All cells over the labels of truth and prediction, zeros included.
+def confusion_dense(df: DataFrame) -> DataFrame:
+    """All cells over the labels of truth and prediction, zeros included: labels² rows by definition.
 
-    The result has labels² rows, so beyond ``max_labels`` the query fails; the
-    non-zero cells of ``confusion`` are the form to use then.
+    Each label's row of zeros is made where the label is, so the matrix is
+    spread over tasks; only the list of labels is held as one value. Without
+    need for the zeros, ``confusion`` is the form to use.
     """
     cells = confusion(df)
     # The filter keeps the counts in this branch, so both branches share one aggregation.
-    found = cells.filter("n > 0").select(F.explode(F.array(TRUTH, PREDICTION)).alias("label"))
-    labels = found.distinct().limit(max_labels + 1)
-    too_many = F.raise_error(F.lit(f"more than {max_labels} labels: use confusion()"))
-    listed = labels.agg(F.collect_list("label").alias("all"))
-    axis = listed.select(F.when(F.size("all") <= max_labels, F.col("all")).otherwise(too_many).alias("axis"))
-    empty = (
-        axis.select("axis", F.explode("axis").alias(TRUTH))
-        .select(TRUTH, F.explode("axis").alias(PREDICTION))
-        .withColumn("n", F.lit(0).cast("bigint"))
-    )
+    labels = cells.filter("n > 0").select(F.explode(F.array(TRUTH, PREDICTION)).alias(TRUTH)).distinct()
+    axis = labels.agg(F.collect_list(TRUTH)).scalar()
+    empty = labels.select(TRUTH, F.explode(axis).alias(PREDICTION), F.lit(0).cast("bigint").alias("n"))
     return cells.unionByName(empty).groupBy(TRUTH, PREDICTION).agg(F.sum("n").alias("n"))
 
 
@@ -56,11 +50,8 @@ def class_report(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return report_from_cells(cells, keys).drop("tp")
 
 
-def report_from_cells(cells: DataFrame, keys: Sequence[str] = (), carry: Sequence[str] = ()) -> DataFrame:
-    """As ``class_report`` from counted (truth, prediction) cells, with the hits as ``tp``.
-
-    ``carry`` names further cell columns, of which each label keeps the minimum.
-    """
+def report_from_cells(cells: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """As ``class_report`` from counted (truth, prediction) cells, with the hits as ``tp``."""
     hit = F.when(F.col(TRUTH) == F.col(PREDICTION), F.col("n")).otherwise(F.lit(0))
     none = F.lit(0).cast("bigint")
 
@@ -70,9 +61,9 @@ def report_from_cells(cells: DataFrame, keys: Sequence[str] = (), carry: Sequenc
 
     both = F.array(side(TRUTH, hit, F.col("n"), none), side(PREDICTION, none, none, F.col("n")))
     sums = (
-        cells.select(*keys, *carry, F.inline(both))
+        cells.select(*keys, F.inline(both))
         .groupBy(*keys, "label")
-        .agg(*[F.sum(c).alias(c) for c in ("tp", "support", "predicted")], *[F.min(c).alias(c) for c in carry])
+        .agg(*[F.sum(c).alias(c) for c in ("tp", "support", "predicted")])
     )
     return sums.select(
         *keys,
@@ -82,7 +73,6 @@ def report_from_cells(cells: DataFrame, keys: Sequence[str] = (), carry: Sequenc
         _ratio(F.col("tp") * 2, F.col("predicted") + F.col("support")).alias("f1"),
         "support",
         "tp",
-        *carry,
     )
 
 

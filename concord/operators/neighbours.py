@@ -2,22 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pyarrow as pa
+import pandas as pd
+from pyspark import TaskContext
 from pyspark.ml.feature import BucketedRandomProjectionLSH
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.linalg import Vectors
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_type
 
 # Distances are ranked at this many decimals, so that equal vectors tie and the id decides.
 RANK_DECIMALS = 9
 
+#: Vectors compared with as many others at once.
+BLOCK = 512
+
 
 def centroids(vectors: DataFrame, label: str = "label", vector: str = "embedding") -> DataFrame:
     """Mean vector per label; partial sums are combined map-side, one row per label and task."""
@@ -25,22 +27,45 @@ def centroids(vectors: DataFrame, label: str = "label", vector: str = "embedding
     return vectors.groupBy(label).agg(mean).select(label, vector_to_array("mean").alias(vector))
 
 
-def _small_side(df: DataFrame, key: str, vector: str, limit: int) -> tuple[list, np.ndarray]:
-    """Keys and matrix of a side that must stay small; fails beyond ``limit`` rows."""
-    rows = df.select(key, vector).orderBy(key).limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"more than {limit} vectors on the small side")
-    return [r[0] for r in rows], np.array([r[1] for r in rows], dtype="float64")
+def _squared(matrix: np.ndarray, point: np.ndarray) -> np.ndarray:
+    difference = matrix - point
+    return (difference * difference).sum(axis=1)
+
 
+def _blocks(df: DataFrame, columns: list[str], vector: str, prefix: str) -> DataFrame:
+    """Rows in blocks of up to ``BLOCK``: a number, the values of ``columns`` as arrays, and the vectors as bytes."""
+    names = [f"{prefix}{c}" for c in columns]
+    arrays = [T.StructField(n, T.ArrayType(df.schema[c].dataType)) for n, c in zip(names, columns)]
+    numbers = [T.StructField(f"{prefix}block", T.LongType()), T.StructField(f"{prefix}n", T.IntegerType())]
+    schema = T.StructType([*numbers, *arrays, T.StructField(f"{prefix}data", T.BinaryType())])
 
-def _matrix(batch: pa.RecordBatch, column: str) -> np.ndarray:
-    flat = batch.column(column).flatten().to_numpy(zero_copy_only=False)
-    return flat.reshape(batch.num_rows, -1).astype("float64")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        number = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            for at in range(0, len(batch), BLOCK):
+                part = batch.iloc[at : at + BLOCK]
+                data = np.stack([np.asarray(v, dtype="float64") for v in part["_vector"]]).tobytes()
+                row = [number, len(part), *[list(part[n]) for n in names], data]
+                yield pd.DataFrame([row], columns=schema.names)
+                number += 1
 
+    chosen = df.dropna(subset=[vector]).select(*[F.col(c).alias(n) for c, n in zip(columns, names)], F.col(vector).alias("_vector"))
+    return chosen.mapInPandas(run, schema)
 
-def _squared(matrix: np.ndarray, point: np.ndarray) -> np.ndarray:
-    difference = matrix - point
-    return (difference * difference).sum(axis=1)
+
+def _meet(kept: DataFrame, spread: DataFrame, order: str, run: Callable, schema: T.StructType) -> DataFrame:
+    """Every block of ``kept`` with every block of ``spread``, in one task each, sorted by ``order``.
+
+    ``kept`` is dealt over lanes and moves once; ``spread``, the side with
+    fewer vectors, is copied into each lane. Neither side is broadcast or
+    brought to the driver, and a task holds two blocks at a time.
+    """
+    lanes = max(1, int(kept.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    block = kept.columns[0]
+    dealt = kept.withColumn("_lane", F.pmod(F.xxhash64(block), F.lit(lanes)))
+    copies = spread.withColumn("_lane", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(lanes - 1).cast("long"))))
+    pairs = copies.join(dealt.hint("shuffle_hash"), "_lane").drop("_lane")
+    return pairs.sortWithinPartitions(order).mapInPandas(run, schema)
 
 
 def nearest(
@@ -50,55 +75,59 @@ def nearest(
     key: str = "vec_id",
     vector: str = "embedding",
     query_key: str = "query_id",
-    max_queries: int = 1024,
 ) -> DataFrame:
     """Exact ``k`` nearest vectors per query: rank, squared distance and distance.
 
-    The queries are a checked small side shipped to every task. Each task
-    keeps its own ``k`` best per query, so only ``k`` rows per query and
-    partition meet in the final ranking; no pair table is built.
+    Blocks of queries are copied to each lane of vector blocks; a lane keeps
+    the ``k`` best of each query, and those of the lanes are ranked in two
+    steps, so no task sees the candidates of all lanes for one query at once.
+    Queries may be any number of rows; no pair table is built.
     """
-    names, points = _small_side(queries, query_key, vector, max_queries)
-    schema = T.StructType(
+    found = T.StructType(
         [
+            T.StructField("_place", T.LongType()),
             T.StructField(query_key, queries.schema[query_key].dataType),
             T.StructField(key, vectors.schema[key].dataType),
             T.StructField("distance_sq", T.DoubleType()),
         ]
     )
-    query_type = to_arrow_type(queries.schema[query_key].dataType)
-    key_type = to_arrow_type(vectors.schema[key].dataType)
+    q_keys, v_keys = f"q_{query_key}", f"v_{key}"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        block, names, best = None, [], []
+
+        def rows() -> pd.DataFrame:
+            out = [((block << 10) + i, n, o, d) for i, (n, b) in enumerate(zip(names, best)) for d, o in zip(*b)]
+            return pd.DataFrame(out, columns=found.names).astype({query_key: object, key: object})
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: list[tuple[np.ndarray, np.ndarray]] = [(np.array([]), np.array([], dtype=object))] * len(names)
         for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            ids = np.array(batch.column(key).to_pylist(), dtype=object)
-            matrix = _matrix(batch, vector)
-            for i, point in enumerate(points):
-                distance = np.concatenate([best[i][0], _squared(matrix, point)])
-                owner = np.concatenate([best[i][1], ids])
-                order = np.lexsort((owner, np.round(distance, RANK_DECIMALS)))[:k]
-                best[i] = distance[order], owner[order]
-        for i, (distance, owner) in enumerate(best):
-            if len(owner):
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([names[i]] * len(owner), query_type),
-                        pa.array(list(owner), key_type),
-                        pa.array(distance, pa.float64()),
-                    ],
-                    names=[query_key, key, "distance_sq"],
-                )
-
-    candidates = vectors.select(key, vector).dropna().mapInArrow(run, schema)
-    ranked = Window.partitionBy(query_key).orderBy(F.round("distance_sq", RANK_DECIMALS), key)
-    return (
-        candidates.withColumn("rank", F.row_number().over(ranked).cast("bigint"))
-        .filter(F.col("rank") <= k)
-        .withColumn("distance", F.sqrt("distance_sq"))
+            for row in batch.to_dict("records"):
+                if row["q_block"] != block:
+                    if best:
+                        yield rows()
+                    block, names = row["q_block"], list(row[q_keys])
+                    best = [(np.array([]), np.array([], dtype=object))] * len(names)
+                points = np.frombuffer(row["q_data"]).reshape(row["q_n"], -1)
+                matrix = np.frombuffer(row["v_data"]).reshape(row["v_n"], -1)
+                ids = np.array(list(row[v_keys]), dtype=object)
+                for i, point in enumerate(points):
+                    distance = np.concatenate([best[i][0], _squared(matrix, point)])
+                    owner = np.concatenate([best[i][1], ids])
+                    order = np.lexsort((owner, np.round(distance, RANK_DECIMALS)))[:k]
+                    best[i] = distance[order], owner[order]
+        if best:
+            yield rows()
+
+    vectors = vectors.filter(F.col(key).isNotNull())
+    candidates = _meet(
+        _blocks(vectors, [key], vector, "v_"), _blocks(queries, [query_key], vector, "q_"), "q_block", run, found
     )
+    near = [F.round("distance_sq", RANK_DECIMALS), F.col(key)]
+    some = Window.partitionBy("_place", F.pmod(F.xxhash64(key), F.lit(32))).orderBy(*near)
+    first = candidates.withColumn("rank", F.row_number().over(some)).filter(F.col("rank") <= k)
+    rank = F.row_number().over(Window.partitionBy("_place").orderBy(*near)).cast("bigint")
+    ranked = first.withColumn("rank", rank).filter(F.col("rank") <= k).drop("_place")
+    return ranked.withColumn("distance", F.sqrt("distance_sq"))
 
 
 def nearest_lsh(
@@ -107,17 +136,45 @@ def nearest_lsh(
     k: int = 5,
     key: str = "vec_id",
     vector: str = "embedding",
-    bucket_length: float = 2.0,
-    tables: int = 3,
+    tables: int = 32,
     seed: int = 42,
+    probes: int = 64,
 ) -> DataFrame:
-    """Approximate ``k`` nearest vectors of one query by random projection hashing."""
-    rows = vectors.dropna(subset=[vector]).select(key, array_to_vector(F.col(vector)).alias("features"))
+    """Approximate ``k`` nearest vectors of one query: random projections choose, exact distances rank.
+
+    The bucket length follows the spread of the data. Buckets are probed in
+    order of their steps from the query's own, squared and summed over all
+    tables, until they hold ``probes`` times ``k`` vectors, or all there are.
+    Distances are exact, so are the ranks among the vectors found; compare
+    with ``nearest`` for the recall.
+    """
+    rows = vectors.dropna(subset=[vector]).select(key, vector, array_to_vector(F.col(vector)).alias("features"))
+    if rows.isEmpty():
+        return rows.select(key, F.lit(0.0).alias("distance"))
+    stats = rows.agg(F.count("*").alias("n"), Summarizer.variance(F.col("features")).alias("v")).first()
+    # projections on unit vectors spread as the components do: about four buckets to a deviation
+    length = max(float(np.sqrt(np.mean(stats["v"].toArray()))) / 4, 1e-12)
     lsh = BucketedRandomProjectionLSH(
-        inputCol="features", outputCol="hashes", bucketLength=bucket_length, numHashTables=tables, seed=seed
+        inputCol="features", outputCol="hashes", bucketLength=length, numHashTables=tables, seed=seed
+    )
+    model = lsh.fit(rows)
+    asked = rows.sparkSession.createDataFrame([([float(x) for x in query],)], "q array<double>")
+    own = model.transform(asked.select(array_to_vector("q").alias("features"))).first()["hashes"]
+    hashed = model.transform(rows)
+    gaps = [vector_to_array(F.col("hashes")[i])[0] - float(h[0]) for i, h in enumerate(own)]
+    probe = sum((g * g for g in gaps), F.lit(0.0))
+    counts = hashed.groupBy(probe.alias("steps")).agg(F.count("*").alias("n"))
+    wanted = min(probes * k, stats["n"])
+    along = Window.orderBy("steps").rowsBetween(Window.unboundedPreceding, -1)
+    reached = counts.withColumn("before", F.coalesce(F.sum("n").over(along), F.lit(0))).filter(F.col("before") < wanted)
+    upto = reached.agg(F.max("steps")).scalar()
+    square = F.aggregate(
+        F.zip_with(vector, F.array(*[F.lit(float(x)) for x in query]), lambda a, b: a - b),
+        F.lit(0.0),
+        lambda total, d: total + d * d,
     )
-    found = lsh.fit(rows).approxNearestNeighbors(rows, Vectors.dense(query), k, distCol="distance")
-    return found.select(key, "distance")
+    near = hashed.filter(probe <= upto).select(key, F.sqrt(square).alias("distance"))
+    return near.orderBy(F.round("distance", RANK_DECIMALS), key).limit(k)
 
 
 def nearest_centroid(
@@ -126,14 +183,13 @@ def nearest_centroid(
     key: str = "vec_id",
     vector: str = "embedding",
     label: str = "label",
-    max_classes: int = 4096,
 ) -> DataFrame:
     """``key, truth, prediction, distance_sq``: each vector's nearest class centre, ties to the smaller label.
 
-    The centres are a checked small side; the vectors are never shuffled.
+    Blocks of centres are copied to each lane of vector blocks, so there may
+    be any number of classes; a vector meets all centres in one task.
     """
-    labels, points = _small_side(centres, label, vector, max_classes)
-    schema = T.StructType(
+    found = T.StructType(
         [
             T.StructField(key, vectors.schema[key].dataType),
             T.StructField("truth", vectors.schema[label].dataType),
@@ -142,21 +198,33 @@ def nearest_centroid(
         ]
     )
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        block, held, best = None, None, None
+
+        def rows() -> pd.DataFrame:
+            out = {key: list(held[f"v_{key}"]), "truth": list(held[f"v_{label}"]), "prediction": best[1], "distance_sq": best[0]}
+            return pd.DataFrame(out).astype({c: object for c in (key, "truth", "prediction")})
+
         for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            matrix = _matrix(batch, vector)
-            distances = np.stack([_squared(matrix, point) for point in points], axis=1)
-            pick = np.round(distances, RANK_DECIMALS).argmin(axis=1)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(key),
-                    batch.column(label),
-                    pa.array([labels[i] for i in pick], batch.schema.field(label).type),
-                    pa.array(distances[np.arange(len(pick)), pick]),
-                ],
-                names=[key, "truth", "prediction", "distance_sq"],
-            )
-
-    return vectors.select(key, label, vector).dropna(subset=[vector]).mapInArrow(run, schema)
+            for row in batch.to_dict("records"):
+                if row["v_block"] != block:
+                    if held is not None:
+                        yield rows()
+                    block, held, best = row["v_block"], row, None
+                matrix = np.frombuffer(row["v_data"]).reshape(row["v_n"], -1)
+                points = np.frombuffer(row["c_data"]).reshape(row["c_n"], -1)
+                labels = np.array(list(row[f"c_{label}"]), dtype=object)
+                order = np.argsort(labels, kind="stable")
+                distances = np.stack([_squared(matrix, points[i]) for i in order], axis=1)
+                pick = np.round(distances, RANK_DECIMALS).argmin(axis=1)
+                distance, name = distances[np.arange(len(pick)), pick], labels[order][pick]
+                if best is not None:
+                    new, old = np.round(distance, RANK_DECIMALS), np.round(best[0], RANK_DECIMALS)
+                    keep = (old < new) | ((old == new) & (best[1] <= name))
+                    distance, name = np.where(keep, best[0], distance), np.where(keep, best[1], name)
+                best = distance, name
+        if held is not None:
+            yield rows()
+
+    spread = _blocks(centres.filter(F.col(label).isNotNull()), [label], vector, "c_")
+    return _meet(_blocks(vectors, [key, label], vector, "v_"), spread, "v_block", run, found)

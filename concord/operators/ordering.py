@@ -8,33 +8,47 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from concord.operators.small import attach
-from concord.session import materialize
 
 SLICE = "_slice"
+#: Slices a key is cut into.
+SLICES = 64
 
 
-def range_slices(df: DataFrame, order: Sequence[str]) -> DataFrame:
-    """Rows range-partitioned by ``order``, each marked with its partition.
+def sliced(df: DataFrame, keys: Sequence[str], by: Column, n: int = SLICES) -> DataFrame:
+    """Rows marked with their slice along ``by`` within ``keys``: 0 up to at most ``n - 1``.
 
-    A key that holds much of the data is cut into several slices, since the
-    cut points come from a sample of the full ordering columns.
+    Slices are numbered like the values, and equal values share one. The cut
+    points are approximate quantiles per key, found in a first pass that
+    shuffles only sketches and held as one value, a list per key. A row's slice
+    follows from its own values, so a task that runs again gives the same
+    slices, and no row moves for it.
     """
-    return df.repartitionByRange(*order).withColumn(SLICE, F.spark_partition_id())
-
-
-def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "row_number") -> DataFrame:
+    shares = [i / n for i in range(1, n)]
+    key = F.struct(*keys) if keys else F.struct(F.lit(0).alias("all"))
+    points = F.array_distinct(F.percentile_approx(F.col("_by"), F.array(*map(F.lit, shares)), 100 * n))
+    marked = df.withColumn("_key", key).withColumn("_by", by)
+    cuts = marked.groupBy("_key").agg(points.alias("points"))
+    found = cuts.agg(F.map_from_entries(F.collect_list(F.struct("_key", "points")))).scalar()
+    marked = marked.withColumn("_cuts", F.element_at(found, F.col("_key")))
+    below = F.size(F.filter("_cuts", lambda c: c < F.col("_by")))
+    return marked.withColumn(SLICE, F.when(F.col("_by").isNull(), F.lit(-1)).otherwise(below)).drop("_key", "_by", "_cuts")
+
+
+def number_rows(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "row_number", by: Column | None = None
+) -> DataFrame:
     """Row number from 1 within ``keys`` along ``order``, exact for groups of any size.
 
-    Rows are numbered inside range slices and shifted by the sizes of the
-    earlier slices of the key. The slices are written once, as both the sizes
-    and the numbers must see the same cut points.
+    Rows are numbered inside slices of each key and shifted by the sizes of
+    its earlier slices, so the rows move once, by key and slice. ``by`` is a
+    number that rises with the first of ``order``; by default that column.
     """
-    sliced = materialize(range_slices(df, [*keys, *order]))
-    sizes = sliced.groupBy(SLICE, *keys).agg(F.count(F.lit(1)).alias("_size"))
+    marked = sliced(df, keys, F.col(order[0]).cast("double") if by is None else by)
+    sizes = marked.groupBy(SLICE, *keys).agg(F.count(F.lit(1)).alias("_size"))
     before = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
     shifts = sizes.withColumn("_shift", F.coalesce(F.sum("_size").over(before), F.lit(0))).drop("_size")
     inside = Window.partitionBy(SLICE, *keys).orderBy(*order)
-    numbered = attach(sliced.withColumn("_inside", F.row_number().over(inside)), shifts, [SLICE, *keys])
+    numbered = attach(marked.withColumn("_inside", F.row_number().over(inside)), shifts, [SLICE, *keys])
     return numbered.select(*df.columns, (F.col("_inside") + F.col("_shift")).alias(name))
 
 

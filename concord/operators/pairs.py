@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from concord.functions import text
 from concord.functions.rules import lookup
 from concord.operators.consensus import family_means, record_count
-from concord.operators.votes import ITEM, LABEL, MODEL
+from concord.operators.votes import ITEM, LABEL, MODEL, aligned
 
 
 def pair_counts(wide: DataFrame, voters: Sequence[str], own: bool = False) -> DataFrame:
@@ -88,6 +88,7 @@ def agreement_all_rows(
     the voter answered.
     """
     rate = F.lit(100.0) * F.col("n_same") / record_count(listing)
+    wide = aligned(wide, listing)
     return _matrix(pair_counts(wide, voters, own=True), _on_diagonal(100.0, rate) if diagonal == "full" else rate)
 
 
@@ -107,7 +108,7 @@ def intra_family(
         return fixed
     first = lookup(F.col("model_a"), family_of)
     pairs = (
-        pair_counts(wide, voters)
+        pair_counts(aligned(wide, listing), voters)
         .filter(first == lookup(F.col("model_b"), family_of))
         .withColumn("intra_pct", F.lit(100.0) * F.col("n_same") / record_count(listing))
     )

@@ -6,6 +6,7 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from concord.operators import metrics, sampling
 
@@ -22,17 +23,23 @@ def linear_probe(
 ) -> DataFrame:
     """``key, truth, prediction`` on the test part of an exact split, after training on the rest.
 
-    Only the linear layer is trained, by distributed L-BFGS.
+    Only the linear layer is trained, by distributed L-BFGS. Classes may be
+    of any type, also text or ids with gaps: the model sees their positions
+    in the sorted list of classes, one value per class.
     """
-    parts = sampling.split(vectors, key, train_share, seed).select(
-        key, F.col(label).cast("double").alias("y"), array_to_vector(F.col(vector)).alias("features"), "subset"
+    rows = vectors.dropna(subset=[label, vector])
+    classes = rows.agg(F.array_sort(F.collect_set(label)).alias("c")).first()["c"]
+    known = F.array(*[F.lit(c) for c in classes]).cast(T.ArrayType(vectors.schema[label].dataType))
+    position = (F.array_position(known, F.col(label)) - 1).cast("double")
+    parts = sampling.split(rows, key, train_share, seed).select(
+        key, F.col(label).alias("truth"), position.alias("y"), array_to_vector(F.col(vector)).alias("features"), "subset"
     )
     model = LogisticRegression(
         labelCol="y", featuresCol="features", maxIter=max_iter, regParam=reg_param, predictionCol="predicted"
     ).fit(parts.filter("subset = 'train'"))
     tested = model.transform(parts.filter("subset = 'test'"))
-    typ = vectors.schema[label].dataType
-    return tested.select(key, F.col("y").cast(typ).alias("truth"), F.col("predicted").cast(typ).alias("prediction"))
+    named = F.element_at(known, (F.col("predicted") + 1).cast("int"))
+    return tested.select(key, "truth", named.alias("prediction"))
 
 
 def probe_scores(tested: DataFrame) -> DataFrame:

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from concord.functions import fixed_values as fixed
 from concord.functions.cleaning import eps_ratio
 from concord.functions.rules import lookup
+from concord.operators.votes import only_listed
 
 DATASET, MODEL = "dataset", "model"
 
@@ -40,9 +41,19 @@ def best_by(summary: DataFrame, highest: Sequence[str] = (), lowest: Sequence[st
     return best.select(F.inline(F.array(*[f"best_{i}" for i in range(len(cells))])))
 
 
-def metric_pivot(runs: DataFrame, metric: str, datasets: Sequence[str], mean_name: str) -> DataFrame:
-    """Model by dataset means, with the mean over the cells a model has, best first."""
-    cells = runs.groupBy(MODEL).pivot(DATASET, list(datasets)).agg(F.avg(metric))
+def datasets_of(runs: DataFrame) -> list[str]:
+    """Sorted dataset names; costs a job and brings one name per dataset."""
+    return [row[0] for row in runs.select(DATASET).distinct().orderBy(DATASET).collect()]
+
+
+def metric_pivot(runs: DataFrame, metric: str, datasets: Sequence[str] | None, mean_name: str) -> DataFrame:
+    """Model by dataset means, with the mean over the cells a model has, best first.
+
+    Without a list the datasets are those that occur; with one, a dataset
+    outside it fails the query by name.
+    """
+    datasets = datasets_of(runs) if datasets is None else datasets
+    cells = only_listed(runs, DATASET, datasets).groupBy(MODEL).pivot(DATASET, list(datasets)).agg(F.avg(metric))
     present = F.filter(F.array(*[F.col(f"`{d}`") for d in datasets]), lambda x: x.isNotNull())
     mean = F.when(F.size(present) > 0, F.aggregate(present, F.lit(0.0), lambda a, x: a + x) / F.size(present))
     return cells.withColumn(mean_name, mean).orderBy(F.desc_nulls_last(mean_name), MODEL)
@@ -92,10 +103,18 @@ def energy_columns(runs: DataFrame, watts: Mapping[str, float] = fixed.ASSUMED_W
         .withColumn("energy_per_image_mj", F.when(throughput != 0, power / throughput) * 1000.0)
         .withColumn("accuracy_per_watt", F.col("accuracy") / power)
         .withColumn("throughput_per_watt", throughput / power)
-        .orderBy(DATASET, F.desc("accuracy"), "energy_j")
     )
 
 
+#: Row order of a written energy table.
+ENERGY_ORDER = (F.asc, DATASET), (F.desc, "accuracy"), (F.asc, "energy_j")
+
+
+def in_energy_order(with_energy: DataFrame) -> DataFrame:
+    """Sorted for a report, once, where it is written."""
+    return with_energy.orderBy(*[order(column) for order, column in ENERGY_ORDER])
+
+
 ENERGY_METRICS = [
     "accuracy",
     "throughput",
@@ -109,9 +128,8 @@ ENERGY_METRICS = [
 
 
 def energy_summary(with_energy: DataFrame) -> DataFrame:
-    """Mean of the energy figures per model, most accurate first."""
-    means = with_energy.groupBy(MODEL).agg(*[F.avg(m).alias(m) for m in ENERGY_METRICS])
-    return means.orderBy(F.desc("accuracy"), MODEL)
+    """Mean of the energy figures per model."""
+    return with_energy.groupBy(MODEL).agg(*[F.avg(m).alias(m) for m in ENERGY_METRICS])
 
 
 def quality_gate(df: DataFrame, label: str, keys: Sequence[str] = (), min_classes: int = 5) -> DataFrame:
@@ -132,12 +150,12 @@ def assert_min_classes(df: DataFrame, label: str, min_classes: int = 5) -> DataF
 
 def against_mean(summary: DataFrame, metrics: Sequence[str], key: str = DATASET) -> DataFrame:
     """Each row's side, ``above`` or ``below``, of its dataset's mean per metric."""
-    means = summary.groupBy(key).agg(*[F.avg(m).alias(f"{m}_mean") for m in metrics])
+    own = Window.partitionBy(key)  # a summary: one row per model and dataset
     sides: list[Column] = [
-        F.when(F.col(m) >= F.col(f"{m}_mean"), F.lit("above")).otherwise(F.lit("below")).alias(f"{m}_side")
+        F.when(F.col(m) >= F.avg(m).over(own), F.lit("above")).otherwise(F.lit("below")).alias(f"{m}_side")
         for m in metrics
     ]
-    return summary.join(means, key).select(*summary.columns, *sides)
+    return summary.select(*summary.columns, *sides)
 
 
 def table_rows(df: DataFrame, text: Sequence[str], numbers: Sequence[str], digits: int = 2, missing: str = "NaN") -> DataFrame:

@@ -1,8 +1,10 @@
 """User-supplied scorers over partitions.
 
 A factory is called once per partition, as loading a model is the dear part.
-What it returns scores a batch, given as a pandas frame. A batch that fails is
-scored record by record, so one bad record never costs its neighbours.
+What it returns works on a batch of at most ``batch_size`` records, whatever
+Spark sends at once: records may be files that take much room once decoded. A
+batch that fails is halved until the bad records stand alone, so one of them
+costs a few extra calls and never its neighbours.
 """
 
 from __future__ import annotations
@@ -20,28 +22,34 @@ from concord.functions import fixed_values as fixed
 from concord.operators import metrics
 
 Scorer = Callable[[pd.DataFrame], Sequence]
+#: Records given to a scorer at once. Files need far less: 4 in the programs rebuilt here.
+BATCH_SIZE = 1024
 
 
-def _score_batch(score: Scorer, batch: pd.DataFrame, failed) -> tuple[list, list]:
-    """One result per record and the seconds it took; ``failed`` and 0.0 where the scorer raises."""
-    start = time.perf_counter()
+def _parts(batch, size: int) -> Iterator:
+    for at in range(0, len(batch), size):
+        yield batch.iloc[at : at + size]
+
+
+def _halving(work: Callable[[object], Sequence], batch, failed) -> tuple[list, list]:
+    """One result per record and the seconds it took; ``failed`` and 0.0 where ``work`` raises.
+
+    Records that were worked on together share the time equally. As many
+    results as records are expected; else none of them can be told apart.
+    """
+    start, whole = time.perf_counter(), len(batch) <= 1
     try:
-        results = list(score(batch))
+        results = list(work(batch))
         if len(results) == len(batch):
             return results, [(time.perf_counter() - start) / max(len(batch), 1)] * len(batch)
+        whole = True
     except Exception:
         pass
-    results, seconds = [], []
-    for i in range(len(batch)):
-        start = time.perf_counter()
-        try:
-            (result,) = score(batch.iloc[i : i + 1])
-            results.append(result)
-            seconds.append(time.perf_counter() - start)
-        except Exception:
-            results.append(failed)
-            seconds.append(0.0)
-    return results, seconds
+    if whole:
+        return [failed] * len(batch), [0.0] * len(batch)
+    middle = len(batch) // 2
+    first, second = (_halving(work, part, failed) for part in (batch.iloc[:middle], batch.iloc[middle:]))
+    return first[0] + second[0], first[1] + second[1]
 
 
 def score_partitions(
@@ -51,12 +59,14 @@ def score_partitions(
     key: str = "item_id",
     latency: bool = False,
     num_partitions: int | None = None,
+    batch_size: int = BATCH_SIZE,
 ) -> DataFrame:
     """One prediction per record: ``key, prediction[, latency_s]``, as many rows as came in.
 
     A record that fails gives ``Error_Processing``; when the factory fails
     every record gives ``Error_Model_Load``. ``num_partitions`` spreads a
-    costly scorer over more tasks than the scan has.
+    costly scorer over more tasks than the scan has. A latency is a record's
+    share of its batch; ``batch_size=1`` times each record on its own.
     """
     load_error, record_error = fixed.ERROR_MODEL_LOAD, fixed.ERROR_PROCESSING
     fields = [df.schema[key], T.StructField("prediction", T.StringType())]
@@ -69,14 +79,15 @@ def score_partitions(
         except Exception:
             score = None
         for batch in batches:
-            if score is None:
-                labels, seconds = [load_error] * len(batch), [0.0] * len(batch)
-            else:
-                labels, seconds = _score_batch(score, batch, record_error)
-            out = {key: batch[key], "prediction": labels}
-            if latency:
-                out["latency_s"] = np.asarray(seconds, dtype="float32")
-            yield pd.DataFrame(out)
+            for part in _parts(batch, batch_size):
+                if score is None:
+                    labels, seconds = [load_error] * len(part), [0.0] * len(part)
+                else:
+                    labels, seconds = _halving(score, part, record_error)
+                out = {key: part[key], "prediction": labels}
+                if latency:
+                    out["latency_s"] = np.asarray(seconds, dtype="float32")
+                yield pd.DataFrame(out)
 
     rows = df.select(key, *[c for c in inputs if c != key])
     if num_partitions:
@@ -84,19 +95,33 @@ def score_partitions(
     return rows.mapInPandas(run, T.StructType(fields))
 
 
-def embed_column(factory: Callable[[], Callable[[object], Sequence[float]]]) -> Callable[[Column], Column]:
-    """A column function from a record to its vector, null for a record that fails."""
+Embedder = Callable[[pd.Series], Sequence]
+
+
+def each_record(factory: Callable[[], Callable[[object], Sequence[float]]]) -> Callable[[], Embedder]:
+    """A batch embedder from a factory of functions for one record."""
+
+    def make() -> Embedder:
+        vector = factory()
+        return lambda records: [vector(record) for record in records]
+
+    return make
+
+
+def embed_column(factory: Callable[[], Embedder], batch_size: int = BATCH_SIZE) -> Callable[[Column], Column]:
+    """A column function from records to vectors, null for a record that fails.
+
+    The factory returns a function from a series of records to their vectors,
+    so decoding and one model call can share a batch.
+    """
 
     @F.pandas_udf(T.ArrayType(T.FloatType()))
     def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        vector = factory()
+        vectors = factory()
         for batch in batches:
             out = []
-            for record in batch:
-                try:
-                    out.append(vector(record))
-                except Exception:
-                    out.append(None)
+            for part in _parts(batch, batch_size):
+                out += _halving(vectors, part, None)[0]
             yield pd.Series(out, dtype=object)
 
     # Otherwise a filter derived from a later explode would run the costly function a second time.
@@ -105,28 +130,24 @@ def embed_column(factory: Callable[[], Callable[[object], Sequence[float]]]) ->
 
 def embed_partitions(
     df: DataFrame,
-    factory: Callable[[], Callable[[object], Sequence[float]]],
+    factory: Callable[[], Embedder],
     key: str = "path",
     content: str = "content",
+    batch_size: int = BATCH_SIZE,
 ) -> DataFrame:
     """``key, embedding`` with L2-normalised vectors; a record that fails gives no row."""
     schema = T.StructType([df.schema[key], T.StructField("embedding", T.ArrayType(T.FloatType()))])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        vector = factory()
+        vectors = factory()
         for batch in batches:
-            keys, vectors = [], []
-            for name, record in zip(batch[key], batch[content]):
-                try:
-                    raw = np.asarray(vector(record), dtype="float64")
-                except Exception:
-                    continue
-                norm = np.sqrt((raw * raw).sum())
-                if norm > 0:
-                    keys.append(name)
-                    vectors.append((raw / norm).astype("float32"))
-            if keys:
-                yield pd.DataFrame({key: keys, "embedding": vectors})
+            for part in _parts(batch, batch_size):
+                found, _ = _halving(vectors, part[content], None)
+                keep = np.array([v is not None and bool(np.any(v)) for v in found], dtype=bool)
+                if keep.any():
+                    raw = [np.asarray(v, dtype="float64") for v, k in zip(found, keep) if k]
+                    units = [(v / np.sqrt((v * v).sum())).astype("float32") for v in raw]
+                    yield pd.DataFrame({key: part[key][keep], "embedding": pd.Series(units, index=part.index[keep])})
 
     return df.select(key, content).mapInPandas(run, schema)
 
@@ -137,70 +158,71 @@ def evaluate_grid(
     inputs: Sequence[str],
     truth: str = "truth",
     keys: tuple[str, str] = ("dataset", "model"),
+    batch_size: int = BATCH_SIZE,
+    spread: int = 32,
 ) -> DataFrame:
     """Test size, accuracy and macro scores per (dataset, model), or the error that stopped that task.
 
-    ``factory`` makes the scorer of a model, once per partition. Each batch
-    gives counted (truth, prediction) cells per task, so a large task spreads
-    over many partitions and only counters are shuffled. One failed batch
-    fails the whole task. Labels are compared as text.
+    ``factory`` makes the scorer of a model. Rows are put in order of the model
+    inside ``spread`` lanes each, so a task holds one scorer at a time and loads
+    each once, and a large model spreads over many tasks. A factory that fails
+    is not called again in that task. Each batch gives counted (truth,
+    prediction) cells, so only counters are shuffled on. One failed batch fails
+    the whole (dataset, model). Labels are compared as text; a null truth is no
+    class, and its record is left out.
     """
     dataset, model = keys
     schema = f"{dataset} string, {model} string, truth string, prediction string, error string, n bigint"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scorers: dict[str, Scorer] = {}
+        held: tuple[str | None, Scorer | None, str | None] = (None, None, None)
         for batch in batches:
-            labels = pd.Series(None, index=batch.index, dtype=object)
-            errors = pd.Series(None, index=batch.index, dtype=object)
-
-            def fill(name: str, part: pd.DataFrame) -> None:
-                if name not in scorers:
-                    scorers[name] = factory(name)
-                predicted = list(scorers[name](part))
-                if len(predicted) != len(part):
-                    raise ValueError("as many predictions as records expected")
-                labels[part.index] = [str(p) for p in predicted]
-
-            for name, rows in batch.groupby(model, sort=False):
+            cells: dict[tuple, int] = {}
+            for (name, data), rows in batch.groupby([model, dataset], sort=False, dropna=False):
+                if held[0] != name or (held[1] is None and held[2] is None):
+                    held = (None, None, None)  # the last scorer goes before the next one comes
+                    try:
+                        held = (name, factory(name), None)
+                    except Exception as e:
+                        held = (name, None, f"{type(e).__name__}: {e}")
+                error, data = held[2], None if pd.isna(data) else data
+                predicted: list[str] = []
                 try:
-                    fill(name, rows)
-                except Exception:
-                    # Only the datasets that fail on their own are failed tasks.
-                    for _, part in rows.groupby(dataset, sort=False):
-                        try:
-                            fill(name, part)
-                        except Exception as e:
-                            errors[part.index] = f"{type(e).__name__}: {e}"
-            failed = errors.notna()
-            cells = pd.DataFrame(
-                {
-                    dataset: batch[dataset],
-                    model: batch[model],
-                    "truth": batch[truth].astype(str).mask(failed, None),
-                    "prediction": labels.mask(failed, None),
-                    "error": errors,
-                }
-            )
-            yield cells.groupby(list(cells.columns), dropna=False, sort=False).size().rename("n").reset_index()
+                    for part in _parts(rows, batch_size) if error is None else ():
+                        found = [str(p) for p in held[1](part)]
+                        if len(found) != len(part):
+                            raise ValueError("as many predictions as records expected")
+                        predicted += found
+                except Exception as e:
+                    error = f"{type(e).__name__}: {e}"
+                if error is not None:
+                    cell = (data, name, None, None, error)
+                    cells[cell] = cells.get(cell, 0) + len(rows)
+                    continue
+                for true, label in zip(rows[truth], predicted):
+                    cell = (data, name, str(true), label, None)
+                    cells[cell] = cells.get(cell, 0) + 1
+            out = pd.DataFrame([(*cell, n) for cell, n in cells.items()], columns=columns_out)
+            yield out.astype({c: object for c in columns_out[:-1]})
 
+    columns_out = [dataset, model, "truth", "prediction", "error", "n"]
     columns = list(dict.fromkeys([dataset, model, truth, *inputs]))
-    cells = (
-        records.select(*columns)
-        .mapInPandas(run, schema)
-        .groupBy(dataset, model, "truth", "prediction")
-        .agg(F.sum("n").alias("n"), F.min("error").alias("error"))
-    )
-    # A failed batch is a cell without labels that carries the error.
-    labels = metrics.report_from_cells(cells, [dataset, model], carry=["error"])
+    lane = F.pmod(F.xxhash64(*columns), F.lit(spread)).alias("_lane")
+    laned = records.filter(F.col(truth).isNotNull()).select(*columns, lane).repartition(model, "_lane")
+    counted = laned.sortWithinPartitions(model).drop("_lane").mapInPandas(run, schema)
+    # A failed part is a cell without labels; its error is a key, so counting stays a hash aggregation.
+    cells = counted.groupBy(dataset, model, "truth", "prediction", "error").agg(F.sum("n").alias("n"))
+    labels = metrics.report_from_cells(cells, [dataset, model, "error"])
     known = F.col("label").isNotNull()
-    ok = F.col("error").isNull()
+    figures = {
+        "num_classes": F.count_if(known & (F.col("support") > 0)),
+        "test_samples": F.sum("support"),
+        "accuracy": F.lit(100.0) * F.sum("tp") / F.sum("support"),
+        **{f"macro_{c}": F.avg(F.when(known, F.col(c))) * 100.0 for c in metrics.MACRO},
+    }
+    # One row per label from here on; the figures of a failed task are dropped.
     totals = labels.groupBy(dataset, model).agg(
-        F.min("error").alias("error"),
-        F.count_if(F.col("support") > 0).alias("num_classes"),
-        F.sum("support").alias("test_samples"),
-        (F.lit(100.0) * F.sum("tp") / F.sum("support")).alias("accuracy"),
-        *[(F.avg(F.when(known, F.col(c))) * 100.0).alias(f"macro_{c}") for c in metrics.MACRO],
+        *[c.alias(name) for name, c in figures.items()], F.min("error").alias("error")
     )
-    figures = ["num_classes", "test_samples", "accuracy", *[f"macro_{c}" for c in metrics.MACRO]]
-    return totals.select(dataset, model, *[F.when(ok, F.col(c)).alias(c) for c in figures], "error")
+    ok = F.col("error").isNull()
+    return totals.select(dataset, model, *[F.when(ok, F.col(name)).alias(name) for name in figures], "error")

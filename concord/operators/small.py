@@ -1,4 +1,4 @@
-"""Joins with a side that is expected, but not known, to be small."""
+"""Joins of rows with summaries."""
 
 from __future__ import annotations
 
@@ -6,25 +6,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def attach(df: DataFrame, small: DataFrame, on: list[str], how: str = "inner", limit: int = 100_000) -> DataFrame:
-    """``df`` joined with ``small``, keys compared null-safe.
+def attach(df: DataFrame, summary: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """``df`` joined with a summary, keys compared null-safe.
 
-    ``small`` is computed first. Up to ``limit`` rows it is broadcast, so the
-    large side does not move and a hot key costs nothing; beyond that it stays
-    an ordinary join. Summaries with a row per voter or class are estimated
-    far too large by the optimizer, which would shuffle the large side on a
-    handful of keys.
+    An ordinary join: at run time Spark turns it into a broadcast if the
+    summary proves small enough, and else splits a hot key of ``df``.
     """
-    rows = small.limit(limit + 1).collect()
-    right = small
-    if len(rows) <= limit:
-        right = F.broadcast(df.sparkSession.createDataFrame(rows, small.schema))
-    left, right = df.alias("l"), right.alias("r")
+    left, right = df.alias("l"), summary.alias("r")
     same = F.lit(True)
     for key in on:
         same = same & F.col(f"l.{key}").eqNullSafe(F.col(f"r.{key}"))
     joined = left.join(right, same, how)
     if how in ("left_semi", "left_anti"):
         return joined
-    added = [F.col(f"r.`{c}`") for c in small.columns if c not in on]
+    added = [F.col(f"r.`{c}`") for c in summary.columns if c not in on]
     return joined.select(*[F.col(f"l.`{c}`") for c in df.columns], *added)

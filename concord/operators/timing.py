@@ -1,8 +1,9 @@
 """Latency, timing trials and energy from sampled power.
 
 Order-dependent figures never sort a whole model in one task: rows are cut
-into range slices, each slice gives a partial result, and only the slice edges
-are put in order.
+into slices along the order, each slice gives a partial result, and only the
+slice edges are put in order. A row's slice follows from its own values, so
+the rows themselves are shuffled once.
 """
 
 from __future__ import annotations
@@ -14,9 +15,8 @@ from pyspark.sql import functions as F
 
 from concord.functions import text
 from concord.functions.cleaning import eps_ratio, per_second, safe_ratio
-from concord.operators.ordering import SLICE, range_slices
+from concord.operators.ordering import SLICE, sliced
 from concord.operators.small import attach
-from concord.session import materialize
 
 MODEL = "model"
 
@@ -40,13 +40,13 @@ def quantiles(df: DataFrame, value: str, shares: Sequence[float], names: Sequenc
     """Exact, linearly interpolated quantiles per key, for groups of any size.
 
     ``percentile`` would hold all distinct values of a group in one task. Here
-    values are range-partitioned once; slice sizes tell which slices hold the
-    wanted ranks, and only those are read again and sorted.
+    values are cut into slices; slice sizes tell which slices hold the wanted
+    ranks, and only those are sorted.
     """
     present = df.select(key, value).dropna(subset=[value])
-    sliced = materialize(range_slices(present, [key, value]))
-    sizes = sliced.groupBy(key, SLICE).agg(F.count(F.lit(1)).alias("size"))
-    # One row per key and slice, at most as many as there are partitions per key.
+    marked = sliced(present, [key], F.col(value).cast("double"))
+    sizes = marked.groupBy(key, SLICE).agg(F.count(F.lit(1)).alias("size"))
+    # One row per key and slice.
     slices = Window.partitionBy(key).orderBy(SLICE)
     placed = sizes.select(
         key,
@@ -66,7 +66,7 @@ def quantiles(df: DataFrame, value: str, shares: Sequence[float], names: Sequenc
         .filter("size(ranks) > 0")
     )
     inside = Window.partitionBy(SLICE, key).orderBy(value)
-    numbered = attach(sliced, wanted, [SLICE, key]).withColumn("at", F.row_number().over(inside))
+    numbered = attach(marked, wanted, [SLICE, key]).withColumn("at", F.row_number().over(inside))
     found = numbered.select(key, "n", F.col(value).alias("value"), "at", F.explode("ranks").alias("r")).filter("at = r.rank")
     edges = found.groupBy(key).agg(
         F.max("n").alias("n"),
@@ -110,6 +110,7 @@ def box_stats(df: DataFrame, value: str, key: str = MODEL, approx: bool = False)
 def trial_stats(trials: DataFrame, warmup: int = 15, runs: int = 50, repeats: int | None = None) -> DataFrame:
     """Mean and population std over repeats of the mean latency of ``runs`` trials after warm-up.
 
+    Only whole repeats count: trials after the last one are left out.
     ``throughput`` follows from the mean latency; ``throughput_mean`` and
     ``throughput_std`` are over the throughput of each repeat.
     """
@@ -117,7 +118,8 @@ def trial_stats(trials: DataFrame, warmup: int = 15, runs: int = 50, repeats: in
     rows = trials.select(MODEL, "ms", F.floor(after / runs).alias("repeat")).filter(after >= 0)
     if repeats is not None:
         rows = rows.filter(F.col("repeat") < repeats)
-    means = rows.groupBy(MODEL, "repeat").agg(F.avg("ms").alias("ms")).withColumn("rate", per_second(F.col("ms")))
+    whole = rows.groupBy(MODEL, "repeat").agg(F.avg("ms").alias("ms"), F.count(F.lit(1)).alias("n"))
+    means = whole.filter(F.col("n") == runs).withColumn("rate", per_second(F.col("ms")))
     return (
         means.groupBy(MODEL)
         .agg(
@@ -163,8 +165,8 @@ def energy(
         seconds = (after["t"] - before["t"]) / F.lit(ticks_per_second)
         return (before[field] + after[field]) / 2.0 * seconds
 
-    sliced = range_slices(rows, [MODEL, "t", "tie"]).withColumn("at", point)
-    inner = sliced.withColumn("prev", F.lag("at").over(along))
+    marked = sliced(rows, [MODEL], F.col("t").cast("double")).withColumn("at", point)
+    inner = marked.withColumn("prev", F.lag("at").over(along))
     partial = inner.groupBy(MODEL, SLICE).agg(
         F.sum(area(F.col("prev"), F.col("at"), "p")).alias("gross"),
         F.sum(area(F.col("prev"), F.col("at"), "net")).alias("net"),
@@ -175,7 +177,7 @@ def energy(
         F.min("at").alias("first"),
         F.max("at").alias("last"),
     )
-    # One row per model and slice, at most as many as there are partitions.
+    # One row per model and slice.
     slices = Window.partitionBy(MODEL).orderBy(SLICE)
     bridged = partial.withColumn("prev", F.lag("last").over(slices))
 

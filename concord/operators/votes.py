@@ -19,6 +19,18 @@ ITEM, MODEL, LABEL = "item_id", "model", "prediction"
 VALUES = {LABEL: "", "latency_s": "_time"}
 
 
+def only_listed(rows: DataFrame, column: str, listed: Sequence[object]) -> DataFrame:
+    """``rows`` themselves; a key outside the list fails the query by name instead of vanishing."""
+    key, names = text.name(column), ", ".join(map(text.literal, listed))
+    unknown = f"raise_error('not in the given list of {column.strip('_')}s: ' || coalesce(string({key}), 'null'))"
+    return rows.filter(f"case when {key} in ({names}) then true else {unknown} end")
+
+
+def aligned(votes: DataFrame, listing: DataFrame) -> DataFrame:
+    """Votes, consensus or wide rows of listed records; both sides are, or get, partitioned by item."""
+    return votes.join(listing.select(ITEM), ITEM, "left_semi")
+
+
 def collapse(
     rows: DataFrame,
     item: Column,
@@ -36,15 +48,12 @@ def collapse(
     # Measures are computed once per row here, not once per voter in the aggregation.
     cells = {f"_measure{i}": value for i, value in enumerate(measures.values())}
     prepared = rows.select(item.alias(ITEM), voter.alias("_voter"), *[v.alias(c) for c, v in cells.items()])
-    listed = ", ".join(text.literal(key) for key in voters)
-    unknown = "raise_error('voter not in the given list: ' || _voter)"
     minima = [
         f"min(case when _voter = {text.literal(key)} then {cell} end) as {text.name(name + suffix)}"
         for suffix, cell in zip(measures, cells)
         for key, name in voters.items()
     ]
-    checked = prepared.filter(f"case when _voter in ({listed}) then true else {unknown} end")
-    return checked.groupBy(ITEM).agg(*map(F.expr, minima))
+    return only_listed(prepared, "_voter", list(voters)).groupBy(ITEM).agg(*map(F.expr, minima))
 
 
 def lengthen(wide: DataFrame, voters: Sequence[str], values: Mapping[str, str] = VALUES) -> DataFrame:
@@ -65,13 +74,13 @@ def unpivot(wide: DataFrame, voters: Sequence[str], id_column: str = ITEM) -> Da
 
 
 def widen(votes: DataFrame, voters: Sequence[str], values: Mapping[str, str] = VALUES) -> DataFrame:
-    """Long to wide, one shuffle on the item."""
+    """Long to wide, one shuffle on the item. A voter outside the list fails the query."""
     cells = [
         f"max(case when {MODEL} = {text.literal(v)} then {text.name(value)} end) as {text.name(v + suffix)}"
         for value, suffix in values.items()
         for v in voters
     ]
-    return votes.groupBy(ITEM).agg(*map(F.expr, cells))
+    return only_listed(votes, MODEL, voters).groupBy(ITEM).agg(*map(F.expr, cells))
 
 
 def map_cells(wide: DataFrame, voters: Sequence[str], expression: str) -> DataFrame:
@@ -85,12 +94,9 @@ def clean(wide: DataFrame, voters: Sequence[str], mark: str = fixed.ERROR_MARK)
     return map_cells(wide, voters, f"case when not contains({{}}, {text.literal(mark)}) then {{}} end")
 
 
-def discover_voters(votes: DataFrame, limit: int = 64) -> list[str]:
-    """Sorted voter names. Costs a job; fails rather than collect more than ``limit``."""
-    found = votes.select(MODEL).distinct().orderBy(MODEL).limit(limit + 1).collect()
-    if len(found) > limit:
-        raise ValueError(f"more than {limit} voters")
-    return [row[0] for row in found]
+def discover_voters(votes: DataFrame) -> list[str]:
+    """Sorted voter names, for the operators that need the list; costs a job and brings one name per voter."""
+    return [row[0] for row in votes.select(MODEL).distinct().orderBy(MODEL).collect()]
 
 
 def live_votes(votes: DataFrame) -> DataFrame:

@@ -149,7 +149,7 @@ def box_stats(spark, sf):
               round(avg(1000e0 / ms), 6) AS throughput_mean, round(stddev_pop(1000e0 / ms), 6) AS throughput_std,
               round(1000e0 / avg(ms), 6) AS throughput
        FROM (SELECT model, (iter - 16) // 50 AS repeat, avg(ms) AS ms FROM trials WHERE iter > 15
-             GROUP BY model, repeat) GROUP BY model""",
+             GROUP BY model, repeat HAVING count(*) = 50) GROUP BY model""",
 )
 def trial_stats(spark, sf):
     stats = timing.trial_stats(views.trials(spark, sf))

@@ -35,34 +35,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-ERROR_CODE = ord("E") * 256
-
-
-def _coded_wide(spark: SparkSession, sf_dir: str, latency: bool) -> DataFrame:
-    """One row per order with ``m1..m7``, coded predictions, and maybe ``m1_time..m7_time``.
-
-    The smallest label is found on an integer that sorts like the label, its
-    one-letter flags as ``first * 256 + second``: strings as aggregation
-    buffers would turn the hash aggregation into a sorting one.
-    """
+def votes_wide(spark: SparkSession, sf_dir: str, latency: bool = False) -> DataFrame:
+    """One row per order with ``m1..m7``, raw predictions, and maybe ``m1_time..m7_time``."""
     rows = table(spark, sf_dir, "lineitem")
     failed = (F.col("l_returnflag") == "R") & (F.col("l_linestatus") == "O") & (F.col("l_quantity") < 10)
-    code = F.when(failed, F.lit(ERROR_CODE)).otherwise(F.ascii("l_returnflag") * 256 + F.ascii("l_linestatus"))
-    measures = {"": code, "_time": F.col("l_quantity")} if latency else {"": code}
+    whole = F.concat("l_returnflag", "l_linestatus")
+    label = F.when(failed, F.lit(fixed_values.ERROR_PROCESSING)).otherwise(whole)
+    measures = {"": label, "_time": F.col("l_quantity")} if latency else {"": label}
     return votes.collapse(rows, F.col("l_orderkey"), F.col("l_linenumber"), VOTERS, measures)
 
 
-DECODED = (
-    f"case when {{}} = {ERROR_CODE} then '{fixed_values.ERROR_PROCESSING}'"
-    " when {} is not null then chr(shiftright({}, 8)) || chr({} & 255) end"
-)
-
-
-def votes_wide(spark: SparkSession, sf_dir: str, latency: bool = False) -> DataFrame:
-    """One row per order with ``m1..m7``, raw predictions, and maybe ``m1_time..m7_time``."""
-    return votes.map_cells(_coded_wide(spark, sf_dir, latency), MODELS, DECODED)
-
-
 def clean_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     return votes.clean(votes_wide(spark, sf_dir), MODELS)
 
@@ -70,8 +52,7 @@ def clean_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
 def raw_votes(spark: SparkSession, sf_dir: str, latency: bool = False) -> DataFrame:
     """``item_id, model, raw_prediction``, maybe ``latency_s``, partitioned by item."""
     values = {"raw_prediction": "", "latency_s": "_time"} if latency else {"raw_prediction": ""}
-    coded = votes.lengthen(_coded_wide(spark, sf_dir, latency), MODELS, values)
-    return coded.withColumn("raw_prediction", F.expr(DECODED.replace("{}", "raw_prediction")))
+    return votes.lengthen(votes_wide(spark, sf_dir, latency), MODELS, values)
 
 
 def clean_votes(spark: SparkSession, sf_dir: str, latency: bool = False) -> DataFrame:
@@ -126,7 +107,8 @@ def trials(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = table(spark, sf_dir, "events").select(
         F.col("event_type").alias("model"), "ts", "event_id", F.col("value").alias("ms")
     )
-    return ordering.number_rows(log, ["model"], ["ts", "event_id"], "iter").select("model", "iter", "ms")
+    numbered = ordering.number_rows(log, ["model"], ["ts", "event_id"], "iter", timing.epoch_micros(F.col("ts")))
+    return numbered.select("model", "iter", "ms")
 
 
 def epoch_log(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -166,6 +148,7 @@ SQL_VIEWS = {
     + ", ".join(f"max(CASE WHEN model = '{m}' THEN latency_s END) AS {m}_time" for m in MODELS)
     + " FROM votes GROUP BY item_id",
     "total": "SELECT count(*) AS n_records FROM orders",
+    "listed": "SELECT * FROM clean WHERE item_id IN (SELECT o_orderkey FROM orders)",
     "label_n": "SELECT item_id, prediction, count(prediction) AS n FROM clean GROUP BY item_id, prediction",
     "top_sets": """
         SELECT DISTINCT item_id, prediction FROM clean WHERE prediction IN (
@@ -187,6 +170,12 @@ SQL_VIEWS = {
         FROM clean a JOIN clean b ON a.item_id = b.item_id
         WHERE a.prediction IS NOT NULL AND b.prediction IS NOT NULL
         GROUP BY a.model, b.model""",
+    "listed_pairs": """
+        SELECT a.model AS model_a, b.model AS model_b,
+               sum(CASE WHEN a.prediction = b.prediction THEN 1 ELSE 0 END) AS n_same
+        FROM listed a JOIN listed b ON a.item_id = b.item_id
+        WHERE a.prediction IS NOT NULL AND b.prediction IS NOT NULL
+        GROUP BY a.model, b.model""",
     "runs": """
         SELECT p.p_type AS dataset, concat('m', cast(l.l_linenumber AS varchar(10))) AS model,
                l.l_linestatus AS run, count(*) AS test_samples,

@@ -69,7 +69,7 @@ def agreement_matrix(spark, sf):
     "agreement_all_rows",
     """SELECT a.model AS model_a, b.model AS model_b, round(100e0 * coalesce(p.n_same, 0) / t.n_records, 6) AS agreement
        FROM family a CROSS JOIN family b CROSS JOIN total t
-       LEFT JOIN pairs p ON p.model_a = a.model AND p.model_b = b.model""",
+       LEFT JOIN listed_pairs p ON p.model_a = a.model AND p.model_b = b.model""",
 )
 def agreement_all_rows(spark, sf):
     matrix = pairs.agreement_all_rows(
@@ -138,7 +138,7 @@ def diversity(spark, sf):
        FROM (SELECT model, prediction, count(*) AS n,
                     row_number() OVER (PARTITION BY model ORDER BY count(*) DESC, prediction) AS rn,
                     count(*) OVER (PARTITION BY model) AS n_labels
-             FROM clean WHERE prediction IS NOT NULL GROUP BY model, prediction) CROSS JOIN total
+             FROM listed WHERE prediction IS NOT NULL GROUP BY model, prediction) CROSS JOIN total
        WHERE rn = 1""",
 )
 def top_class_share(spark, sf):
@@ -219,7 +219,7 @@ def unanimity(spark, sf):
 @query(
     "unique_vote",
     """SELECT c.model, round(100e0 * count(CASE WHEN l.n = 1 THEN 1 END) / max(t.n_records), 6) AS unique_pct
-       FROM clean c CROSS JOIN total t
+       FROM listed c CROSS JOIN total t
        LEFT JOIN label_n l ON c.item_id = l.item_id AND c.prediction = l.prediction GROUP BY c.model""",
 )
 def unique_vote(spark, sf):
@@ -240,7 +240,7 @@ def divergence(spark, sf):
 
 
 _ALIGNMENT = """SELECT c.model, 100e0 * count(CASE WHEN c.prediction = s.majority THEN 1 END) / max(t.n_records) AS a
-                FROM clean c JOIN cons s ON c.item_id = s.item_id CROSS JOIN total t GROUP BY c.model"""
+                FROM listed c JOIN cons s ON c.item_id = s.item_id CROSS JOIN total t GROUP BY c.model"""
 
 
 @query("alignment", f"SELECT model, round(a, 6) AS alignment_pct FROM ({_ALIGNMENT})")
@@ -266,7 +266,7 @@ def family_alignment(spark, sf):
     f"""SELECT l.family, round(CASE WHEN count(DISTINCT f.model) = 0 THEN 0e0
                                    WHEN count(DISTINCT f.model) = 1 THEN 100e0 ELSE avg(x.a) END, 6) AS intra_pct
         FROM {_FAMILY_LIST} LEFT JOIN family f ON l.family = f.family
-        LEFT JOIN (SELECT p.model_a, 100e0 * p.n_same / t.n_records AS a FROM pairs p
+        LEFT JOIN (SELECT p.model_a, 100e0 * p.n_same / t.n_records AS a FROM listed_pairs p
                    JOIN family g ON p.model_a = g.model JOIN family h ON p.model_b = h.model CROSS JOIN total t
                    WHERE g.family = h.family AND p.model_a < p.model_b) x ON x.model_a = f.model
         GROUP BY l.family""",
@@ -279,7 +279,7 @@ def intra_family(spark, sf):
 @query(
     "error_rate",
     """SELECT model, round(100e0 * (n_records - count(prediction)) / n_records, 6) AS error_pct
-       FROM clean CROSS JOIN total GROUP BY model, n_records""",
+       FROM listed CROSS JOIN total GROUP BY model, n_records""",
 )
 def error_rate(spark, sf):
     rates = consensus.error_rates(views.clean_votes(spark, sf), views.listing(spark, sf))
@@ -289,7 +289,7 @@ def error_rate(spark, sf):
 @query(
     "valid_error",
     """SELECT model, count(prediction) AS n_valid, n_records - count(prediction) AS n_error
-       FROM clean CROSS JOIN total GROUP BY model, n_records""",
+       FROM listed CROSS JOIN total GROUP BY model, n_records""",
 )
 def valid_error(spark, sf):
     rates = consensus.error_rates(views.clean_votes(spark, sf), views.listing(spark, sf))

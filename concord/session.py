@@ -1,11 +1,8 @@
-"""Session helpers: a local session for tests and bench, and the shared scratch folder."""
+"""A local session for tests and bench."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 
 def local_session(cores: int | str = 8, shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -23,44 +20,3 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, memory: str
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can read, as the cluster names it.
-
-    Falls back to a temporary folder only in local mode: on a cluster a
-    machine-local folder would be lost with its executor.
-    """
-    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if configured:
-        return configured
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    folder = tempfile.mkdtemp(prefix="concord-")
-    spark.sparkContext.setCheckpointDir(folder)
-    return folder
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back.
-
-    Used where two branches of one plan must see the very same rows. Parquet
-    rather than ``checkpoint()``: one pass to write, and each branch reads
-    only its own columns.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/concord-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _written.append(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-_written: list[str] = []
-
-
-def release(spark: SparkSession) -> None:
-    """Delete the tables written by ``materialize``; plans built on them can no longer run."""
-    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
-    while _written:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(hadoop).delete(path, True)

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from concord.operators.votes import ITEM, MODEL
 
@@ -26,14 +25,15 @@ def append_runs(df: DataFrame, path: str) -> None:
 
 
 def upsert_predictions(results: DataFrame, model: str, path: str) -> None:
-    """Replace the stored predictions of one model; the other models' files stay untouched."""
-    (
-        results.withColumn(MODEL, F.lit(model))
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(MODEL)
-        .parquet(path)
-    )
+    """Replace the stored predictions of one model; the other models' files stay untouched.
+
+    Only the folder of that model is overwritten, so a result without rows
+    leaves the model without predictions instead of with stale ones.
+    """
+    rows = results.drop(MODEL)
+    # As the reader of partition folders undoes it: signs that could mean something in a path, in hex.
+    folder = "".join(c if c.isalnum() or ord(c) > 127 or c in "-_. ()+@,&" else f"%{ord(c):02X}" for c in model)
+    rows.write.mode("overwrite").parquet(f"{path.rstrip('/')}/{MODEL}={folder}")
 
 
 def read_predictions(spark: SparkSession, path: str, listing: DataFrame) -> DataFrame:

@@ -82,3 +82,14 @@ def test_table_set_and_lines(spark, tmp_path):
     assert tables.read_csv(spark, str(tmp_path / "set" / "two")).first()["line"] == "a & 1"
     writers.write_lines(df, str(tmp_path / "lines"))
     assert spark.read.text(str(tmp_path / "lines")).first()["value"] == "a & 1"
+
+
+def test_upsert_with_an_empty_result(spark, tmp_path):
+    """Stale predictions go even if the model now has none; odd model names survive."""
+    path = str(tmp_path / "predictions")
+    for model in ("m1", "org/model:v1=x é"):
+        rows = spark.createDataFrame([(1, "a")], "item_id bigint, prediction string")
+        writers.upsert_predictions(rows, model, path)
+    assert as_set(spark.read.parquet(path).select("model")) == {("m1",), ("org/model:v1=x é",)}
+    writers.upsert_predictions(rows.limit(0), "m1", path)
+    assert as_set(spark.read.parquet(path).select("model")) == {("org/model:v1=x é",)}

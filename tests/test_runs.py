@@ -228,8 +228,46 @@ def test_confusion(spark):
     assert as_set(metrics.confusion(df)) == {("a", "a", 1), ("a", "c", 1), ("b", "a", 2)}
     dense = {(r.truth, r.prediction): r.n for r in metrics.confusion_dense(df).collect()}
     assert len(dense) == 9 and dense["b", "a"] == 2 and dense["c", "c"] == 0
-    with pytest.raises(PySparkException, match="more than 2 labels"):
-        metrics.confusion_dense(df, max_labels=2).collect()
+
+
+def test_dense_confusion_of_many_labels(spark):
+    df = spark.range(60).select(F.concat(F.lit("t"), F.col("id")).alias("truth"), F.concat(F.lit("p"), F.col("id")).alias("prediction"))
+    dense = metrics.confusion_dense(df)
+    assert dense.count() == 120 * 120 and dense.agg(F.sum("n")).first()[0] == 60
+
+
+def test_pivot_keys(spark):
+    rows = [("m1", "A", 10.0), ("m1", "B", 90.0), ("m2", "B", 30.0)]
+    table = spark.createDataFrame(rows, "model string, dataset string, accuracy double")
+    got = {r.model: r for r in runs.metric_pivot(table, "accuracy", None, "mean").collect()}
+    assert (got["m1"].A, got["m1"].B, got["m1"]["mean"]) == (10.0, 90.0, 50.0) and got["m2"].A is None
+    with pytest.raises(PySparkException, match="B"):
+        runs.metric_pivot(table, "accuracy", ["A"], "mean").collect()
+
+
+def test_only_whole_repeats_count(spark):
+    rows = [("m", i + 1, 10.0 if i < 115 else 1000.0) for i in range(117)]
+    got = timing.trial_stats(spark.createDataFrame(rows, "model string, iter int, ms double")).first()
+    assert (got.latency_mean_ms, got.latency_std_ms) == (10.0, 0.0)
+
+
+def exchanges(df):
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    return sum("Exchange hashpartitioning" in line for line in plan.splitlines())
+
+
+def test_rows_move_once(spark):
+    """Ordered figures shuffle the rows once, by key and slice; the other exchange holds a row per slice."""
+    power = spark.range(4000).select(F.lit("m").alias("model"), (F.col("id") * 7 % 4001).alias("micros"), F.col("id").alias("event_id"), F.lit(1.0).alias("power_w"))
+    assert exchanges(timing.energy(power)) <= 2
+
+
+def test_slices_split_a_hot_key(spark):
+    """A key that holds nearly all rows is spread over its slices."""
+    df = spark.range(20_000).select(F.when(F.col("id") < 19_900, F.lit("hot")).otherwise(F.lit("cold")).alias("k"), F.rand(3).alias("x"))
+    sizes = [r["count"] for r in ordering.sliced(df, ["k"], F.col("x")).groupBy("k", ordering.SLICE).count().collect()]
+    assert len(sizes) > 100 and max(sizes) < 20_000 / 20
 
 
 def test_valid_pairs(spark):

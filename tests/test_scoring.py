@@ -1,8 +1,10 @@
 """User scorers, embeddings, neighbours and the probe."""
 
+import os
 import sys
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
@@ -58,12 +60,47 @@ def test_wrong_result_count_is_a_failure(texts):
 
 
 def letters():
-    def vector(text):
-        if text == "bad":
+    def vectors(texts):
+        if "bad" in list(texts):
             raise ValueError
-        return [float(len(text)), 4.0]
+        return [[float(len(text)), 4.0] for text in texts]
 
-    return vector
+    return vectors
+
+
+def test_one_bad_record_costs_few_calls():
+    """A bad record among 10,000 is found by halving, not by scoring each record alone."""
+    calls = []
+
+    def score(batch):
+        calls.append(len(batch))
+        if (batch["text"] == "bad").any():
+            raise ValueError
+        return list(batch["text"])
+
+    frame = pd.DataFrame({"text": ["bad" if i == 4321 else "t" for i in range(10_000)]})
+    labels, seconds = scoring._halving(score, frame, "failed")
+    assert labels == ["failed" if i == 4321 else "t" for i in range(10_000)] and len(calls) < 40
+    assert [s == 0.0 for s in seconds] == [x == "failed" for x in labels]
+
+
+def test_batches_are_bounded(texts):
+    def factory():
+        def score(batch):
+            assert len(batch) <= 7
+            return [str(len(batch))] * len(batch)
+
+        return score
+
+    got = scoring.score_partitions(texts, factory, ["text"], batch_size=7)
+    assert "Error_Processing" not in as_dict(got, "item_id", "prediction").values()
+
+
+def test_embedders_for_one_record(texts):
+    one = scoring.each_record(lambda: lambda text: [1.0 / (text != "bad"), 2.0])
+    df = texts.select("item_id", scoring.embed_column(one)(F.col("text")).alias("v"))
+    got = as_dict(df, "item_id", "v")
+    assert got[3] is None and got[12] == [1.0, 2.0]
 
 
 def test_embed_column_gives_null(texts):
@@ -102,6 +139,48 @@ def test_evaluate_grid(spark):
     assert got["picky"].error == "ValueError: five" and got["picky"].test_samples is None
 
 
+@pytest.mark.parametrize("models", [["good"], ["broken"], ["good", "also good"], ["broken", "good"]])
+def test_evaluate_grid_with_and_without_failures(spark, models):
+    records = spark.range(12).select(
+        F.lit("d").alias("dataset"),
+        F.col("id").alias("x"),
+        F.explode(F.array(*[F.lit(m) for m in models])).alias("model"),
+        F.when(F.col("id") == 11, F.lit(None)).otherwise(F.when(F.col("id") % 2 == 0, F.lit("even")).otherwise(F.lit("odd"))).alias("truth"),
+    )
+    got = {r.model: r for r in scoring.evaluate_grid(records, grid_factory, ["x"]).collect()}
+    assert set(got) == set(models)
+    for model, r in got.items():
+        if model == "broken":
+            assert (r.error, r.num_classes) == ("RuntimeError: no weights", None)
+        else:  # a null truth is no class, and its record does not count
+            assert (r.error, r.num_classes, r.test_samples, r.accuracy) == (None, 2, 11, 100.0)
+
+
+def test_evaluate_grid_loads_once_and_holds_one(spark, tmp_path):
+    """A failing factory is called once per task and model, whatever the batches and datasets."""
+    log = str(tmp_path)
+
+    def factory(model):
+        with open(f"{log}/{model}-{os.getpid()}", "a") as f:
+            f.write("x")
+        if model == "broken":
+            raise RuntimeError("no weights")
+        return lambda batch: ["a"] * len(batch)
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        records = spark.range(2000).select(
+            F.concat(F.lit("d"), F.col("id") % 3).alias("dataset"),
+            F.when(F.col("id") % 2 == 0, F.lit("fine")).otherwise(F.lit("broken")).alias("model"),
+            F.lit("a").alias("truth"),
+        )
+        rows = scoring.evaluate_grid(records.coalesce(1), factory, [], spread=1).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(rows) == 6
+    assert sum(os.path.getsize(f"{log}/{f}") for f in os.listdir(log)) == 2
+
+
 def vectors_of(spark, matrix, labels=None):
     rows = [(i, [float(x) for x in v], int(labels[i]) if labels is not None else 0) for i, v in enumerate(matrix)]
     return spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int")
@@ -121,8 +200,6 @@ def test_nearest_against_brute_force(spark):
         assert [r.vec_id for r in rows] == list(want)
         assert [r.distance_sq for r in rows] == pytest.approx(list(d[want]))
         assert rows[0].distance == 0.0
-    with pytest.raises(ValueError):
-        neighbours.nearest(vecs, queries, max_queries=2)
 
 
 def test_nearest_lsh_finds_itself(spark):
@@ -132,6 +209,40 @@ def test_nearest_lsh_finds_itself(spark):
     assert got[0].vec_id == 3 and got[0].distance == pytest.approx(0.0, abs=1e-6)
 
 
+def test_nearest_lsh_gives_k_and_finds_most(spark):
+    rng = np.random.default_rng(3)
+    matrix = rng.normal(size=(500, 16))
+    matrix /= np.sqrt((matrix**2).sum(axis=1, keepdims=True))
+    vecs = vectors_of(spark, matrix)
+    query = [float(x) for x in matrix[9].astype("float32")]
+    assert neighbours.nearest_lsh(vecs, query, k=500).count() == 500
+    got = neighbours.nearest_lsh(vecs, query, k=10).collect()
+    d = np.sqrt(((matrix.astype("float32").astype("float64") - np.array(query)) ** 2).sum(axis=1))
+    assert [r.distance for r in got] == pytest.approx([d[r.vec_id] for r in got])
+    assert len({r.vec_id for r in got} & set(np.argsort(d)[:10])) >= 8
+    assert neighbours.nearest_lsh(vecs.limit(0), query, k=3).count() == 0
+
+
+def test_nearest_with_many_queries_and_text_keys(spark):
+    rng = np.random.default_rng(4)
+    matrix = rng.normal(size=(1300, 4)).astype("float32")
+    vecs = vectors_of(spark, matrix).withColumn("vec_id", F.concat(F.lit("v"), F.col("vec_id")))
+    queries = vecs.select(F.col("vec_id").alias("query_id"), "embedding")
+    got = neighbours.nearest(vecs, queries, k=1).collect()
+    assert len(got) == 1300 and all(r.query_id == r.vec_id and r.distance == 0.0 for r in got)
+
+
+def test_more_classes_than_a_block(spark):
+    """Ties between blocks of centres go to the smaller label as well."""
+    points = np.arange(1500, dtype="float64")[:, None]
+    vecs = vectors_of(spark, points, np.arange(1500))
+    centres = vecs.select("label", "embedding").union(
+        vecs.select((F.col("label") + 2000).alias("label"), "embedding")
+    )
+    got = neighbours.nearest_centroid(vecs, centres).collect()
+    assert len(got) == 1500 and all(r.prediction == r.truth and r.distance_sq == 0.0 for r in got)
+
+
 def clusters(n=600, classes=3):
     rng = np.random.default_rng(2)
     labels = rng.integers(0, classes, n)
@@ -154,3 +265,12 @@ def test_linear_probe_learns_separable_classes(spark):
     scores = probe.probe_scores(tested).first()
     assert scores.test_samples == 120
     assert scores.accuracy > 95 and scores.macro_f1 > 95
+
+
+def test_probe_takes_text_classes_and_sparse_ids(spark):
+    matrix, labels = clusters()
+    vecs = vectors_of(spark, matrix, labels)
+    for label in (F.concat(F.lit("c"), F.col("label")), F.col("label") * 1_000_000):
+        tested = probe.linear_probe(vecs.withColumn("label", label))
+        rows = tested.collect()
+        assert len(rows) == 120 and np.mean([r.truth == r.prediction for r in rows]) > 0.95

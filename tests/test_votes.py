@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from concord.functions import cleaning
 from concord.operators import consensus, joins, pairs, votes
+from concord.plans import views
 from conftest import as_dict, as_set, records_of, votes_of, wide_of
 
 VOTERS = ["p", "q", "r", "s"]
@@ -77,12 +78,13 @@ def test_histogram_counts_records_without_votes(long, listing):
 
 
 def test_bins_at_their_edges(spark, listing):
-    cons = spark.createDataFrame([(1, 5), (2, 5), (4, 5), (5, 5)], "top_votes bigint, n_votes bigint")
-    bins = as_dict(consensus.consensus_bins(cons, listing.limit(4)), "bin", "n")
+    columns = "item_id bigint, top_votes bigint, n_votes bigint"
+    cons = spark.createDataFrame([(1, 1, 5), (2, 2, 5), (3, 4, 5), (4, 5, 5)], columns)
+    bins = as_dict(consensus.consensus_bins(cons, listing.filter("item_id <= 4")), "bin", "n")
     # 0.2 opens the second bin, 0.4 the third, 0.8 the last one, which holds 1.0 too
     assert bins == {"0–20%": 0, "20–40%": 1, "40–60%": 1, "60–80%": 0, "80–100%": 2}
-    thousand = spark.createDataFrame([(500, 1), (501, 1), (999, 1), (1000, 1)], "top_votes bigint, n_votes bigint")
-    bins = as_dict(consensus.agreement_bins(thousand, listing.limit(5), 1000), "bin", "n")
+    thousand = spark.createDataFrame([(1, 500, 1), (2, 501, 1), (3, 999, 1), (4, 1000, 1)], columns)
+    bins = as_dict(consensus.agreement_bins(thousand, listing.filter("item_id <= 5"), 1000), "bin", "n")
     # 50 is still low, 99.9 still majority; the fifth record has no vote
     assert bins == {"Low (<50%)": 2, "Majority (50-99%)": 2, "Full (100%)": 1}
 
@@ -167,15 +169,78 @@ def test_widen_and_lengthen_round_trip(spark, long):
     assert as_set(votes.lengthen(wide, VOTERS, values)) == as_set(long.dropna())
     assert votes.unpivot(wide, VOTERS).count() == 6 * 4
     assert votes.discover_voters(long) == VOTERS
-    with pytest.raises(ValueError):
-        votes.discover_voters(long, limit=3)
+    many = long.crossJoin(long.sparkSession.range(100)).select("item_id", F.concat("model", "id").alias("model"), "prediction")
+    assert len(votes.discover_voters(many)) == 100 * len(VOTERS)
+
+
+def test_unlisted_voters_fail_by_name(long):
+    for build in (lambda: votes.widen(long, VOTERS[1:], {"prediction": ""}), lambda: consensus.label_matrix(long, VOTERS[1:])):
+        with pytest.raises(PySparkException, match=VOTERS[0]):
+            build().collect()
+
+
+LABELS = ["", "A", "AB", "AC", "B", "É", "Éa", "日本", "日", "Error_x"]
+
+
+def test_whole_labels_decide(spark):
+    """Labels of several letters, empty ones and other scripts, long and wide alike."""
+    table = {i: {v: LABELS[(i * 7 + k * (i % 3)) % len(LABELS)] for k, v in enumerate(VOTERS)} for i in range(40)}
+    rows = votes_of(spark, table)
+    wide = votes.widen(rows, VOTERS, {"prediction": ""})
+    for clean in (False, True):
+        w = votes.clean(wide, VOTERS) if clean else wide
+        long_rows = votes.lengthen(w, VOTERS, {"prediction": ""})
+        a = as_set(consensus.with_consensus(w, VOTERS).select("item_id", "majority", "top_votes", "n_labels").filter("majority is not null"))
+        b = as_set(consensus.consensus(long_rows).select("item_id", "majority", "top_votes", "n_labels").filter("majority is not null"))
+        assert a == b
+        for item, majority, top, _ in a:
+            given = [x for x in table[item].values() if not (clean and "Error" in x)]
+            counts = {x: given.count(x) for x in given}
+            assert top == max(counts.values())
+            assert majority == min((x for x, n in counts.items() if n == top), key=lambda x: x.encode())
+
+
+def test_view_keeps_whole_labels(spark, tmp_path):
+    flags = [("AB", "FX"), ("AC", "FY"), ("", "日"), ("É", "é")]
+    rows = [(i, 1 + i % 7, a, b, 20.0) for i, (a, b) in enumerate(flags)]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_returnflag string, l_linestatus string, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = as_dict(views.raw_votes(spark, str(tmp_path)), "item_id", "raw_prediction")
+    assert got == {i: a + b for i, (a, b) in enumerate(flags)}
+
+
+def test_stale_votes_do_not_count(spark):
+    """Votes of records that left the listing change no rate over the listed records."""
+    table = {1: dict.fromkeys(VOTERS, "a"), 2: dict.fromkeys(VOTERS, "b"), 3: dict.fromkeys(VOTERS, "c")}
+    listed, wide = records_of(spark, [1]), wide_of(spark, table, VOTERS)
+    rows, cons = votes_of(spark, table), consensus.with_consensus(wide, VOTERS)
+    judged = consensus.judge_wide(wide, VOTERS)
+    rates = consensus.agreement_rates(cons, listed, strong=2, majority=2).first()
+    assert (rates.full_pct, rates.strong_pct, rates.mean_votes) == (100.0, 100.0, float(len(VOTERS)))
+    assert all((r.n_error, r.error_pct) == (0, 0.0) for r in consensus.error_rates(rows, listed).collect())
+    assert as_set(consensus.consensus_histogram(cons, listed)) == {(len(VOTERS), 1)}
+    assert sum(r.n for r in consensus.consensus_bins(cons, listed).collect()) == 1
+    assert sum(r.n for r in consensus.agreement_bins(cons, listed, len(VOTERS)).collect()) == 1
+    for df, column in (
+        (consensus.alignment(judged, listed), "alignment_pct"),
+        (consensus.unique_vote(judged, listed), "unique_pct"),
+        (consensus.top_class_share(rows, listed), "top_share"),
+        (pairs.agreement_all_rows(wide, VOTERS, listed), "agreement"),
+    ):
+        assert all(0 <= r[column] <= 100 for r in df.collect())
+
+
+def test_upsert_without_rows_and_without_models(spark):
+    stored = spark.createDataFrame([(1, "m1", "a"), (1, "m2", "b"), (1, None, None)], "item_id bigint, model string, prediction string")
+    none = spark.createDataFrame([], "item_id bigint, prediction string")
+    got = joins.upsert_model(stored, none, "m2", records_of(spark, [1]))
+    assert as_set(got.select("item_id", "model", "prediction")) == {(1, "m1", "a"), (1, None, None)}
 
 
 def test_collapse_rejects_unknown_voter(spark):
     rows = spark.createDataFrame([(1, 1, 5.0), (1, 1, 3.0), (1, 9, 1.0)], "i bigint, v int, x double")
     args = (F.col("i"), F.col("v"), {1: "m1", 2: "m2"}, {"": F.col("x")})
     assert as_set(votes.collapse(rows.filter("v = 1"), *args)) == {(1, 3.0, None)}
-    with pytest.raises(PySparkException, match="voter not in the given list: 9"):
+    with pytest.raises(PySparkException, match="not in the given list of voters: 9"):
         votes.collapse(rows, *args).collect()
 
 
