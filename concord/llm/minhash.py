@@ -9,12 +9,12 @@ band. At the threshold a pair shares none of the 40 bands with a chance of
 1. Sketches: one pass over the texts. Equal sets become one class.
 2. Buckets of equal bands; the member that sits in the largest buckets
    represents the bucket, and each member is paired with it (not with all).
-3. The pairs are compared on their full sets, a representative's members cut
+3. Pairs whose signatures are alike (up to 5 standard deviations below the
+   threshold) are compared on their full sets, a representative's members cut
    into bounded cells.
 4. Members that their representative does not reach are compared with all
-   members of its buckets, in cells of two blocks: first by signature (5
-   standard deviations below the threshold are let through), then on full
-   sets, and only while they are not connected.
+   members of its buckets, in cells of two blocks: first by signature, then
+   those with a partner on full sets, and only while they are not connected.
 5. Components of the links; copies get those of their class.
 
 Defined results: null or blank texts have an empty set and are linked with
@@ -131,25 +131,24 @@ def stars(classes: DataFrame) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node, n, signature and the full set of each node (node, doc_id, n, print, signature)."""
+    """The full set of each node (node, doc_id, print)."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sketcher = Sketcher()
+        sketcher, done = Sketcher(), set()
         for batch in batches:
             out = []
-            for node, n, known, signature, text in zip(
-                batch.node, batch.n, batch["print"], batch.signature, batch.text, strict=True
-            ):
+            for node, known, text in zip(batch.node, batch["print"], batch.text, strict=True):
+                if node in done:  # rows of one id meet in one task, or in parts of it: once each is enough
+                    continue
                 data = sketcher.shingles(text).tobytes()
                 if sketcher.whole(data) == known:  # another row may share the id
-                    out.append((node, n, signature, data))
-            yield pd.DataFrame(out, columns=["node", "n", "signature", "data"])
+                    out.append((node, data))
+                    done.add(node)
+            yield pd.DataFrame(out, columns=["node", "data"])
 
-    nodes = nodes.select(F.col("doc_id").alias("id"), "node", "n", "print", "signature")
+    nodes = nodes.select(F.col("doc_id").alias("id"), "node", "print")
     texts = docs.select("doc_id", "text").join(nodes, F.col("doc_id").eqNullSafe(F.col("id")))
-    texts = texts.select("node", "n", "print", "signature", "text")
-    found = texts.mapInPandas(rows, schema(node="long", n="int", signature="binary", data="binary"))
-    return found.dropDuplicates(["node"])
+    return texts.select("node", "print", "text").mapInPandas(rows, schema(node="long", data="binary"))
 
 
 def shared(a: np.ndarray, b: np.ndarray) -> int:
@@ -168,7 +167,29 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
     return 100 * both >= PERCENT * (len(a) + len(b) - both)
 
 
-CELL = ["a", "cell", "side", "node", "label", "signature", "data"]
+def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which rows of signature bytes agree often enough to be compared on full sets."""
+    return (a == b).sum(axis=1) >= LEAST_EQUAL
+
+
+def bytes_of(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column), np.uint8).reshape(len(column), -1)
+
+
+def plausible(pairs: DataFrame, heads: DataFrame) -> DataFrame:
+    """The pairs whose signatures are alike."""
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                yield batch.loc[alike(bytes_of(batch.s), bytes_of(batch.t)), ["a", "b"]]
+
+    first = heads.select(F.col("node").alias("a"), F.col("signature").alias("s"))
+    second = heads.select(F.col("node").alias("b"), F.col("signature").alias("t"))
+    return pairs.join(first, "a").join(second, "b").select("a", "b", "s", "t").mapInPandas(rows, LINKS)
+
+
+CELL = ["a", "cell", "side", "node", "label", "data"]
 LINKS = schema(a="long", b="long")
 
 
@@ -200,7 +221,7 @@ def star_links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         return [(rows[0].a, r.node) for r in rows[1:] if linked(head, np.frombuffer(r.data, np.uint64))]
 
     counts = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("cells"))
-    none = [F.lit(0).cast("long").alias("label"), F.lit(None).cast("binary").alias("signature"), "data"]
+    none = [F.lit(0).cast("long").alias("label"), "data"]
     members = pairs.join(sets, F.col("b") == F.col("node")).join(counts, "a")
     members = members.select("a", F.pmod(F.xxhash64("b"), "cells").cast("int").alias("cell"), F.lit(1).alias("side"), "node", *none)
     heads = counts.join(sets, F.col("a") == F.col("node"))
@@ -208,10 +229,36 @@ def star_links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return in_cells(members.unionByName(heads), work)
 
 
-def rest_links(pairs: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFrame:
+def in_blocks(groups: DataFrame) -> DataFrame:
+    """Cells of two blocks of each group (a, b, label, left): members not reached by a, and all members."""
+    sizes = groups.groupBy("a").agg(F.count_if("left").alias("n_left"), F.count("*").alias("n_all"))
+    sizes = sizes.filter("n_left > 0 and n_all > 2")  # a member and its representative are compared already
+    sizes = sizes.select("a", *[F.ceil(F.col(c) / BLOCK).cast("int").alias(c) for c in ("n_left", "n_all")])
+    groups = written(groups.join(sizes, "a"))
+    block, other = F.pmod(F.xxhash64("b"), "n_left").cast("int"), F.pmod(F.xxhash64("b", F.lit(1)), "n_all").cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    wide = lambda i, j: (i.cast("long") * 2**31 + j).alias("cell")
+    left = groups.filter("left").withColumn("j", every("n_all"))
+    left = left.select("a", wide(block, F.col("j")), F.lit(0).alias("side"), "b", "label")
+    right = groups.withColumn("i", every("n_left"))
+    return left.unionByName(right.select("a", wide(F.col("i"), other), F.lit(1).alias("side"), "b", "label"))
+
+
+def rest_links(pairs: DataFrame, heads: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFrame:
     """Links that the stars have missed: in each representative's group, members of other components with all."""
 
+    def partners(rows) -> list[tuple[int, int]]:
+        """Members that are alike in signature to one of another component."""
+        signatures, names = bytes_of([r.data for r in rows]), np.array([r.label for r in rows])
+        found = set()
+        for i in [i for i, r in enumerate(rows) if r.side == 0]:
+            near = np.flatnonzero(alike(signatures, signatures[i]) & (names != names[i]))
+            if len(near):
+                found |= {rows[i].node, *(rows[j].node for j in near)}
+        return [(rows[0].a, node) for node in found]
+
     def work(rows) -> list[tuple[int, int]]:
+        """Links that connect what is not connected yet."""
         out, root = [], {}
 
         def find(x):
@@ -220,13 +267,8 @@ def rest_links(pairs: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFram
             return x
 
         data = [np.frombuffer(r.data, np.uint64) for r in rows]
-        signatures = np.frombuffer(b"".join(r.signature for r in rows), np.uint8).reshape(len(rows), -1)
-        sizes = np.array([len(d) for d in data])
-        # side 0 holds the block of members that their representative has not reached
         for i in [i for i, r in enumerate(rows) if r.side == 0]:
-            near = (signatures == signatures[i]).sum(1) >= LEAST_EQUAL
-            near &= 100 * np.minimum(sizes, sizes[i]) >= PERCENT * np.maximum(sizes, sizes[i])
-            for j in np.flatnonzero(near):
+            for j in range(len(rows)):
                 if find(rows[i].label) != find(rows[j].label) and linked(data[i], data[j]):
                     out.append((rows[i].node, rows[j].node))
                     root[find(rows[i].label)] = find(rows[j].label)
@@ -235,18 +277,11 @@ def rest_links(pairs: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFram
     groups = pairs.unionByName(pairs.select("a", F.col("a").alias("b")).distinct())
     groups = groups.join(labels, F.col("b") == F.col("node"), "left").select("a", "b", F.coalesce("label", "b").alias("label"))
     own = groups.filter("a = b").select("a", F.col("label").alias("reached"))
-    groups = groups.join(own, "a").withColumn("left", F.col("label") != F.col("reached"))
-    sizes = groups.groupBy("a").agg(F.count_if("left").alias("n_left"), F.count("*").alias("n_all"))
-    sizes = sizes.filter("n_left > 0 and n_all > 2")  # a member and its representative are compared already
-    sizes = sizes.select("a", *[F.ceil(F.col(c) / BLOCK).cast("int").alias(c) for c in ("n_left", "n_all")])
-    groups = written(groups.join(sizes, "a"))
-    block, other = F.pmod(F.xxhash64("b"), "n_left").cast("int"), F.pmod(F.xxhash64("b", F.lit(1)), "n_all").cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    wide = lambda i, j: (i.cast("long") * 2**31 + j).alias("cell")
-    left = groups.filter("left").withColumn("j", every("n_all")).select("a", wide(block, F.col("j")), F.lit(0).alias("side"), "b", "label")
-    right = groups.withColumn("i", every("n_left")).select("a", wide(F.col("i"), other), F.lit(1).alias("side"), "b", "label")
-    rows = left.unionByName(right).join(sets, F.col("b") == F.col("node"))
-    return in_cells(rows, work)
+    groups = groups.join(own, "a").withColumn("left", F.col("label") != F.col("reached")).drop("reached")
+    cells = in_blocks(groups).join(heads.select("node", F.col("signature").alias("data")), F.col("b") == F.col("node"))
+    kept = in_cells(cells, partners).distinct()
+    cells = in_blocks(groups.join(written(kept), ["a", "b"], "left_semi")).join(sets, F.col("b") == F.col("node"))
+    return in_cells(cells, work)
 
 
 def link_documents(docs: DataFrame) -> DataFrame:
@@ -260,9 +295,9 @@ def link_documents(docs: DataFrame) -> DataFrame:
     heads = written(heads)
     pairs = written(stars(heads))
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    sets = written(full_sets(docs, heads.join(nodes, "node")))
-    links = written(star_links(pairs, sets))
-    more = written(rest_links(pairs, sets, components(links)))
+    sets = written(full_sets(docs, classes.join(nodes, "node")))
+    links = written(star_links(written(plausible(pairs, heads)), sets))
+    more = written(rest_links(pairs, heads, sets, components(links)))
     labels = components(links.unionByName(more))
     labels = classes.join(labels, "node", "left").select("print", F.coalesce("label", "node").alias("label"))
     placed = found.join(labels, "print", "left").select(
