@@ -180,7 +180,9 @@ def sample(docs: DataFrame, labels: DataFrame, per_class: int, max_lines: int) -
     chosen = [known.filter(F.col("quality") == q).orderBy("at", "doc_id").limit(per_class) for q in (0, 1)]
     chosen = chosen[0].union(chosen[1])
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # per_class bounds it
-    masks = texts.select("at", "doc_id", line_masks("text").alias("masks"), "quality")
+    # the condition needs the sample's side, so lines of other documents are never looked at
+    own = F.when(F.col("quality").isNotNull(), F.col("text"))
+    masks = texts.select("at", "doc_id", line_masks(own).alias("masks"), "quality")
     masks = masks.filter((F.size("masks") > 0) & (F.size("masks") <= max_lines))
     return [(r.masks, r.quality) for r in masks.orderBy("at", "doc_id", "masks").limit(2 * per_class).collect()]
 
