@@ -174,8 +174,9 @@ def features_of(c: Column) -> list[Column]:
 def sample(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Features and labels of candidates of base patterns, and of bare numbers, in the sample."""
     text = F.col("text")
-    some = docs.select("text", F.xxhash64("doc_id", "text").alias("at")).filter(text.rlike("[0-9@]"))
-    some = some.orderBy("at", "text").limit(MOST_DOCS)
+    hashed = docs.select("text", F.xxhash64("doc_id", "text").alias("at"))
+    chosen = hashed.filter(text.rlike("[0-9@]")).select("at").distinct().orderBy("at").limit(MOST_DOCS)
+    some = hashed.join(F.broadcast(chosen), "at").dropDuplicates(["at"])  # MOST_DOCS hashes at most; texts do not move
 
     def labelled(kind: str, pattern: str) -> Column:
         def row(c: Column) -> Column:
