@@ -100,7 +100,7 @@ def schedule(sources: DataFrame) -> DataFrame:
     along = Window.partitionBy("sid").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     held = held.select("sid", "slice", F.coalesce(F.sum("held").over(along), F.lit(0)).alias("earlier"))
     rank = F.row_number().over(Window.partitionBy("sid", "slice").orderBy("slot")) - 1 + F.col("earlier")
-    slots = slots.join(held, ["sid", "slice"]).withColumn("rank", rank)
+    slots = slots.join(held.hint("merge"), ["sid", "slice"]).withColumn("rank", rank)
     epoch = F.floor(F.col("rank") / F.col("blocks"))
     return slots.select("slot", "sid", "rank", epoch.alias("epoch"), (F.col("rank") % F.col("blocks")).alias("block"))
 
@@ -117,7 +117,7 @@ def placed(rows: DataFrame, slices: DataFrame, sources: DataFrame) -> DataFrame:
     inside = Window.partitionBy("sid", "slice").orderBy("at", "doc_id", "size")
     before = words.over(inside.rowsBetween(Window.unboundedPreceding, -1))
     first = F.col("earlier") + F.coalesce(before, F.lit(0))
-    found = rows.join(firsts, key).withColumn("first", first)
+    found = rows.join(firsts.hint("merge"), key).withColumn("first", first)
     found = found.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
     first = F.col("first") + F.col("copy") * F.col("size")
     return found.select("doc_id", "source", "size", "copy", "sid", "source_size", "target", first.alias("first"))
@@ -137,7 +137,7 @@ def mix(docs: DataFrame) -> DataFrame:
     blocks = F.when(size > 0, F.sequence(F.floor(first / BLOCK), F.floor(last / BLOCK))).otherwise(none)
     pieces = documents.withColumn("block", F.explode_outer(blocks))
     inside = F.least(last + 1, (F.col("block") + 1) * BLOCK) - F.greatest(first, F.col("block") * BLOCK)
-    pieces = pieces.withColumn("words", inside).join(times, ["sid", "block"], "left")
+    pieces = pieces.withColumn("words", inside).join(times.hint("merge"), ["sid", "block"], "left")
     taken = F.sum(F.coalesce(F.col("words") * F.col("times"), F.lit(0))).alias("taken")
     keys = ["sid", "source", "doc_id", "size", "copy", "source_size", "target"]
     return pieces.groupBy(keys).agg(taken).select(
