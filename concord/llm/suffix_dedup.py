@@ -50,10 +50,12 @@ WINDOW = LENGTH - GRAM + 1
 SEGMENT = 1 << 20
 LAST = 2**63 - 1
 
-#: Blocks of names on their way to the task that sorts them, and marks: packed first and last starts in a document.
-BLOCKS = schema(to="int", row="long", n="int", names="binary", places="binary")
-MARKS = schema(kind="int", row="long", spans="binary")
-REPEAT, OPEN = 0, 1
+#: Blocks of names on their way to the task that sorts them, or of marks, which any task hands on.
+BLOCKS = schema(to="int", kind="int", n="int", names="binary", places="binary")
+NAMES, REPEAT, OPEN = 0, 1, 2
+#: Marks (row, first start, last start less the first) on their way to the task that joins a document's own.
+MARKS = schema(home="int", kind="int", places="binary")
+SPANS = schema(row="long", spans="binary")
 COLUMNS = {"doc_id": "long", "n_bytes": "long", "n_removed": "long", "n_spans": "long", "kept_sha256": "string"}
 
 
@@ -157,19 +159,46 @@ def unpacked(data: bytes, n: int) -> list[np.ndarray]:
     return out
 
 
-def marks(kind: int, rows: np.ndarray, low: np.ndarray, high: np.ndarray) -> list[tuple]:
-    """One mark per document: its spans of starts, neighbours joined."""
-    if not len(rows):
-        return []
+def stretches(values: np.ndarray) -> list[tuple[int, int]]:
+    """Begin and end of each stretch of equal values."""
+    cuts = np.flatnonzero(np.r_[True, values[1:] != values[:-1]])[: len(values)].tolist()
+    return list(zip(cuts, [*cuts[1:], len(values)], strict=False))
+
+
+def joined(rows: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spans of starts in order, neighbours of a document joined."""
     order = np.lexsort((low, rows))
     rows, low, high = rows[order], low[order], high[order]
-    new = np.r_[True, (rows[1:] != rows[:-1]) | (low[1:] > high[:-1] + 1)]
-    begin = np.flatnonzero(new)
-    low, high, rows = low[begin], np.maximum.reduceat(high, begin), rows[begin]
-    cuts = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
-    spans = np.stack([low, high], axis=1).astype("<u4")
-    ends = np.r_[cuts[1:], len(rows)]
-    return [(kind, int(rows[a]), spans[a:b].tobytes()) for a, b in zip(cuts, ends, strict=True)]
+    if not len(rows):
+        return rows, low, high
+    # a document's marks never nest: each start is marked once by each of its sources
+    begin = np.flatnonzero(np.r_[True, (rows[1:] != rows[:-1]) | (low[1:] > high[:-1] + 1)])
+    return rows[begin], low[begin], np.maximum.reduceat(high, begin)
+
+
+def marks(kind: int, tasks: int, rows: np.ndarray, low: np.ndarray, high: np.ndarray) -> list[tuple]:
+    """Marks of many documents as a block for each task that will join them."""
+    rows, low, high = joined(rows, low, high)
+    home = rows % tasks
+    order = np.argsort(home, kind="stable")
+    parts = [order[a:b] for a, b in stretches(home[order])]
+    return [(int(home[p[0]]), kind, packed([rows[p], low[p], (high - low)[p]])) for p in parts]
+
+
+def by_document(found: DataFrame, tasks: int) -> DataFrame:
+    """One row per document with marks: its spans of first and last starts."""
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts = [unpacked(p, 3) for batch in batches for p in batch.places]
+        if not parts:
+            return
+        row, low, width = (np.concatenate(p) for p in zip(*parts, strict=True))
+        row, low, high = joined(row, low, low + width)
+        spans = np.stack([low, high], axis=1).astype("<u4")
+        out = [(int(row[a]), spans[a:b].tobytes()) for a, b in stretches(row)]
+        yield pd.DataFrame(out, columns=SPANS.names)
+
+    return found.select("home", "places").repartition(tasks, "home").mapInPandas(rows, SPANS)
 
 
 def firsts(keys: list[np.ndarray], order: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -186,11 +215,10 @@ def firsts(keys: list[np.ndarray], order: list[np.ndarray]) -> tuple[np.ndarray,
 def dealt(to: np.ndarray, names: list[np.ndarray], places: list[np.ndarray]) -> Iterator[tuple]:
     """Blocks of what goes to each task."""
     order = np.argsort(to, kind="stable")
-    cuts = np.flatnonzero(np.r_[True, to[order][1:] != to[order][:-1]]) if len(to) else []
-    for a, b in zip(cuts, [*cuts[1:], len(to)], strict=True):
+    for a, b in stretches(to[order]):
         own = order[a:b]
         blob = b"".join(x[own].tobytes() for x in names)
-        yield int(to[own[0]]), 0, b - a, blob, packed([x[own] for x in places])
+        yield int(to[own[0]]), NAMES, b - a, blob, packed([x[own] for x in places])
 
 
 def stored(docs: DataFrame) -> DataFrame:
@@ -218,9 +246,9 @@ def gather(batches: Iterator[pd.DataFrame], kinds: list[str], places: int):
     """All blocks of a task as arrays of names and places, and the marks that came along."""
     names, where, done = [], [], []
     for batch in batches:
-        for to, row, n, blob, rest in batch.itertuples(index=False):
-            if to < 0:
-                done.append((REPEAT, row, blob))
+        for to, kind, n, blob, rest in batch.itertuples(index=False):
+            if kind != NAMES:
+                done.append((to, kind, rest))
                 continue
             at = 0
             own = []
@@ -235,8 +263,8 @@ def gather(batches: Iterator[pd.DataFrame], kinds: list[str], places: int):
 
 
 def own_marks(found: list[tuple]) -> list[tuple]:
-    """Marks on their way through the shuffle: they need no sorting, any task takes them."""
-    return [(-1 - row % 1000, row, 0, spans, b"") for _, row, spans in found]
+    """Marks as blocks, to pass through the shuffle of names."""
+    return [(home, kind, 0, b"", places) for home, kind, places in found]
 
 
 def anchor_marks(rows: DataFrame, tasks: int) -> DataFrame:
@@ -249,11 +277,11 @@ def anchor_marks(rows: DataFrame, tasks: int) -> DataFrame:
             row, order = batch.row.to_numpy()[a["doc"]], batch.order.to_numpy()[a["doc"]]
             at, new = firsts([a["gram"], a["whole"]], [order, row, a["low"]])
             again = at[~new]
-            out = own_marks(marks(REPEAT, row[again], a["low"][again], a["high"][again]))
+            out = own_marks(marks(REPEAT, tasks, row[again], a["low"][again], a["high"][again]))
             keep = np.sort(at[new])
             cut = lambda x: (x[keep] >> np.uint64(32)).astype("<u4")
             sent = [a["whole"][keep].astype("<u8"), cut(a["gram"]), cut(a["right"]), cut(a["left"])]
-            to = (a["gram"][keep] % np.uint64(4 * tasks)).astype(np.int64)
+            to = (a["gram"][keep] % np.uint64(2 * tasks)).astype(np.int64)
             low = a["low"][keep]
             out += dealt(to, sent, [order[keep], row[keep], low, a["high"][keep] - low, a["at"][keep]])
             yield pd.DataFrame(out, columns=BLOCKS.names)
@@ -267,7 +295,7 @@ def anchor_marks(rows: DataFrame, tasks: int) -> DataFrame:
         order, row, low, width, at = places
         by, new = firsts([gram, whole], [order, row, low])
         again, one = by[~new], by[new]
-        yield pd.DataFrame(marks(REPEAT, row[again], low[again], (low + width)[again]), columns=MARKS.names)
+        yield pd.DataFrame(marks(REPEAT, tasks, row[again], low[again], (low + width)[again]), columns=MARKS.names)
 
         def common(name: np.ndarray) -> np.ndarray:
             """Which of the firsts share ``gram`` and ``name`` with another."""
@@ -285,7 +313,7 @@ def anchor_marks(rows: DataFrame, tasks: int) -> DataFrame:
         low = np.where(wide, first, low)
         high = np.where(common(right), last, np.where(wide, np.minimum(last, split), -1))
         use = low <= high
-        yield pd.DataFrame(marks(OPEN, row[one][use], low[use], high[use]), columns=MARKS.names)
+        yield pd.DataFrame(marks(OPEN, tasks, row[one][use], low[use], high[use]), columns=MARKS.names)
 
     sent = rows.select("row", "order", "data").mapInPandas(blocks, BLOCKS)
     return written(sent.repartition(tasks, "to").mapInPandas(ranked, MARKS))
@@ -300,7 +328,7 @@ def position_marks(opened: DataFrame, tasks: int) -> DataFrame:
         for batch in batches:
             found = [[], [], [], []]
             for row, order, data, spans in zip(batch.row, batch.order, bytes_of(batch.data), batch.spans, strict=True):
-                pairs = np.concatenate([np.frombuffer(s, "<u4").reshape(-1, 2) for s in spans]).astype(np.int64)
+                pairs = np.frombuffer(spans, "<u4").reshape(-1, 2).astype(np.int64)
                 for first in range(0, len(data) - LENGTH + 1, SEGMENT):
                     last = min(first + SEGMENT, len(data) - LENGTH + 1) - 1
                     own = pairs[(pairs[:, 0] <= last) & (pairs[:, 1] >= first)].clip(first, last) - first
@@ -317,8 +345,8 @@ def position_marks(opened: DataFrame, tasks: int) -> DataFrame:
             name, order, row, p = map(np.concatenate, found)
             at, new = firsts([name], [order, row, p])
             again, keep = at[~new], np.sort(at[new])
-            out = own_marks(marks(REPEAT, row[again], p[again], p[again]))
-            to = (name[keep] % np.uint64(4 * tasks)).astype(np.int64)
+            out = own_marks(marks(REPEAT, tasks, row[again], p[again], p[again]))
+            to = (name[keep] % np.uint64(2 * tasks)).astype(np.int64)
             out += dealt(to, [name[keep].astype("<u8")], [order[keep], row[keep], p[keep]])
             yield pd.DataFrame(out, columns=BLOCKS.names)
 
@@ -329,18 +357,17 @@ def position_marks(opened: DataFrame, tasks: int) -> DataFrame:
             order, row, p = places
             at, new = firsts([got[0]], [order, row, p])
             again = at[~new]
-            yield pd.DataFrame(marks(REPEAT, row[again], p[again], p[again]), columns=MARKS.names)
+            yield pd.DataFrame(marks(REPEAT, tasks, row[again], p[again], p[again]), columns=MARKS.names)
 
     sent = opened.mapInPandas(blocks, BLOCKS)
     return written(sent.repartition(tasks, "to").mapInPandas(ranked, MARKS))
 
 
-def cut_out(data: bytes, spans) -> tuple[int, int, bytes]:
-    """Bytes removed, runs of them, and the bytes that stay; spans hold first and last starts."""
-    if not len(spans):
+def cut_out(data: bytes, spans: bytes | None) -> tuple[int, int, bytes]:
+    """Bytes removed, runs of them, and the bytes that stay; spans hold first and last starts, in order."""
+    if not spans:
         return 0, 0, data
-    pairs = np.concatenate([np.frombuffer(s, "<u4").reshape(-1, 2) for s in spans]).astype(np.int64)
-    pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
+    pairs = np.frombuffer(spans, "<u4").reshape(-1, 2).astype(np.int64)
     low, high = pairs[:, 0], np.maximum.accumulate(pairs[:, 1] + LENGTH)
     new = np.flatnonzero(np.r_[True, low[1:] > high[:-1]])
     low, high = low[new], high[np.r_[new[1:], len(high)] - 1]
@@ -353,16 +380,15 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     tasks = n_tasks(docs.sparkSession)
     rows = stored(docs)
     found = anchor_marks(rows, tasks)
-    spans = lambda df: df.groupBy("row").agg(F.collect_list("spans").alias("spans"))
-    opened = spans(found.filter(F.col("kind") == OPEN)).join(rows, "row").select("row", "order", "data", "spans")
-    more = position_marks(opened, tasks)
-    repeats = spans(found.filter(F.col("kind") == REPEAT).union(more))
+    opened = by_document(found.filter(F.col("kind") == OPEN), tasks).join(rows, "row")
+    more = position_marks(opened.select("row", "order", "data", "spans"), tasks)
+    repeats = by_document(found.filter(F.col("kind") == REPEAT).union(more), tasks)
 
     def results(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for doc_id, data, spans in zip(batch.order, bytes_of(batch.data), batch.spans, strict=True):
-                removed, n, kept = cut_out(data, [] if spans is None else spans)
+                removed, n, kept = cut_out(data, spans)
                 row = (None if doc_id == LAST else doc_id, len(data), removed, n, hashlib.sha256(kept).hexdigest())
                 out.append((*row, kept) if with_text else row)
             yield pd.DataFrame(out, columns=result.names).astype({"doc_id": "Int64"})
