@@ -2,13 +2,16 @@
 
 Both vocabularies used here never merge across the pieces cut below, so a
 piece is encoded once by the ``tokenizers`` library and looked up afterwards.
-The cache is bounded; long pieces are not kept. A test compares with encoding
-whole texts.
+The cache is bounded: when its young half is full, that becomes the old half,
+and what is still used moves back. Long pieces are not kept. A test compares
+with encoding whole texts.
 """
 
 from __future__ import annotations
 
 import re
+import sys
+import types
 
 import numpy as np
 
@@ -17,13 +20,41 @@ from concord.llm.common import tokenizer_path
 #: White space as the library's patterns have it (Python's own class also holds four control characters).
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
+#: Letters before a space or a mark are a word of their own in both vocabularies.
+WORD = rf"[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+(?=[{SPACE}.,;:!?]|\Z)"
+
 #: Pieces by vocabulary file: in the first, white space is dropped and always separates; in the
 #: second, the last space before a word belongs to it and other white space stands alone.
 PIECES = {
-    "word_bpe_49k.json": re.compile(rf"[^{SPACE}]+"),
-    "byte_bpe_50k.json": re.compile(rf" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"),
+    "word_bpe_49k.json": re.compile(rf"{WORD}|[^{SPACE}]+"),
+    "byte_bpe_50k.json": re.compile(rf" ?{WORD}| ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"),
+}
+PLAIN = re.compile(r" ?[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
+
+
+def spelling() -> dict[int, str]:
+    """How byte-level vocabularies spell characters: a printable byte as itself, others from 256 on."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in printable]
+    of_byte = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
+    return {c: "".join(of_byte[b] for b in chr(c).encode()) for c in range(256)}
+
+
+#: Plain words as the model of a vocabulary gets them from its normaliser and splitter.
+SPELT = {
+    "word_bpe_49k.json": lambda piece: piece.lower().translate(SPELLING),
+    "byte_bpe_50k.json": lambda piece: piece.translate(SPELLING),
 }
-CACHED, LONGEST = 400_000, 40
+SPELLING = spelling()
+CACHED, LONGEST = 80_000, 40
+
+
+def caches() -> dict[tuple[str, int], tuple]:
+    """Tokenizers and known pieces by vocabulary, kept by the process for the tasks it runs one after another.
+
+    Functions travel to executors by value, so a global of this module would start empty in each task.
+    """
+    return sys.modules.setdefault("_concord_token_caches", types.ModuleType("_concord_token_caches")).__dict__
 
 
 class Encoder:
@@ -32,26 +63,36 @@ class Encoder:
     def __init__(self, name: str, end_id: int = 1):
         from tokenizers import Tokenizer
 
-        self.library = Tokenizer.from_file(tokenizer_path(name))
-        self.pieces = PIECES[name]
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.end_id = end_id
+        path = tokenizer_path(name)
+        if path not in caches():
+            caches()[path] = (Tokenizer.from_file(path), {}, {})
+        self.library, self.known, self.old = caches()[path]
+        self.pieces, self.spelt, self.model = PIECES[name], SPELT[name], self.library.model
+        self.end = np.array([end_id], dtype="<u4").tobytes()
 
     def __call__(self, text: str | None) -> np.ndarray:
         if text and "<|" in text:  # a special token also decides how the space before it is cut
-            return np.array([*self.library.encode(text, add_special_tokens=False).ids, self.end_id], dtype="<u4")
-        ids: list[int] = []
-        known = self.known
-        for piece in self.pieces.findall(text) if text else ():
-            got = known.get(piece)
-            ids += self.learn(piece) if got is None else got
-        ids.append(self.end_id)
-        return np.array(ids, dtype="<u4")
-
-    def learn(self, piece: str) -> tuple[int, ...]:
-        ids = tuple(self.library.encode(piece, add_special_tokens=False).ids)
+            return np.frombuffer(self.encoded(text) + self.end, dtype="<u4")
+        pieces = self.pieces.findall(text) if text else []
+        parts = list(map(self.known.get, pieces))
+        if None in parts:
+            parts = [self.learn(p) if got is None else got for p, got in zip(pieces, parts, strict=True)]
+        parts.append(self.end)
+        return np.frombuffer(b"".join(parts), dtype="<u4")
+
+    def encoded(self, text: str) -> bytes:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def learn(self, piece: str) -> bytes:
+        ids = self.known.get(piece) or self.old.get(piece)
+        if ids is None and PLAIN.fullmatch(piece):
+            ids = np.array([t.id for t in self.model.tokenize(self.spelt(piece))], dtype="<u4").tobytes()
+        elif ids is None:
+            ids = self.encoded(piece)
         if len(piece) <= LONGEST:
             if len(self.known) >= CACHED:
+                self.old.clear()
+                self.old.update(self.known)
                 self.known.clear()
             self.known[piece] = ids
         return ids
