@@ -231,8 +231,9 @@ def star_links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def in_blocks(groups: DataFrame) -> DataFrame:
     """Cells of two blocks of each group (a, b, label, left): members not reached by a, and all members."""
-    sizes = groups.groupBy("a").agg(F.count_if("left").alias("n_left"), F.count("*").alias("n_all"))
-    sizes = sizes.filter("n_left > 0 and n_all > 2")  # a member and its representative are compared already
+    others = F.count_if(F.col("a") != F.col("b")).alias("others")
+    sizes = groups.groupBy("a").agg(F.count_if("left").alias("n_left"), F.count("*").alias("n_all"), others)
+    sizes = sizes.filter("n_left > 0 and others > 1")  # a member and its representative are compared already
     sizes = sizes.select("a", *[F.ceil(F.col(c) / BLOCK).cast("int").alias(c) for c in ("n_left", "n_all")])
     groups = written(groups.join(sizes, "a"))
     block, other = F.pmod(F.xxhash64("b"), "n_left").cast("int"), F.pmod(F.xxhash64("b", F.lit(1)), "n_all").cast("int")

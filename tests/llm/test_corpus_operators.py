@@ -440,6 +440,23 @@ def test_large_group_in_cells(make_docs, monkeypatch):
     assert near(make_docs(rows)) == plain_near(rows)
 
 
+def test_pair_under_a_representative_alike_to_neither(spark):
+    """Two near-duplicates that meet only under a third text, as in a large family from one template."""
+    sketcher, pair = minhash.Sketcher(), [f"w{i}" for i in range(60)]
+    texts = [" ".join(pair[:25] + [f"x{i}" for i in range(40)]), " ".join(pair), " ".join([*pair[:58], "changed", "end"])]
+    rows = [sketcher.row(i, t) for i, t in enumerate(texts)]
+    signatures = [np.frombuffer(r[3], np.uint8) for r in rows]
+    assert minhash.alike(signatures[1][None], signatures[2])[0]
+    assert not any(minhash.alike(signatures[0][None], s)[0] for s in signatures[1:])
+    pairs = spark.createDataFrame([(0, 1), (0, 2)], minhash.LINKS)
+    heads = spark.createDataFrame([(i, bytes(r[3])) for i, r in enumerate(rows)], "node long, signature binary")
+    data = [(i, sketcher.shingles(t).tobytes()) for i, t in enumerate(texts)]
+    sets = spark.createDataFrame(data, "node long, data binary")
+    labels = components.components(spark.createDataFrame([], minhash.LINKS))
+    links = minhash.rest_links(pairs, heads, sets, labels).collect()
+    assert {frozenset(r) for r in links} == {frozenset((1, 2))}
+
+
 def test_near_duplicates_on_documents(make_docs, small_docs, odd):
     rows = small_docs + [(1000 + i, t) for i, t in enumerate(odd)] + [(2000 + i, t) for i, t in enumerate(odd)]
     rows += [(None, small_docs[3][1]), (None, "all alone here"), (7, "other text"), (7, "A b C d e F"), (9000, "a B c d E f")]
