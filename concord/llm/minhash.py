@@ -30,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -48,7 +48,7 @@ BLOCK = 256
 
 SKETCH = T.StructType(
     [
-        *schema(doc_id="long", n="int", print="binary", signature="binary").fields,
+        *schema(row="long", doc_id="long", n="int", print="binary", signature="binary").fields,
         T.StructField("bands", T.ArrayType(T.LongType())),
     ]
 )
@@ -105,17 +105,17 @@ class Sketcher:
         return doc_id, len(h), self.whole(h.tobytes()), low.tobytes(), keys.astype(np.int64)
 
 
-def sketches(docs: DataFrame) -> DataFrame:
-    """One row per document with its place among the rows, set size, fingerprint, signature bytes and bands."""
+def sketches(docs: DataFrame, row: Column | None = None) -> DataFrame:
+    """One row per document with its number (by default its place), set size, fingerprint, signature bytes and bands."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sketcher = Sketcher()
         for batch in batches:
-            out = [sketcher.row(i, t) for i, t in zip(ids_of(batch), batch.text, strict=True)]
+            out = [(n, *sketcher.row(i, t)) for n, i, t in zip(batch["at"], ids_of(batch), batch.text, strict=True)]
             yield pd.DataFrame(out, columns=SKETCH.names).astype({"doc_id": "Int64"})
 
-    found = docs.select(*keyed("text")).mapInPandas(rows, SKETCH)
-    return found.withColumn("row", F.monotonically_increasing_id())
+    row = F.monotonically_increasing_id() if row is None else row
+    return docs.select(*keyed("text"), row.alias("at")).mapInPandas(rows, SKETCH)
 
 
 def stars(classes: DataFrame) -> DataFrame:
@@ -285,9 +285,12 @@ def rest_links(pairs: DataFrame, heads: DataFrame, sets: DataFrame, labels: Data
     return in_cells(cells, work)
 
 
-def link_documents(docs: DataFrame) -> DataFrame:
-    """One row per row of ``docs``: row, doc_id, n_shingles, component_id and whether it stays."""
-    found = written(sketches(docs))
+def link_documents(docs: DataFrame, row: Column | None = None) -> DataFrame:
+    """One row per row of ``docs``: row, doc_id, n_shingles, component_id and whether it stays.
+
+    Who joins on ``row`` afterwards gives a stored column: places differ from scan to scan.
+    """
+    found = written(sketches(docs, row))
     some = found.filter("n > 0")
     classes = some.groupBy("print").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row", "n")).alias("first"))
     classes = classes.select("print", F.col("first.row").alias("node"), F.col("first.doc_id").alias("doc_id"), F.col("first.n").alias("n"))

@@ -5,8 +5,8 @@ Parquet and read back for the next: quality rules (rejected documents go),
 near-duplicates (one document of each group stays), secret scan (secrets are
 blacked out), mixing (documents are repeated or cut as the mix takes them),
 packing. All but the last return the columns of ``documents``; other columns
-pass through, whatever their names. Inputs must come from files: rows are told
-apart by their place in them.
+pass through, whatever their names. Near-duplicates are told apart by numbers
+that are written once with the documents, not by their place in a scan.
 
 Empty inputs give empty outputs; null texts fail the quality rules.
 """
@@ -29,8 +29,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near-duplicates."""
-    stays = minhash.link_documents(docs).filter("stays").select("row")
-    numbered = docs.select(F.struct("*").alias("d"), F.monotonically_increasing_id().alias("row"))
+    numbered = written(docs.select(F.struct("*").alias("d"), F.monotonically_increasing_id().alias("row")))
+    stays = minhash.link_documents(numbered.select("d.doc_id", "d.text", "row"), F.col("row")).filter("stays").select("row")
     return numbered.join(stays, "row", "left_semi").select("d.*")
 
 

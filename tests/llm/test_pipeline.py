@@ -57,6 +57,29 @@ def test_near_duplicate_stage(spark, docs):
     assert {d for d, _ in got if d is not None} == firsts
 
 
+def test_rows_keep_their_numbers_between_scans(spark, docs, tmp_path, monkeypatch):
+    """Files are dealt to other tasks in the later scan, as when an executor comes or goes."""
+    rows = written(docs.select("doc_id", "text").filter("doc_id < 1000 and length(text) > 40").limit(40))
+    rows.union(rows).repartition(8).write.parquet(str(tmp_path / "d"))
+    link, cost = corpus_pipeline.minhash.link_documents, "spark.sql.files.openCostInBytes"
+    before = spark.conf.get(cost)
+
+    def linked(*args):
+        found = written(link(*args))
+        spark.conf.set(cost, "1g")  # a file is a task of its own from here on
+        return found
+
+    monkeypatch.setattr(corpus_pipeline.minhash, "link_documents", linked)
+    spark.conf.set(cost, "0")
+    try:
+        given = spark.read.parquet(str(tmp_path / "d"))
+        got = [r.doc_id for r in corpus_pipeline.near_duplicates(spark, given, SMALL).collect()]
+    finally:
+        spark.conf.set(cost, before)
+    kept = {d for d, _, _, kept in plain_near([tuple(r) for r in given.collect()]) if kept}
+    assert sorted(got) == sorted(kept)
+
+
 def test_secret_stage(spark, docs):
     out = corpus_pipeline.secret_scan(spark, docs, SMALL)
     hits = secrets.automaton()
