@@ -7,9 +7,10 @@ their format and context, and those above a calibrated threshold are added
 where they overlap nothing stronger.
 
 The trees are trained here, on the candidates of at most ``MOST_DOCS``
-documents that have any digit or at sign (those with the smallest hash of id
-and text), at most ``MOST_CANDIDATES`` of them: a candidate of a base pattern
-is labelled by the rules of its kind, which the features do not show. Half of
+documents that have any digit, at sign or spelt-out one (those with the smallest hash of id
+and text), at most ``MOST_CANDIDATES`` of them: a candidate is labelled by the
+rules of its kind, base or loose, numbers that no pattern covers are negatives,
+and so is what fails its rules, unless it overlaps a positive. Half of
 the sample calibrates: a threshold is the lowest score from which on at least
 ``PRECISION`` of that half are personal data. With fewer than ``LEAST`` of
 either label nothing is added.
@@ -52,7 +53,7 @@ LOOSE = {
     "phone_like": r"(?<![0-9A-Za-z.+-])\(?[0-9]{1,4}\)?(?:[\x20./-]{1,2}\(?[0-9]{2,4}\)?){2,5}(?![0-9A-Za-z-])",
     "ssn": r"(?<![0-9A-Za-z.+-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
 }
-#: Every run of digits, for what is not personal data.
+#: Every run of digits; those that no pattern above covers are not personal data.
 NUMBERS = r"[0-9](?:[\x20-]?[0-9])++"
 
 OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
@@ -135,6 +136,18 @@ def passes(kind: str, t: Column) -> Column:
     }[kind]
 
 
+def plausible(kind: str, t: Column) -> Column:
+    """Label of a loose candidate by rules that its format does not show; null where they cannot tell."""
+    digits = F.regexp_replace(t, "[^0-9]", "")
+    return {
+        "email_like": t.rlike(r"[A-Za-z]{2}$"),
+        "ssn": t.rlike("^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)"),
+        "phone_like": F.when(digits.rlike("^1?[2-9][0-9]{2}[2-9][0-9]{6}$"), True).when(
+            ~F.length(digits).between(10, 15), False
+        ),
+    }[kind]
+
+
 def guarded(text: Column, kind: str, spans: Column) -> Column:
     """Spans only where the text has the characters they need: most texts have none."""
     needs = text.rlike(r"@|[(\[]at[)\]]") if "email" in kind else text.rlike("[0-9]")
@@ -172,21 +185,32 @@ def features_of(c: Column) -> list[Column]:
 
 
 def sample(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Features and labels of candidates of base patterns, and of bare numbers, in the sample."""
+    """Features and labels of candidates of all patterns, and of numbers that none of them covers, in the sample."""
     text = F.col("text")
     hashed = docs.select("text", F.xxhash64("doc_id", "text").alias("at"))
-    chosen = hashed.filter(text.rlike("[0-9@]")).select("at").distinct().orderBy("at").limit(MOST_DOCS)
+    chosen = hashed.filter(text.rlike(r"[0-9@]|[(\[]at[)\]]")).select("at").distinct().orderBy("at").limit(MOST_DOCS)
     some = hashed.join(F.broadcast(chosen), "at").dropDuplicates(["at"])  # MOST_DOCS hashes at most; texts do not move
 
     def labelled(kind: str, pattern: str) -> Column:
         def row(c: Column) -> Column:
-            label = passes(kind, c["t"]) if kind in BASE else F.lit(False)
-            return F.struct(F.array(*features_of(c)).alias("x"), label.alias("y"), c["start"].alias("start"))
+            label = passes(kind, c["t"]) if kind in BASE else plausible(kind, c["t"]) if kind in LOOSE else F.lit(False)
+            return F.struct(
+                F.array(*features_of(c)).alias("x"), label.alias("y"), c["start"].alias("start"), c["end"].alias("end")
+            )
 
         return F.transform(with_context(text, guarded(text, kind, located(text, pattern))), row)
 
-    groups = [labelled(kind, pattern) for kind, pattern in {**PATTERNS, "number": NUMBERS}.items()]
-    rows = some.select("at", F.explode(F.concat(*groups)).alias("c")).select("c.x", "c.y", F.xxhash64("at", "c.start", "c.x").alias("at"))
+    def groups(patterns: dict[str, str]) -> Column:
+        return F.concat(*[labelled(kind, pattern) for kind, pattern in patterns.items()])
+
+    some = some.withColumn("base", groups(PATTERNS)).withColumn("loose", groups(LOOSE))
+    some = some.withColumn("number", apart(labelled("number", NUMBERS), F.concat("base", "loose")))  # what no generator proposes
+    some = some.withColumn("loose", apart(F.col("loose"), F.filter("base", lambda c: c["y"])))
+    known = F.filter(F.concat("base", "loose", "number"), lambda c: c["y"].isNotNull())
+    some = some.withColumn("known", known).withColumn("true", F.filter("known", lambda c: c["y"]))
+    false = apart(F.filter("known", lambda c: ~c["y"]), F.col("true"))  # a part of personal data, or more, is no example
+    some = some.select("at", F.explode(F.concat("true", false)).alias("c"))
+    rows = some.select("c.x", "c.y", F.xxhash64("at", "c.start", "c.x").alias("at"))
     rows = rows.orderBy("at").limit(MOST_CANDIDATES).collect()
     return np.array([r.x for r in rows]).reshape(len(rows), len(FEATURES)), np.array([r.y for r in rows], dtype=float)
 

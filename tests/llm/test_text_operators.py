@@ -133,6 +133,19 @@ def test_boosted_trees_add_loose_numbers(spark, make_docs):
     assert rows[1].spans == "" and rows[2].spans == "" and rows[3].spans == "phone:2:19"
 
 
+def test_sample_labels_what_the_method_should_add(make_docs):
+    """Each added kind has positives, none of them also a negative; dates, bare numbers and invalid forms are negatives."""
+    def labels(text):
+        x, y = pii.sample(make_docs([(1, text)]))
+        return sorted((int(row[0]), bool(label)) for row, label in zip(x, y))
+
+    assert labels("id 123-45-6789 here") == [(9, True)]
+    assert labels("call 743-555-3824 now") == [(10, True)]
+    assert labels("call +1 743 555 3824 now") == [(11, True)]
+    assert labels("write ann (at) site (dot) org now") == [(0, True)]
+    assert labels("id 000-45-6789 on 2019-10-12, 42 of 1234567") == [(2, False), (7, False), (8, False), (9, False), (9, False)]
+
+
 def test_pii_scoring_agrees_with_trees(spark):
     """The nested conditions give what the trees give."""
     from pyspark.sql import functions as F
