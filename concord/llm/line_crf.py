@@ -17,6 +17,7 @@ verdict works on one text column, so clashing names cannot occur.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -83,7 +84,7 @@ def line_mask(line: bytes, words: list[bytes], repeated: bool) -> int:
         line.count(b"!") * 3 > n,
         n >= 4 and different * 2 <= n,
         n >= 4 and different * 5 <= n * 4,
-        n >= 4 and different * 2 <= n and max(map(words.count, set(words[:8]))) * 5 >= n * 2,
+        n >= 4 and different * 2 <= n and Counter(words).most_common(1)[0][1] * 5 >= n * 2,
         sum(line.count(c) for c in b"0123456789") * 5 > size,
         size < 3 * n,
         size > 14 * n,

@@ -208,6 +208,13 @@ def test_line_field_on_held_out_labels(spark):
     assert good / (good + counts.get((1, False), 0)) > 0.99 and bad / (bad + counts.get((0, True), 0)) > 0.9
 
 
+def test_dominant_word_may_come_late():
+    """The order of a line's words changes none of its features."""
+    words = [b"w%d" % i for i in range(9)] + [b"same"] * 11
+    late, early = (line_crf.line_mask(b" ".join(w), w, False) for w in (words, words[::-1]))
+    assert late >> 10 & 1 and early >> 10 & 1
+
+
 def test_viterbi_is_best_path():
     import itertools
     import random
