@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from concord.llm import line_crf, minhash, mixing, packing, pii, secrets, suffix_dedup, token_files, topk, warc
+from concord.llm import (
+    lexical, line_crf, minhash, mixing, packing, periodic, pii, secrets, suffix_dedup, token_files, topk, warc,
+)
 from concord.llm.common import table
 
 
@@ -51,6 +53,14 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scan(table(spark, sf_dir, "documents"))
 
 
+def op11_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_mixing": op2_mixing,
@@ -62,6 +72,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_minmax": op8_minmax,
     "op9_packing": op9_packing,
     "op10_pii": op10_pii,
+    "op11_lexical": op11_lexical,
+    "op13_periodic": op13_periodic,
 }
 
 ORACLES: dict[str, str] = {
@@ -159,4 +171,30 @@ ORACLES: dict[str, str] = {
         select c.doc_id, coalesce(n.n, 0) as n_shingles, component_id, c.doc_id = component_id as kept
         from c left join n using (doc_id)
     """,
+    "op11_lexical": """
+        with t as (
+            select row, doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) as term
+            from (select row_number() over () as row, doc_id, text from documents)
+        ), s as (select row, count(*) as n from t group by row),
+        c as (select count(*) as n_docs, cast(sum(n) as bigint) as n_terms from s),
+        f as (select row, doc_id, term, count(*) as tf from t group by all),
+        w as (
+            select term, cast(floor(1000 * ln(cast(2 * max(n_docs) + 2 as double) / (2 * count(*) + 1))) as bigint) as w
+            from f, c group by term
+        ), i as (
+            select distinct item, item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) as term
+            from (select row_number() over () as item, item_id, text from benchmark)
+        ), r as (
+            select item, item_id, row, doc_id, cast(sum(w * ((1000000000 * tf)
+                // (1000 * tf + 20 * (100 - 50 + (50 * n * n_docs) // n_terms)))) as bigint) as score
+            from i join f using (term) join w using (term) join s using (row), c
+            group by all
+        ), k as (
+            select *, row_number() over (partition by item order by score desc, doc_id nulls last, row) as rank
+            from r where score > 0
+        )
+        select item_id, cast(rank as integer) as rank, doc_id, score from k where rank <= 50
+    """,
 }
