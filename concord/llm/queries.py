@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from concord.llm import (
-    lexical, line_crf, minhash, mixing, packing, periodic, pii, secrets, suffix_dedup, token_files, topk, warc,
+    kmeans_tree, lexical, line_crf, minhash, mixing, packing, periodic, pii, secrets, suffix_dedup, token_files, topk,
+    warc,
 )
 from concord.llm.common import table
 
@@ -57,6 +58,10 @@ def op11_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_kmeans_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kmeans_tree.search(table(spark, sf_dir, "embeddings"))
+
+
 def op13_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.digest(table(spark, sf_dir, "documents"))
 
@@ -73,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_packing": op9_packing,
     "op10_pii": op10_pii,
     "op11_lexical": op11_lexical,
+    "op12_kmeans_tree": op12_kmeans_tree,
     "op13_periodic": op13_periodic,
 }
 
