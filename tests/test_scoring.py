@@ -9,7 +9,7 @@ import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
-from concord.operators import neighbours, probe, scoring
+from concord.operators import cells, neighbours, probe, scoring
 from conftest import as_dict, as_set
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -202,25 +202,124 @@ def test_nearest_against_brute_force(spark):
         assert rows[0].distance == 0.0
 
 
-def test_nearest_lsh_finds_itself(spark):
-    rng = np.random.default_rng(1)
-    matrix = rng.normal(size=(200, 8))
-    got = neighbours.nearest_lsh(vectors_of(spark, matrix), [float(x) for x in matrix[3].astype("float32")], k=3).collect()
-    assert got[0].vec_id == 3 and got[0].distance == pytest.approx(0.0, abs=1e-6)
+def brute(matrix, queries, k):
+    """The k nearest rows of each query, equal distances by place."""
+    x = np.asarray(matrix, dtype="float32").astype("float64")
+    out = {}
+    for q in queries:
+        d = ((x - x[q]) ** 2).sum(axis=1)
+        out[q] = [(int(i), float(d[i])) for i in np.lexsort((np.arange(len(x)), d.round(9)))[:k]]
+    return out
 
 
-def test_nearest_lsh_gives_k_and_finds_most(spark):
-    rng = np.random.default_rng(3)
-    matrix = rng.normal(size=(500, 16))
-    matrix /= np.sqrt((matrix**2).sum(axis=1, keepdims=True))
+def found_by(df):
+    got = {}
+    for r in sorted(df.collect(), key=lambda r: r["rank"]):
+        got.setdefault(r.query_id, []).append((r.vec_id, r.distance_sq))
+    return got
+
+
+def same(got, want):
+    assert got.keys() == want.keys()
+    for q, rows in want.items():
+        assert [i for i, _ in got[q]] == [i for i, _ in rows]
+        assert [d for _, d in got[q]] == pytest.approx([d for _, d in rows], abs=1e-9)
+
+
+def blobs(n, centres, dims, seed, spread=0.05):
+    rng = np.random.default_rng(seed)
+    return 5 * rng.normal(size=(centres, dims))[rng.integers(centres, size=n)] + spread * rng.normal(size=(n, dims))
+
+
+def queries_of(vecs, condition):
+    return vecs.filter(condition).select(F.col("vec_id").alias("query_id"), "embedding")
+
+
+@pytest.mark.parametrize("shape", ["random", "blobs", "copies", "grid"])
+def test_search_through_pivots_is_exact(spark, monkeypatch, shape):
+    monkeypatch.setattr(cells, "CELL", 40)
+    monkeypatch.setattr(neighbours, "CELL", 40)
+    rng = np.random.default_rng(5)
+    matrix = {
+        "random": rng.normal(size=(900, 8)),
+        "blobs": blobs(900, 12, 6, 5),
+        "copies": np.where(rng.uniform(size=(900, 1)) < 0.4, 1.0, rng.normal(size=(900, 5))),
+        "grid": np.stack([np.arange(900) % 30, np.arange(900) // 30], axis=1).astype(float),  # many equal distances
+    }[shape]
+    vecs = vectors_of(spark, matrix).repartition(4)
+    same(found_by(neighbours.nearest_many(vecs, queries_of(vecs, "vec_id % 9 = 0"), 6, pivots=20)), brute(matrix, range(0, 900, 9), 6))
+
+
+def test_pivots_rule_out_most_pairs_of_clustered_vectors(spark):
+    matrix = blobs(3000, 40, 8, 6)
     vecs = vectors_of(spark, matrix)
-    query = [float(x) for x in matrix[9].astype("float32")]
-    assert neighbours.nearest_lsh(vecs, query, k=500).count() == 500
-    got = neighbours.nearest_lsh(vecs, query, k=10).collect()
-    d = np.sqrt(((matrix.astype("float32").astype("float64") - np.array(query)) ** 2).sum(axis=1))
-    assert [r.distance for r in got] == pytest.approx([d[r.vec_id] for r in got])
-    assert len({r.vec_id for r in got} & set(np.argsort(d)[:10])) >= 8
-    assert neighbours.nearest_lsh(vecs.limit(0), query, k=3).count() == 0
+    index = neighbours.PivotIndex(neighbours._given(vecs, "vec_id", "embedding"))
+    named = neighbours._named(neighbours._asked(queries_of(vecs, "vec_id % 10 = 0"), ["query_id"], "embedding"))
+    first = index.first_visits(named, 5)
+    later = index.later_visits(named, index.met(first, 5), 5)
+    compared = sum(index.sizes[r.g] * r["count"] for r in first.union(later).groupBy("g").count().collect())
+    assert index.sizes.sum() == 3000 and compared < 0.1 * 300 * 3000
+
+
+def test_many_queries_that_repeat(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "FEW", 2)
+    matrix = np.random.default_rng(8).normal(size=(50, 3))
+    vecs = vectors_of(spark, matrix)
+    one = queries_of(vecs, "vec_id = 7")
+    got = neighbours.nearest(vecs, one.union(one).union(one).union(queries_of(vecs, "vec_id = 8")), 4)
+    counts = as_dict(got.groupBy("query_id", "rank").count().select(F.struct("query_id", "rank").alias("q"), "count"), "q", "count")
+    assert {tuple(q): n for q, n in counts.items()} == {(q, r): 3 if q == 7 else 1 for q in (7, 8) for r in range(1, 5)}
+
+
+def test_search_of_and_for_nothing(spark, monkeypatch):
+    vecs = vectors_of(spark, np.eye(3))
+    for few in (256, 0):  # as a scan and through pivots
+        monkeypatch.setattr(neighbours, "FEW", few)
+        assert neighbours.nearest(vecs, queries_of(vecs, "false")).count() == 0
+        assert neighbours.nearest(vecs.filter("false"), queries_of(vecs, "true")).count() == 0
+        assert neighbours.nearest(vecs, queries_of(vecs, "true"), k=9).count() == 9
+    assert neighbours.nearest_lsh(vecs.filter("false"), queries_of(vecs, "true")).count() == 0
+    assert neighbours.nearest_lsh(vecs, queries_of(vecs, "false")).count() == 0
+
+
+def test_null_vectors_and_keys_take_no_part(spark):
+    rows = [(1, [0.0, 1.0]), (2, None), (None, [0.0, 1.0]), (3, [1.0, 1.0])]
+    vecs = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
+    queries = vecs.select(F.col("vec_id").alias("query_id"), "embedding")
+    for search in (neighbours.nearest, neighbours.nearest_many, neighbours.nearest_lsh):
+        got = [(r.query_id, r["rank"], r.vec_id) for r in search(vecs, queries, 2).collect()]
+        assert sorted(got, key=repr) == sorted([(1, 1, 1), (1, 2, 3), (None, 1, 1), (None, 2, 3), (3, 1, 3), (3, 2, 1)], key=repr)
+
+
+@pytest.mark.parametrize("shape", ["random", "blobs"])
+def test_hashed_search_of_many_queries(spark, shape):
+    matrix = np.random.default_rng(3).normal(size=(1500, 16)) if shape == "random" else blobs(1500, 30, 16, 3)
+    vecs = vectors_of(spark, matrix)
+    got = found_by(neighbours.nearest_lsh(vecs, queries_of(vecs, "vec_id % 5 = 0"), k=5))
+    want = brute(matrix, range(0, 1500, 5), 5)
+    hits = sum(len({i for i, _ in got[q]} & {i for i, _ in rows}) for q, rows in want.items())
+    assert hits >= 0.9 * 5 * 300
+    x = matrix.astype("float32").astype("float64")
+    for q, rows in got.items():
+        assert rows[0][0] == q and len({i for i, _ in rows}) == len(rows)
+        assert all(d == pytest.approx(((x[i] - x[q]) ** 2).sum(), abs=1e-9) for i, d in rows)
+
+
+def test_hashed_search_splits_large_buckets(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "CELL", 16)
+    matrix = np.where(np.arange(300)[:, None] < 200, 1.0, np.random.default_rng(4).normal(size=(300, 4)))
+    vecs = vectors_of(spark, matrix)
+    got = found_by(neighbours.nearest_lsh(vecs, queries_of(vecs, "vec_id in (5, 250)"), k=7))
+    assert got[5] == [(i, 0.0) for i in range(7)] and got[250][0] == (250, 0.0)
+
+
+def test_probes_begin_at_home(spark):
+    import pandas as pd
+
+    hashing = neighbours.Hashing(tables=3, width=2, reach=1, seed=1)
+    v, spread = pd.Series(list(np.random.default_rng(0).normal(size=(300, 4)))), pd.Series([1.0] * 300)
+    buckets, probes = hashing.buckets().func(v, spread), hashing.probes().func(v, spread)
+    assert all(set(b) == set(p[:3]) and len(set(p)) == 27 for b, p in zip(buckets, probes))
 
 
 def test_nearest_with_many_queries_and_text_keys(spark):
@@ -243,6 +342,42 @@ def test_more_classes_than_a_block(spark):
     assert len(got) == 1500 and all(r.prediction == r.truth and r.distance_sq == 0.0 for r in got)
 
 
+@pytest.mark.parametrize("n", [3, 20_000])
+def test_classifier_with_many_classes(spark, n):
+    centres = blobs(n, 100, 6, 9, spread=0.5)
+    vectors = np.random.default_rng(10).normal(scale=4, size=(300, 6))
+    c = spark.createDataFrame([(i, v) for i, v in enumerate(centres.tolist())], "label int, embedding array<double>")
+    vecs = vectors_of(spark, vectors)
+    got = as_dict(neighbours.nearest_centroid(vecs, c), "vec_id", "prediction")
+    x = vectors.astype("float32").astype("float64")
+    assert [got[i] for i in range(300)] == [int(((centres - v) ** 2).sum(axis=1).round(9).argmin()) for v in x]
+
+
+def test_far_centres_are_not_compared():
+    centres = blobs(20_000, 200, 8, 11)
+    index = neighbours.Centres(centres)
+    x = blobs(500, 200, 8, 11)
+    best, distance = index.nearest(x)
+    for i in range(0, 500, 10):
+        d = ((centres - x[i]) ** 2).sum(axis=1)
+        assert best[i] == d.round(9).argmin() and distance[i] == pytest.approx(d.min())
+    assert index.compared < 0.2 * 500 * 20_000
+
+
+def test_more_centres_than_go_to_the_tasks(spark, monkeypatch):
+    matrix, labels = clusters()
+    vecs = vectors_of(spark, matrix, labels)
+    rows = [(None, [0.0, 0.0, 0.0, 1.0], None), (7, None, 1)]
+    vecs = vecs.union(spark.createDataFrame(rows, vecs.schema))
+    centres = neighbours.centroids(vecs.filter("label is not null and embedding is not null"))
+    want = as_set(neighbours.nearest_centroid(vecs, centres))
+    monkeypatch.setattr(neighbours, "CENTRE_BYTES", 1)
+    assert as_set(neighbours.nearest_centroid(vecs, centres)) == want
+    monkeypatch.setattr(neighbours, "FEW", 1)
+    assert as_set(neighbours.nearest_centroid(vecs, centres)) == want
+    assert len(want) == 601
+
+
 def clusters(n=600, classes=3):
     rng = np.random.default_rng(2)
     labels = rng.integers(0, classes, n)
