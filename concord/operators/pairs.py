@@ -1,20 +1,20 @@
 """Agreement between pairs of voters and co-occurrence of labels.
 
-No item ever emits its pairs as rows: with a voter list each pair is two
-conditional counters of one global aggregation over the wide table, and
-without one items are first reduced to their distinct vote patterns.
+No item ever emits its pairs as rows: voters are compared by bit matrices where
+the votes are, and only a count a pair and task is shuffled. Plans are the
+same for seven voters and for hundreds.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from itertools import combinations, combinations_with_replacement
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from concord.functions import text
 from concord.functions.rules import lookup
+from concord.operators import bits
 from concord.operators.consensus import family_means, record_count
 from concord.operators.votes import ITEM, LABEL, MODEL, aligned
 
@@ -24,43 +24,22 @@ def pair_counts(wide: DataFrame, voters: Sequence[str], own: bool = False) -> Da
 
     With ``own`` each voter is also paired with itself, which counts its votes.
     """
-    counters, pairs = [], []
-    chosen = combinations_with_replacement(voters, 2) if own else combinations(voters, 2)
-    for i, (a, b) in enumerate(chosen):
-        x, y = text.name(a), text.name(b)
-        counters.append(f"count_if({x} is not null and {y} is not null) as both_{i}")
-        counters.append(f"count_if({x} = {y}) as same_{i}")
-        names = {"model_a": text.literal(a), "model_b": text.literal(b)}
-        pairs.append(text.struct(**names, n_both=f"both_{i}", n_same=f"same_{i}"))
-    return wide.selectExpr(*counters).selectExpr(f"inline(array({', '.join(pairs)}))")
-
-
-def pair_counts_long(votes: DataFrame) -> DataFrame:
-    """As ``pair_counts`` from the long table, for voter lists too long or unknown.
-
-    Items become vote patterns, at most one entry per voter, and equal
-    patterns are counted before any pair is formed.
-    """
-    cell = F.struct(MODEL, LABEL)
-    patterns = (
-        votes.dropna(subset=[LABEL])
-        .groupBy(ITEM)
-        .agg(F.sort_array(F.collect_set(cell)).alias("pattern"))
-        .groupBy("pattern")
-        .agg(F.count(F.lit(1)).alias("weight"))
-    )
-    return (
-        patterns.select("weight", "pattern", F.explode("pattern").alias("a"))
-        .select("weight", "a", F.explode("pattern").alias("b"))
-        .filter(F.col("a.model") < F.col("b.model"))
-        .groupBy(F.col("a.model").alias("model_a"), F.col("b.model").alias("model_b"))
-        .agg(
-            F.sum("weight").alias("n_both"),
-            F.sum(F.when(F.col("a.prediction") == F.col("b.prediction"), F.col("weight")).otherwise(0)).alias("n_same"),
-        )
+    names = F.lit(list(voters))
+    counts = bits.pairs_of_wide(wide, voters)
+    return counts.filter("i <= j" if own else "i < j").select(
+        F.element_at(names, F.col("i").cast("int") + 1).alias("model_a"),
+        F.element_at(names, F.col("j").cast("int") + 1).alias("model_b"),
+        "n_both",
+        "n_same",
     )
 
 
+def pair_counts_long(votes: DataFrame, own: bool = False) -> DataFrame:
+    """As ``pair_counts`` from the long table, for voters that are not known; pairs with a common item, by name."""
+    counts = bits.pairs_of_long(votes, ITEM, MODEL, LABEL)
+    return counts if own else counts.filter("model_a < model_b")
+
+
 def _matrix(pairs: DataFrame, rate: Column) -> DataFrame:
     """Both triangles and the diagonal from pairs that include each voter with itself."""
     rows = pairs.withColumn("agreement", rate)
@@ -79,6 +58,12 @@ def agreement_matrix(wide: DataFrame, voters: Sequence[str], scale: float = 100.
     return _matrix(pair_counts(wide, voters, own=True), _on_diagonal(scale, rate))
 
 
+def agreement_matrix_long(votes: DataFrame, scale: float = 100.0) -> DataFrame:
+    """As ``agreement_matrix`` from the long table, over the voters that are found; pairs without overlap have no row."""
+    rate = F.lit(scale) * F.col("n_same") / F.col("n_both")
+    return _matrix(pair_counts_long(votes, own=True), _on_diagonal(scale, rate))
+
+
 def agreement_all_rows(
     wide: DataFrame, voters: Sequence[str], listing: DataFrame, diagonal: str = "full"
 ) -> DataFrame:

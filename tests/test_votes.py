@@ -1,11 +1,12 @@
 """Vote operators on hand-made edge cases."""
 
+import numpy as np
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from concord.functions import cleaning
-from concord.operators import consensus, joins, pairs, votes
+from concord.operators import bits, consensus, joins, pairs, votes
 from concord.plans import views
 from conftest import as_dict, as_set, records_of, votes_of, wide_of
 
@@ -277,3 +278,63 @@ def test_priority_fill_and_grid(spark):
     assert as_set(joins.priority_fill(a, b, ["dataset", "model"])) == {("d", "m", 1.0), ("d", "n", 2.0)}
     datasets = spark.createDataFrame([("d",), ("gone",)], "dataset string")
     assert as_set(joins.task_grid(datasets, ["m", "n"], a)) == {("d", "m"), ("d", "n")}
+
+
+def many_votes(n_items, n_voters, n_labels, seed):
+    rng = np.random.default_rng(seed)
+    codes = rng.integers(-1, n_labels, size=(n_items, n_voters))
+    codes[:, : n_voters // 3] = np.where(rng.uniform(size=(n_items, 1)) < 0.7, codes[:, :1], codes[:, : n_voters // 3])
+    return codes
+
+
+def plain_pairs(codes, names):
+    out = {}
+    for i, a in enumerate(names):
+        for j, b in enumerate(names[i:], i):
+            both = (codes[:, i] >= 0) & (codes[:, j] >= 0)
+            out[a, b] = (int(both.sum()), int((both & (codes[:, i] == codes[:, j])).sum()))
+    return out
+
+
+def test_agreement_of_three_hundred_voters(spark, monkeypatch):
+    monkeypatch.setattr(bits, "BLOCK", 100)
+    names = [f"v{i:03d}" for i in range(300)]
+    codes = many_votes(450, 300, 7, 1)
+    rows = [(i, *[None if c < 0 else f"l{c}" for c in row]) for i, row in enumerate(codes.tolist())]
+    wide = spark.createDataFrame(rows, "item_id bigint, " + ", ".join(f"{v} string" for v in names)).repartition(3)
+    want = plain_pairs(codes, names)
+    counts = pairs.pair_counts(wide, names, own=True)
+    assert {(r.model_a, r.model_b): (r.n_both, r.n_same) for r in counts.collect()} == want
+    matrix = {(r.model_a, r.model_b): r.agreement for r in pairs.agreement_matrix(wide, names).collect()}
+    assert len(matrix) == 300 * 300 and matrix["v005", "v005"] == 100.0
+    for (a, b), (both, same) in list(want.items())[:: 97]:
+        if a != b:
+            assert matrix[a, b] == matrix[b, a] == pytest.approx(100.0 * same / both if both else 0.0)
+    plan = counts._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("count_if") == 0 and len(plan) < 100 * 300
+
+
+def test_agreement_from_the_long_table(spark, monkeypatch):
+    monkeypatch.setattr(bits, "BLOCK", 37)
+    names = [f"v{i:02d}" for i in range(25)]
+    codes = many_votes(300, 25, 3, 2)
+    rows = [(i, v, f"l{c}") for i, row in enumerate(codes.tolist()) for v, c in zip(names, row) if c >= 0]
+    rows += [(i, "v00", None) for i in range(300, 310)] + [(400, None, "l1")]
+    votes = spark.createDataFrame(rows, "item_id bigint, model string, prediction string").repartition(5)
+    want = plain_pairs(codes, names)
+    got = pairs.pair_counts_long(votes, own=True)
+    assert {(r.model_a, r.model_b): (r.n_both, r.n_same) for r in got.collect()} == want
+    matrix = {(r.model_a, r.model_b): r.agreement for r in pairs.agreement_matrix_long(votes).collect()}
+    for (a, b), (both, same) in want.items():
+        assert matrix[a, b] == matrix[b, a] == pytest.approx(100.0 if a == b else 100.0 * same / both)
+    assert pairs.pair_counts_long(votes.filter("false")).count() == 0
+
+
+def test_agreement_without_items(spark):
+    wide = wide_of(spark, {}, ["p", "q"])
+    assert as_set(pairs.pair_counts(wide, ["p", "q"], own=True)) == {("p", "p", 0, 0), ("p", "q", 0, 0), ("q", "q", 0, 0)}
+
+
+def test_shared_bits():
+    rows = np.random.default_rng(3).uniform(size=(70, 300)) < 0.4
+    assert (bits.shared_bits(rows) == rows.astype(int) @ rows.T.astype(int)).all()
