@@ -40,12 +40,13 @@ def quantiles(df: DataFrame, value: str, shares: Sequence[float], names: Sequenc
     """Exact, linearly interpolated quantiles per key, for groups of any size.
 
     ``percentile`` would hold all distinct values of a group in one task. Here
-    values are cut into slices; slice sizes tell which slices hold the wanted
-    ranks, and only those are sorted.
+    equal values are counted first, so one that holds much of a group is a
+    single row; the values are cut into slices, slice sizes tell which of
+    them hold the wanted ranks, and only those are sorted.
     """
-    present = df.select(key, value).dropna(subset=[value])
-    marked = sliced(present, [key], F.col(value).cast("double"))
-    sizes = marked.groupBy(key, SLICE).agg(F.count(F.lit(1)).alias("size"))
+    present = df.select(key, value).dropna(subset=[value]).groupBy(key, value).agg(F.count(F.lit(1)).alias("times"))
+    marked = sliced(present, [key], [value])
+    sizes = marked.groupBy(key, SLICE).agg(F.sum("times").alias("size"))
     # One row per key and slice.
     slices = Window.partitionBy(key).orderBy(SLICE)
     placed = sizes.select(
@@ -65,9 +66,10 @@ def quantiles(df: DataFrame, value: str, shares: Sequence[float], names: Sequenc
         .selectExpr(text.name(key), SLICE, "n", "filter(ranks, r -> r.rank between 1 and size) as ranks")
         .filter("size(ranks) > 0")
     )
-    inside = Window.partitionBy(SLICE, key).orderBy(value)
-    numbered = attach(marked, wanted, [SLICE, key]).withColumn("at", F.row_number().over(inside))
-    found = numbered.select(key, "n", F.col(value).alias("value"), "at", F.explode("ranks").alias("r")).filter("at = r.rank")
+    upto = F.sum("times").over(Window.partitionBy(SLICE, key).orderBy(value))
+    numbered = attach(marked, wanted, [SLICE, key]).withColumn("upto", upto)
+    found = numbered.select(key, "n", F.col(value).alias("value"), "upto", "times", F.explode("ranks").alias("r"))
+    found = found.filter("r.rank between upto - times + 1 and upto")
     edges = found.groupBy(key).agg(
         F.max("n").alias("n"),
         *[
@@ -151,7 +153,7 @@ def energy(
     energy of ``max(0, power - idle)``. A model with a single sample has no
     area: it counts as idle for ``total_time_s``.
 
-    Samples are cut into range slices by (model, time). A slice sums its own
+    Samples are cut into range slices by (model, time, tie). A slice sums its own
     areas, then the gaps between neighbouring slices are bridged from their
     first and last samples.
     """
@@ -165,7 +167,7 @@ def energy(
         seconds = (after["t"] - before["t"]) / F.lit(ticks_per_second)
         return (before[field] + after[field]) / 2.0 * seconds
 
-    marked = sliced(rows, [MODEL], F.col("t").cast("double")).withColumn("at", point)
+    marked = sliced(rows, [MODEL], ["t", "tie"]).withColumn("at", point)
     inner = marked.withColumn("prev", F.lag("at").over(along))
     partial = inner.groupBy(MODEL, SLICE).agg(
         F.sum(area(F.col("prev"), F.col("at"), "p")).alias("gross"),

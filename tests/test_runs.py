@@ -266,10 +266,48 @@ def test_rows_move_once(spark):
 def test_slices_split_a_hot_key(spark):
     """A key that holds nearly all rows is spread over its slices."""
     df = spark.range(20_000).select(F.when(F.col("id") < 19_900, F.lit("hot")).otherwise(F.lit("cold")).alias("k"), F.rand(3).alias("x"))
-    sizes = [r["count"] for r in ordering.sliced(df, ["k"], F.col("x")).groupBy("k", ordering.SLICE).count().collect()]
+    sizes = [r["count"] for r in ordering.sliced(df, ["k"], ["x"], large=100).groupBy("k", ordering.SLICE).count().collect()]
     assert len(sizes) > 100 and max(sizes) < 20_000 / 20
 
 
+def test_one_time_stamp_that_holds_a_whole_key_is_split(spark):
+    df = spark.range(6000).select(F.lit("m").alias("k"), F.when(F.col("id") < 5700, F.lit(5)).otherwise(F.col("id")).alias("t"), F.col("id").alias("tie"))
+    marked = ordering.sliced(df, ["k"], ["t", "tie"], large=100)
+    slices = {r[ordering.SLICE]: (r.n, r.low, r.high) for r in marked.groupBy(ordering.SLICE).agg(F.count("*").alias("n"), F.min(F.struct("t", "tie")).alias("low"), F.max(F.struct("t", "tie")).alias("high")).collect()}
+    assert len(slices) > 40 and max(n for n, _, _ in slices.values()) < 600
+    edges = [tuple(x) for s in sorted(slices) for x in slices[s][1:]]
+    assert edges == sorted(edges)  # slices are numbered like the rows
+
+
+def test_a_hundred_thousand_keys(spark, monkeypatch):
+    """Few keys are large: only those are cut, and the points are no value that each row searches through."""
+    monkeypatch.setattr(ordering, "LARGE", 1000)
+    small = spark.range(300_000).select((F.col("id") % 100_000).alias("k"), F.col("id").alias("x"))
+    large = spark.range(30_000).select(F.lit(-1).cast("long").alias("k"), F.col("id").alias("x"))
+    df = small.union(large).withColumn("tie", -F.col("x"))
+    points = ordering.cuts(df, ["k"], ["x"]).collect()
+    assert [r.k for r in points] == [-1] and len(points[0]["_points"]) >= 20
+    numbered = ordering.number_rows(df, ["k"], ["x", "tie"])
+    wrong = numbered.filter(F.when(F.col("k") < 0, F.col("x") + 1).otherwise(F.floor(F.col("x") / 100_000) + 1) != F.col("row_number"))
+    assert wrong.count() == 0 and numbered.count() == 330_000
+
+
+@pytest.fixture(params=[100_000, 20])
+def sizes_of_slices(request, monkeypatch):
+    """Figures must not depend on whether keys are cut."""
+    monkeypatch.setattr(ordering, "LARGE", request.param)
+
+
+@pytest.mark.usefixtures("sizes_of_slices")
+def test_cut_keys_give_the_same_figures(spark):
+    test_row_numbers_against_brute_force(spark)
+    test_box_stats_against_brute_force(spark)
+    rows = [("v", 3.0)] * 700 + [("v", float(i)) for i in range(300)] + [("w", 1.5)] * 50
+    got = {r.model: (r.q1, r.median, r.q3) for r in timing.box_stats(spark.createDataFrame(rows, "model string, x double"), "x").collect()}
+    for model in ("v", "w"):
+        assert got[model] == pytest.approx(tuple(statistics.quantiles([x for m, x in rows if m == model], n=4, method="inclusive")))
+
+
 def test_valid_pairs(spark):
     df = scored(spark, [("a", "a"), ("a", None), (None, "a"), ("a", "Error"), ("a", "Error_Processing")])
     assert metrics.valid_pairs(df).count() == 2
