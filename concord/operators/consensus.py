@@ -20,6 +20,10 @@ from concord.functions.rules import lookup
 from concord.operators.votes import ITEM, LABEL, MODEL, aligned, only_listed
 
 
+#: The columns of a consensus besides the item.
+CONSENSUS = ("majority", "top_votes", "n_votes", "n_labels")
+
+
 def record_count(listing: DataFrame) -> Column:
     """Number of records as a scalar subquery; a bare parquet count reads only metadata."""
     return listing.agg(F.count(F.lit(1)).alias("n")).scalar()
@@ -71,6 +75,42 @@ def with_consensus(wide: DataFrame, voters: Sequence[str], tie: str = "label") -
     )
 
 
+def label_counts(votes: DataFrame) -> DataFrame:
+    """The state of a consensus: how often each item got each label, null for failed votes."""
+    return votes.groupBy(ITEM, LABEL).agg(F.count(F.lit(1)).alias("n"))
+
+
+def changed_counts(old: DataFrame, new: DataFrame) -> DataFrame:
+    """What one model's new votes change: its old rows count -1 and its new ones +1; equal rows cancel out."""
+    both = old.select(ITEM, LABEL, F.lit(-1).alias("n")).unionByName(new.select(ITEM, LABEL, F.lit(1).alias("n")))
+    return both.groupBy(ITEM, LABEL).agg(F.sum("n").alias("n")).filter("n <> 0")
+
+
+def merged_counts(counts: DataFrame, changes: DataFrame) -> DataFrame:
+    """Counts after changes; states of separate votes merge in the same way."""
+    both = counts.select(ITEM, LABEL, "n").unionByName(changes.select(ITEM, LABEL, "n"))
+    return both.groupBy(ITEM, LABEL).agg(F.sum("n").alias("n")).filter("n <> 0")
+
+
+def consensus_of_counts(counts: DataFrame) -> DataFrame:
+    """As ``consensus``, ties to the smallest label, from counts in place of votes."""
+    valid = F.when(F.col(LABEL).isNotNull(), F.col("n")).otherwise(F.lit(0))
+    best = F.min(F.struct(F.when(F.col(LABEL).isNotNull(), -F.col("n")).otherwise(F.lit(0)).alias("n"), F.col(LABEL)))
+    return (
+        counts.groupBy(ITEM)
+        .agg(best.alias("best"), F.max(valid).alias("top_votes"), F.sum(valid).alias("n_votes"), F.count(LABEL).alias("n_labels"))
+        .select(ITEM, F.col("best")[LABEL].alias("majority"), "top_votes", "n_votes", "n_labels")
+    )
+
+
+def updated_consensus(cons: DataFrame, counts: DataFrame, changes: DataFrame) -> DataFrame:
+    """The consensus after ``changes`` to ``counts``: only items that change are counted anew, votes are not read."""
+    touched = changes.select(ITEM).distinct()
+    anew = merged_counts(counts.join(touched, ITEM, "left_semi"), changes)
+    kept = cons.join(touched, ITEM, "left_anti")
+    return kept.select(ITEM, *CONSENSUS).unionByName(consensus_of_counts(anew).select(ITEM, *CONSENSUS))
+
+
 def judge(votes: DataFrame, tie: str = "label") -> DataFrame:
     """Judged votes from the long table, for any number of voters.
 

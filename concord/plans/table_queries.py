@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from concord.functions import cleaning, fixed_values, paths, rules
-from concord.operators import joins, ordering, runs, sampling, votes
+from concord.operators import consensus, joins, ordering, runs, sampling, votes
 from concord.plans import views
 from concord.plans.registry import query
 from concord.plans.views import MODELS
@@ -62,6 +62,28 @@ def upsert_model(spark, sf):
     return joins.upsert_model(stored, fresh, "m3", views.listing(spark, sf))
 
 
+_UPSERTED = """SELECT item_id, model, prediction FROM clean WHERE model <> 'm3'
+               UNION ALL SELECT item_id, model, lower(prediction) FROM clean WHERE model = 'm3' AND item_id % 3 <> 0"""
+
+
+@query(
+    "upsert_consensus",
+    f"""SELECT item_id, max(CASE WHEN rn = 1 THEN prediction END) AS majority, max(n) AS top_votes,
+              cast(sum(n) AS bigint) AS n_votes, count(prediction) AS n_labels
+       FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY n DESC, prediction) AS rn
+             FROM (SELECT item_id, prediction, count(prediction) AS n FROM ({_UPSERTED}) GROUP BY item_id, prediction))
+       GROUP BY item_id""",
+)
+def upsert_consensus(spark, sf):
+    """The consensus after one model's new predictions, from the consensus and the counts before them."""
+    votes = views.clean_votes(spark, sf).select("item_id", "model", "prediction")
+    counts = consensus.label_counts(votes)
+    before = consensus.consensus_of_counts(counts)
+    old = votes.filter("model = 'm3'")
+    new = old.filter("item_id % 3 <> 0").select("item_id", F.lower("prediction").alias("prediction"))
+    return consensus.updated_consensus(before, counts, consensus.changed_counts(old, new))
+
+
 @query(
     "report_rows",
     r"""SELECT concat(model, ' & ', """

@@ -2,6 +2,7 @@
 
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from concord.sinks import writers
@@ -93,3 +94,36 @@ def test_upsert_with_an_empty_result(spark, tmp_path):
     assert as_set(spark.read.parquet(path).select("model")) == {("m1",), ("org/model:v1=x é",)}
     writers.upsert_predictions(rows.limit(0), "m1", path)
     assert as_set(spark.read.parquet(path).select("model")) == {("org/model:v1=x é",)}
+
+
+def failing_rows(spark):
+    """Predictions of which the last cannot be made."""
+
+    def label(i):
+        if i == 9_999:
+            raise ValueError("no label")
+        return f"new{i}"
+
+    return spark.range(0, 10_000, 1, 8).select(F.col("id").alias("item_id"), F.udf(label)("id").alias("prediction"))
+
+
+def test_a_write_that_fails_keeps_the_old_predictions(spark, tmp_path):
+    path = str(tmp_path / "predictions")
+    for model in ("m1", "m2"):
+        writers.upsert_predictions(spark.range(50).select(F.col("id").alias("item_id"), F.lit("old").alias("prediction")), model, path)
+    with pytest.raises(Exception, match="no label"):
+        writers.upsert_predictions(failing_rows(spark), "m1", path)
+    stored = writers.stored_predictions(spark, path)
+    assert as_set(stored.groupBy("model", "prediction").count()) == {("m1", "old", 50), ("m2", "old", 50)}
+    writers.upsert_predictions(failing_rows(spark).filter("item_id < 10"), "m1", path)
+    assert as_set(writers.stored_predictions(spark, path).groupBy("model").count()) == {("m1", 10), ("m2", 50)}
+
+
+def test_model_names_that_look_like_numbers(spark, tmp_path):
+    path = str(tmp_path / "predictions")
+    rows = spark.createDataFrame([(1, "a")], "item_id bigint, prediction string")
+    for model in ("007", "7", "1e3"):
+        writers.upsert_predictions(rows, model, path)
+    assert as_set(writers.read_predictions(spark, path, records_of(spark, [1])).select("model")) == {("007",), ("7",), ("1e3",)}
+    writers.upsert_predictions(rows.limit(0), "007", path)
+    assert as_set(writers.stored_predictions(spark, path).select("model")) == {("7",), ("1e3",)}

@@ -338,3 +338,19 @@ def test_agreement_without_items(spark):
 def test_shared_bits():
     rows = np.random.default_rng(3).uniform(size=(70, 300)) < 0.4
     assert (bits.shared_bits(rows) == rows.astype(int) @ rows.T.astype(int)).all()
+
+
+def test_consensus_from_changed_counts(spark):
+    """One model's votes are replaced, some by failures, some for new items; all others stay unread."""
+    table = {i: {"p": "ab"[i % 2], "q": "abc"[i % 3], "r": None if i % 5 == 0 else "b"} for i in range(40)}
+    new = {i: "c" if i % 4 else None for i in range(20, 50)}
+    after = {i: {**table.get(i, {}), "q": new.get(i)} for i in range(50)}
+    after = {i: {m: x for m, x in row.items() if m != "q" or i in new} for i, row in after.items()}
+    votes_before, votes_after = votes_of(spark, table), votes_of(spark, {i: r for i, r in after.items() if r})
+    counts = consensus.label_counts(votes_before)
+    changes = consensus.changed_counts(votes_before.filter("model = 'q'"), votes_of(spark, {i: {"q": x} for i, x in new.items()}))
+    got = consensus.updated_consensus(consensus.consensus(votes_before), counts, changes)
+    assert as_set(got.select(COLUMNS)) == as_set(consensus.consensus(votes_after).select(COLUMNS))
+    whole = consensus.merged_counts(counts, changes)
+    assert as_set(whole) == as_set(consensus.label_counts(votes_after))
+    assert as_set(consensus.consensus_of_counts(counts).select(COLUMNS)) == as_set(consensus.consensus(votes_before).select(COLUMNS))
