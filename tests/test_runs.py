@@ -1,5 +1,6 @@
 """Run summaries, timing, energy and metrics."""
 
+import collections
 import random
 import statistics
 
@@ -210,6 +211,39 @@ def test_sample_is_exact(spark, n):
     assert len(got) == len(set(got)) == min(n, 300)
 
 
+REPEATS = {
+    "ten of each": [(i // 10, i) for i in range(100)],
+    "nulls": [(None if i < 30 else i, i) for i in range(100)],
+    "one key": [(1, i) for i in range(100)],
+    "equal rows": [(1, 1)] * 60 + [(None, None)] * 30 + [(2, 5)] * 10,
+    "mixed": [(None, 1)] * 7 + [(3, 4)] * 20 + [(3, i) for i in range(50)] + [(i, 0) for i in range(23)],
+}
+
+
+@pytest.mark.parametrize("digits", [1, 4])
+@pytest.mark.parametrize("rows", REPEATS.values(), ids=REPEATS.keys())
+def test_exact_on_repeated_and_null_keys(spark, rows, digits):
+    df = spark.createDataFrame(rows, "k long, x long").repartition(4)
+    whole = collections.Counter(map(tuple, df.collect()))
+    for n in (0, 1, 15, 20, 33, 79, 100, 500):
+        got = collections.Counter(map(tuple, sampling.sample(df, "k", n, digits=digits).collect()))
+        assert got.total() == min(n, 100) and not got - whole
+        assert got == collections.Counter(map(tuple, sampling.sample(df.repartition(2), "k", n, digits=digits).collect()))
+    for share in (0.0, 0.15, 0.8, 1.0):
+        parts = sampling.split(df, "k", share, digits=digits).collect()
+        assert sum(r.subset == "train" for r in parts) == int(share * 100)
+        assert collections.Counter((r.k, r.x) for r in parts) == whole
+
+
+def test_rows_of_one_key_stay_where_they_are(spark):
+    """Only counts are shuffled, also where the cut goes through a key."""
+    df = spark.range(5000).select((F.col("id") % 2).alias("k"), F.col("id").alias("x"))
+    part = sampling.sample(df, "k", 1234)
+    assert part.count() == 1234
+    plan = part._jdf.queryExecution().optimizedPlan().toString()
+    assert not any(word in plan for word in ("Join", "Aggregate", "Sort", "Window"))
+
+
 def scored(spark, pairs):
     return spark.createDataFrame(pairs, "truth string, prediction string")
 

@@ -396,7 +396,7 @@ def test_centroid_classifier(spark):
 
 def test_linear_probe_learns_separable_classes(spark):
     matrix, labels = clusters()
-    tested = probe.linear_probe(vectors_of(spark, matrix, labels), max_iter=20)
+    tested = probe.linear_probe(vectors_of(spark, matrix, labels))
     scores = probe.probe_scores(tested).first()
     assert scores.test_samples == 120
     assert scores.accuracy > 95 and scores.macro_f1 > 95
@@ -409,3 +409,34 @@ def test_probe_takes_text_classes_and_sparse_ids(spark):
         tested = probe.linear_probe(vecs.withColumn("label", label))
         rows = tested.collect()
         assert len(rows) == 120 and np.mean([r.truth == r.prediction for r in rows]) > 0.95
+
+
+def test_training_steps_match_a_second_computation(spark):
+    """The same batches in numpy, step by step: accuracy by epoch and weights."""
+    matrix, labels = clusters(400)
+    vecs = vectors_of(spark, matrix, labels).withColumn("label", F.concat(F.lit("c"), F.col("label"))).repartition(20)
+    trained = probe.train(vecs, epochs=3, batches=5, rate=0.05, seed=3)
+    x = np.hstack([matrix.astype("float32").astype("float64"), np.ones((400, 1))])
+    weights = first = second = np.zeros((3, 5))
+    history, step = [], 0
+    for epoch in range(3):
+        of = F.pmod(F.xxhash64(F.lit(3), F.lit(epoch), "vec_id"), F.lit(5))
+        batch = as_dict(vecs.select("vec_id", of.alias("b")), "vec_id", "b")
+        hits = 0
+        for b in range(5):
+            own = [i for i in range(400) if batch[i] == b]
+            z = x[own] @ weights.T
+            hits += (z.argmax(axis=1) == labels[own]).sum()
+            p = np.exp(z) / np.exp(z).sum(axis=1, keepdims=True) - np.eye(3)[labels[own]]
+            gradient, step = p.T @ x[own] / len(own), step + 1
+            first, second = 0.9 * first + 0.1 * gradient, 0.999 * second + 0.001 * gradient**2
+            weights = weights - 0.05 * first / (1 - 0.9**step) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
+        history.append(100 * hits / 400)
+    assert trained.history == pytest.approx(history) and trained.weights == pytest.approx(weights)
+    assert [tuple(r) for r in trained.epochs().collect()] == [(i, pytest.approx(a)) for i, a in enumerate(history, 1)]
+    assert history[2] > 95
+
+
+def test_probe_of_nothing(spark):
+    vecs = vectors_of(spark, np.eye(2)).filter("false")
+    assert probe.train(vecs).history == [] and probe.linear_probe(vecs).count() == 0
