@@ -65,7 +65,8 @@ def score_partitions(
 
     A record that fails gives ``Error_Processing``; when the factory fails
     every record gives ``Error_Model_Load``. ``num_partitions`` spreads a
-    costly scorer over more tasks than the scan has. A latency is a record's
+    costly scorer over more tasks than the scan has; records that differ much
+    in size are given as ``files.placed_by_size`` deals them. A latency is a record's
     share of its batch; ``batch_size=1`` times each record on its own.
     """
     load_error, record_error = fixed.ERROR_MODEL_LOAD, fixed.ERROR_PROCESSING

@@ -5,6 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from concord.operators import scoring
 from concord.sinks import writers
 from concord.sources import files, tables
 from conftest import as_set, records_of, votes_of
@@ -127,3 +128,43 @@ def test_model_names_that_look_like_numbers(spark, tmp_path):
     assert as_set(writers.read_predictions(spark, path, records_of(spark, [1])).select("model")) == {("007",), ("7",), ("1e3",)}
     writers.upsert_predictions(rows.limit(0), "007", path)
     assert as_set(writers.stored_predictions(spark, path).select("model")) == {("7",), ("1e3",)}
+
+
+def test_files_are_placed_by_size(spark, tmp_path):
+    """One file is a thousand times as large as the others: it stands nearly alone, the rest are spread evenly."""
+    tree(tmp_path, [f"c/{i:04d}.bin" for i in range(600)])
+    for i in range(600):
+        with open(tmp_path / "c" / f"{i:04d}.bin", "wb") as f:
+            f.write(b"x" * (100_000 if i == 77 else 100))
+    sizes = files.list_sizes(spark, str(tmp_path))
+    placed = files.placed_by_size(sizes, 8)
+    parts = placed.groupBy(F.spark_partition_id().alias("p")).agg(F.sum("length").alias("bytes"), F.count("*").alias("n"), F.max("length").alias("most")).collect()
+    assert sum(r.n for r in parts) == 600
+    share = 160_000 / 8
+    assert all(r.bytes <= 1.2 * share + 100 for r in parts if r.most == 100)
+    (large,) = [r for r in parts if r.most == 100_000]
+    assert large.bytes <= 100_000 + 1.2 * share
+    scans = [line for line in placed._jdf.queryExecution().executedPlan().toString().splitlines() if "binaryFile" in line]
+    assert scans and not any("content" in line for line in scans)
+
+
+def test_empty_files_and_no_files(spark):
+    schema = "path string, length long"
+    none = files.placed_by_size(spark.createDataFrame([], schema), 4)
+    assert none.count() == 0
+    empty = files.placed_by_size(spark.createDataFrame([(f"p{i}", None if i % 2 else 0) for i in range(100)], schema), 4)
+    counts = [r["count"] for r in empty.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(counts) == 4 and max(counts) <= 30
+
+
+def test_scorer_runs_where_files_are_placed(spark):
+    rows = spark.createDataFrame([(f"p{i}", 1000 if i == 3 else 1) for i in range(50)], "path string, length long")
+
+    def task():
+        from pyspark import TaskContext
+
+        return lambda batch: [str(TaskContext.get().partitionId())] * len(batch)
+
+    got = scoring.score_partitions(files.placed_by_size(rows, 4), task, ["path"], key="path").collect()
+    alone = {r.prediction for r in got if r.path == "p3"}
+    assert len(got) == 50 and sum(r.prediction in alone for r in got) < 10
