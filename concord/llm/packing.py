@@ -161,8 +161,8 @@ def pack(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", with_ids: bool
     def tasks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode, packer = Encoder(vocabulary), Packer(TaskContext.get().partitionId() << 40)
         for batch in batches:
-            for doc_id, text in zip(ids_of(batch), batch.text, strict=True):
-                packer.add(doc_id, encode(text))
+            for doc_id, ids in zip(ids_of(batch), encode.many(batch.text), strict=True):
+                packer.add(doc_id, ids)
             yield packer.rows(with_ids)
         packer.finish()
         yield packer.rows(with_ids)

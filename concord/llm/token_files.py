@@ -42,16 +42,43 @@ MANIFEST = schema(part="int", path="string", n_docs="long", n_ids="long")
 RESULT = schema(doc_id="long", start="long", n_tokens="long", ids_crc32="long")
 
 
+#: Widths at which ids are whole machine words.
+WHOLE = {8: "<u1", 16: "<u2", 32: "<u4"}
+
+
+def places(bits: int) -> Iterator[tuple[int, int, int, int]]:
+    """Eight ids fill ``bits`` bytes: for each id and byte it reaches, id, byte, shift of the id and shift to the byte."""
+    for i in range(8):
+        first, shift = divmod(i * bits, 8)
+        for n in range((bits + shift + 7) // 8):
+            yield i, first + n, shift, 8 * n
+
+
 def pack(ids: np.ndarray, bits: int) -> bytes:
-    each = np.unpackbits(ids.astype("<u4").view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")
-    return np.packbits(each[:, :bits], bitorder="little").tobytes()
+    """Ids at fixed width, little end first, by shifts of whole columns of eight ids."""
+    if bits in WHOLE:
+        return ids.astype(WHOLE[bits]).tobytes()
+    size = (len(ids) * bits + 7) // 8
+    padded = np.zeros(-(-len(ids) // 8) * 8, dtype=np.uint64)
+    padded[: len(ids)] = ids
+    groups = padded.reshape(-1, 8)
+    out = np.zeros((len(groups), bits), dtype=np.uint8)
+    for i, byte, shift, down in places(bits):
+        out[:, byte] |= ((groups[:, i] << np.uint64(shift)) >> np.uint64(down)).astype(np.uint8)
+    return out.tobytes()[:size]
 
 
 def unpack(data: bytes, n: int, bits: int) -> np.ndarray:
-    flat = np.unpackbits(np.frombuffer(data, np.uint8), count=n * bits, bitorder="little")
-    each = np.zeros((n, 32), dtype=np.uint8)
-    each[:, :bits] = flat.reshape(n, bits)
-    return np.packbits(each, axis=1, bitorder="little").view("<u4").ravel()
+    if bits in WHOLE:
+        return np.frombuffer(data, WHOLE[bits], count=n).astype("<u4")
+    whole = -(-n // 8)
+    filled = np.zeros(whole * bits, dtype=np.uint8)
+    filled[: len(data)] = np.frombuffer(data, np.uint8)[: whole * bits]
+    given = filled.reshape(whole, bits).astype(np.uint64)
+    out = np.zeros((whole, 8), dtype=np.uint64)
+    for i, byte, shift, down in places(bits):
+        out[:, i] |= (given[:, byte] << np.uint64(down)) >> np.uint64(shift)
+    return (out.ravel()[:n] & np.uint64((1 << bits) - 1)).astype("<u4")
 
 
 class Writer:
@@ -138,9 +165,9 @@ def write(docs: DataFrame, folder: str, vocabulary: str = "word_bpe_49k.json") -
         encode, part, out = Encoder(vocabulary), TaskContext.get().partitionId(), None
         path = f"{folder}/part-{part:06d}-{uuid.uuid4().hex}.tkf"
         for batch in batches:
-            for doc_id, text in zip(ids_of(batch), batch.text, strict=True):
+            for doc_id, ids in zip(ids_of(batch), encode.many(batch.text), strict=True):
                 out = out or Writer(path, encode.vocabulary())
-                out.add(doc_id, encode(text))
+                out.add(doc_id, ids)
         if out:
             out.close()
             yield pd.DataFrame([(part, path, len(out.docs), out.n_ids)], columns=MANIFEST.names)

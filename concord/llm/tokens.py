@@ -1,10 +1,14 @@
 """Token ids of whole texts, encoded piecewise.
 
-Both vocabularies used here never merge across the pieces cut below, so a
-piece is encoded once by the ``tokenizers`` library and looked up afterwards.
-The cache is bounded: when its young half is full, that becomes the old half,
-and what is still used moves back. Long pieces are not kept. A test compares
-with encoding whole texts.
+Both vocabularies used here never merge across the pieces cut below. Texts are
+taken in groups: marks after words are set apart, texts are cut at the spaces,
+and each different piece of a group is encoded once by the ``tokenizers``
+library; ids of all texts are then gathered with numpy. What is not a plain word
+is cut further by pattern. Pieces stay known from group to group in a bounded
+cache: when its young half is full, that becomes the old half, and what is
+still used moves back. An entry takes about 230 bytes, so ``CACHED`` bounds
+a process to some 64 MB. Long pieces are not kept. A test compares with encoding
+whole texts.
 """
 
 from __future__ import annotations
@@ -12,6 +16,10 @@ from __future__ import annotations
 import re
 import sys
 import types
+from array import array
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
+from itertools import count
 
 import numpy as np
 
@@ -29,7 +37,12 @@ PIECES = {
     "word_bpe_49k.json": re.compile(rf"{WORD}|[^{SPACE}]+"),
     "byte_bpe_50k.json": re.compile(rf" ?{WORD}| ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"),
 }
-PLAIN = re.compile(r" ?[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
+PLAIN = re.compile(r"[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
+BLANK = re.compile(rf"[{SPACE}]")
+
+#: A mark between a letter or digit and a space is a piece of its own; a sign keeps it apart, another one marks what has no space before it.
+MARKS, APART, FIRST = ".,;:!?", "\x01", "\x02"
+ENDING = re.compile(rf"([{MARKS}]) (?<=[0-9A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff][{MARKS}] )")
 
 
 def spelling() -> dict[int, str]:
@@ -40,61 +53,150 @@ def spelling() -> dict[int, str]:
     return {c: "".join(of_byte[b] for b in chr(c).encode()) for c in range(256)}
 
 
-#: Plain words as the model of a vocabulary gets them from its normaliser and splitter.
+#: Plain words as the model of a vocabulary gets them from its normaliser and splitter, with a space before them or not.
 SPELT = {
-    "word_bpe_49k.json": lambda piece: piece.lower().translate(SPELLING),
-    "byte_bpe_50k.json": lambda piece: piece.translate(SPELLING),
+    "word_bpe_49k.json": lambda word, spaced: word.lower().translate(SPELLING),
+    "byte_bpe_50k.json": lambda word, spaced: (" " + word if spaced else word).translate(SPELLING),
 }
+#: Whether white space is part of the tokens; where it is not, it only separates.
+SPACED = {"word_bpe_49k.json": False, "byte_bpe_50k.json": True}
 SPELLING = spelling()
-CACHED, LONGEST = 80_000, 40
+#: Pieces in both halves of the cache, the longest of them, and different pieces of a group of texts.
+CACHED, LONGEST, GROUP_PIECES = 280_000, 40, 250_000
 
 
-def caches() -> dict[tuple[str, int], tuple]:
-    """Tokenizers and known pieces by vocabulary, kept by the process for the tasks it runs one after another.
+def caches() -> dict[str, tuple]:
+    """Tokenizers and what they have encoded, by vocabulary, kept by the process for the tasks it runs one after another.
 
     Functions travel to executors by value, so a global of this module would start empty in each task.
     """
     return sys.modules.setdefault("_concord_token_caches", types.ModuleType("_concord_token_caches")).__dict__
 
 
+class Cache:
+    """Two halves of at most ``most`` entries together."""
+
+    def __init__(self, most: int):
+        self.half, self.young, self.old = most // 2, {}, {}
+
+    def get(self, key: str) -> bytes | None:
+        found = self.young.get(key)
+        if found is None and (found := self.old.get(key)) is not None:
+            self.keep(key, found)
+        return found
+
+    def keep(self, key: str, value: bytes) -> None:
+        if len(key) > LONGEST:
+            return
+        if len(self.young) >= self.half:
+            self.young, self.old = {}, self.young
+        self.young[key] = value
+
+
+class Group:
+    """Texts as the numbers of their pieces."""
+
+    def __init__(self):
+        self.names, self.order, self.texts = defaultdict(count().__next__), array("q"), []
+
+    def add(self, text: str, pieces: list[str], odd: bytes | None = None) -> None:
+        self.order.extend(map(self.names.__getitem__, pieces))
+        self.texts.append((text, len(pieces), odd))
+
+
 class Encoder:
-    """``encode(text)`` gives the ids of one text, with the end id, as unsigned 32-bit integers."""
+    """``encode(text)`` gives the ids of one text, with the end id, as unsigned 32-bit integers; ``many`` those of many."""
 
     def __init__(self, name: str, end_id: int = 1):
         from tokenizers import Tokenizer
 
         path = tokenizer_path(name)
         if path not in caches():
-            caches()[path] = (Tokenizer.from_file(path), {}, {})
-        self.library, self.known, self.old = caches()[path]
-        self.pieces, self.spelt, self.model = PIECES[name], SPELT[name], self.library.model
+            caches()[path] = (Tokenizer.from_file(path), Cache(CACHED))
+        self.library, self.known = caches()[path]
+        self.pieces, self.spelt, self.spaced = PIECES[name], SPELT[name], SPACED[name]
+        self.model = self.library.model
         self.end = np.array([end_id], dtype="<u4").tobytes()
 
     def __call__(self, text: str | None) -> np.ndarray:
-        if text and "<|" in text:  # a special token also decides how the space before it is cut
-            return np.frombuffer(self.encoded(text) + self.end, dtype="<u4")
-        pieces = self.pieces.findall(text) if text else []
-        parts = list(map(self.known.get, pieces))
-        if None in parts:
-            parts = [self.learn(p) if got is None else got for p, got in zip(pieces, parts, strict=True)]
-        parts.append(self.end)
-        return np.frombuffer(b"".join(parts), dtype="<u4")
+        return next(self.many([text]))
+
+    def many(self, texts: Iterable[str | None]) -> Iterator[np.ndarray]:
+        """The ids of each text, in order."""
+        group = Group()
+        for text in texts:
+            text = text or ""
+            # a special token also decides how the space before it is cut
+            if "<|" in text or APART in text or FIRST in text:
+                group.add(text, [], self.encoded(text))
+            else:
+                group.add(text, (FIRST + ENDING.sub(f" {APART}\\1 ", text)).split(" ") if text else [])
+            if len(group.names) >= GROUP_PIECES or len(group.order) >= 16 * GROUP_PIECES:
+                yield from self.encode_group(group)
+                group = Group()
+        yield from self.encode_group(group)
+
+    def encode_group(self, group: Group) -> Iterator[np.ndarray]:
+        values = list(map(self.known.young.get, group.names))
+        values = [self.chunk(k) if v is None else v for k, v in zip(group.names, values, strict=True)]
+        nothing = np.array([v is None for v in values], dtype=bool)
+        lengths = np.array([len(v or b"") // 4 for v in values], dtype=np.int64)
+        ids = np.frombuffer(b"".join(v or b"" for v in values), dtype="<u4")
+        starts, order = np.cumsum(lengths) - lengths, np.frombuffer(group.order, dtype=np.int64)
+        at = 0
+        for text, size, odd in group.texts:
+            own, at = order[at : at + size], at + size
+            if odd is not None:
+                yield np.frombuffer(odd + self.end, dtype="<u4")
+            elif nothing[own].any():  # white space meets white space
+                yield np.frombuffer(self.cut(text) + self.end, dtype="<u4")
+            else:
+                n = lengths[own]
+                upto = np.cumsum(n)
+                total = int(upto[-1]) if size else 0
+                out = np.empty(total + 1, dtype="<u4")
+                out[:total] = ids[np.repeat(starts[own] - upto + n, n) + np.arange(total)]
+                out[total:] = np.frombuffer(self.end, dtype="<u4")
+                yield out
 
     def encoded(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def learn(self, piece: str) -> bytes:
-        ids = self.known.get(piece) or self.old.get(piece)
-        if ids is None and PLAIN.fullmatch(piece):
-            ids = np.array([t.id for t in self.model.tokenize(self.spelt(piece))], dtype="<u4").tobytes()
-        elif ids is None:
-            ids = self.encoded(piece)
-        if len(piece) <= LONGEST:
-            if len(self.known) >= CACHED:
-                self.old.clear()
-                self.old.update(self.known)
-                self.known.clear()
-            self.known[piece] = ids
+        return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def plain(self, word: str, spaced: bool) -> bytes:
+        return array("I", [t.id for t in self.model.tokenize(self.spelt(word, spaced))]).tobytes()
+
+    def chunk(self, chunk: str) -> bytes | None:
+        """Ids of what stands between two spaces, with the first of them; None where white space meets white space."""
+        ids = self.known.get(chunk)
+        if ids is not None:
+            return ids
+        if PLAIN.fullmatch(chunk):
+            ids = self.plain(chunk, True)
+        elif chunk[:1] == FIRST:
+            return self.cut(chunk[1:])
+        elif chunk[:1] == APART:
+            ids = self.cut(chunk[1:])
+        elif self.spaced and (not chunk or BLANK.match(chunk)):
+            return None
+        else:
+            return self.cut(" " + chunk if self.spaced else chunk)
+        self.known.keep(chunk, ids)
+        return ids
+
+    def cut(self, text: str) -> bytes:
+        """Ids of any text, piece by piece."""
+        return b"".join(map(self.piece, self.pieces.findall(text)))
+
+    def piece(self, piece: str) -> bytes:
+        ids = self.known.get(key := FIRST + piece)
+        if ids is None:
+            if PLAIN.fullmatch(piece):
+                ids = self.plain(piece, False)
+            elif self.spaced and PLAIN.fullmatch(piece, 1) and piece[0] == " ":
+                ids = self.plain(piece[1:], True)
+            else:
+                ids = self.encoded(piece)
+            self.known.keep(key, ids)
         return ids
 
     def vocabulary(self) -> int:

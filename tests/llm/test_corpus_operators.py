@@ -220,17 +220,27 @@ def test_pieces_give_the_ids_of_whole_texts(encoded, small_docs, odd, name):
         assert own(text).tolist() == ids.tolist(), repr(text)
 
 
-def test_cache_stays_bounded(monkeypatch):
+def test_cache_stays_bounded():
     from concord.llm import tokens
 
-    monkeypatch.setattr(tokens, "CACHED", 50)
     own = Encoder(NAMES[0])
-    own.known.clear()
+    own.known = tokens.Cache(50)
     first = [own(f"w{i} x{i}").tolist() for i in range(200)]
-    assert len(own.known) <= 50 and len(own.old) <= 50
+    assert len(own.known.young) + len(own.known.old) <= 50
     assert first == [own(f"w{i} x{i}").tolist() for i in range(200)]
 
 
+@pytest.mark.parametrize("name", NAMES)
+def test_groups_of_texts_give_the_ids_of_each(encoded, small_docs, odd, name, monkeypatch):
+    from concord.llm import tokens
+
+    texts = odd + [t for _, t in small_docs] + ["word. word, (x). !, end.", "a\x01b", "\x02", "x \x01. y"]
+    for size in (1, 50, 10**9):
+        monkeypatch.setattr(tokens, "GROUP_PIECES", size)
+        got = list(Encoder(name).many(texts))
+        assert [g.tolist() for g in got] == [ids.tolist() for ids in encoded(name, texts)]
+
+
 @pytest.mark.parametrize("bits", [1, 5, 8, 13, 16, 17, 32])
 def test_bit_packing(bits):
     ids = np.random.default_rng(bits).integers(0, 2**bits, 1001).astype("<u4")
@@ -436,6 +446,7 @@ def test_near_duplicates_match_brute_force(make_docs, seed):
 def test_large_group_in_cells(make_docs, monkeypatch):
     """Groups over many blocks: every cell of what the stars leave is compared."""
     monkeypatch.setattr(minhash, "BLOCK", 8)
+    monkeypatch.setattr(minhash, "SIGNED", 16)
     rows = list(enumerate(variants(5, 160)))
     assert near(make_docs(rows)) == plain_near(rows)
 
@@ -457,6 +468,47 @@ def test_pair_under_a_representative_alike_to_neither(spark):
     assert {frozenset(r) for r in links} == {frozenset((1, 2))}
 
 
+def family(seed, n, shared=60, own=30):
+    """Texts with a common passage and words of their own, alike but no duplicates; each tenth has a near copy."""
+    rng = random.Random(seed)
+    passage = [f"p{i}" for i in range(shared)]
+    for i in range(n):
+        text = [*passage, *(f"o{rng.randrange(10**6)}" for _ in range(own))]
+        yield " ".join(text)
+        if i % 10 == 0:
+            text[rng.randrange(shared + own)] = "changed"
+            yield " ".join(text)
+
+
+@pytest.mark.parametrize("shared", [40, 60, 70])
+def test_family_that_shares_a_passage(make_docs, shared):
+    rows = list(enumerate(family(3, 120, shared)))
+    assert near(make_docs(rows)) == plain_near(rows)
+
+
+def test_family_from_one_template(make_docs):
+    """Texts put together from a pool of sentences, every one of which many of them hold, with planted near copies."""
+    rng = random.Random(9)
+    pool = [" ".join(f"s{i}w{j}" for j in range(12)) for i in range(30)]
+    texts = [" ".join(rng.sample(pool, 12)) for _ in range(250)]
+    texts += [t.replace("w3 ", "w3x ", 1) for t in texts[::25]]
+    rows = list(enumerate(texts))
+    assert near(make_docs(rows)) == plain_near(rows)
+
+
+def test_rows_compared_grow_like_the_family(spark, monkeypatch):
+    """Members of a family meet by shingles of their own: twice the family gives no more than twice the rows."""
+    sketcher, entries = minhash.Sketcher(), []
+    for n in (100, 200):
+        texts = list(family(4, n))
+        sets = spark.createDataFrame([(i, sketcher.shingles(t).tobytes()) for i, t in enumerate(texts)], "node long, data binary")
+        nodes = spark.createDataFrame([(i, i) for i in range(len(texts))], "node long, label long")
+        found = minhash.prefixes(nodes, sets).groupBy("shingle").count().collect()
+        assert max(r["count"] for r in found) < 8  # no bucket holds the family
+        entries.append(sum(r["count"] for r in found))
+    assert 0 < entries[1] <= 2.2 * entries[0]
+
+
 def test_near_duplicates_on_documents(make_docs, small_docs, odd):
     rows = small_docs + [(1000 + i, t) for i, t in enumerate(odd)] + [(2000 + i, t) for i, t in enumerate(odd)]
     rows += [(None, small_docs[3][1]), (None, "all alone here"), (7, "other text"), (7, "A b C d e F"), (9000, "a B c d E f")]
