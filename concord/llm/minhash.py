@@ -12,9 +12,13 @@ band. At the threshold a pair shares none of the 40 bands with a chance of
 3. Pairs whose signatures are alike (up to 5 standard deviations below the
    threshold) are compared on their full sets, a representative's members cut
    into bounded cells.
-4. Members that their representative does not reach are compared with all
-   members of its buckets, in cells of two blocks: first by signature, then
-   those with a partner on full sets, and only while they are not connected.
+4. Where a representative's group still holds several components, its members
+   are sorted out by the rarest shingles of their sets (a prefix filter, exact
+   at the threshold): a passage that a family of texts shares is common, comes
+   last in the order and brings nobody in. Members left that share a rare
+   shingle with another component are compared with the group's others, in cells of
+   two blocks: first by signature, then those with a partner on full sets,
+   and only while they are not connected.
 5. Components of the links; copies get those of their class.
 
 Defined results: null or blank texts have an empty set and are linked with
@@ -30,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -44,7 +48,8 @@ PERMUTATIONS, ROWS = 80, 4
 BANDS = 2 * PERMUTATIONS // ROWS
 #: Equal signature bytes below which a pair is not compared: 0.75 less five deviations.
 LEAST_EQUAL = int(2 * PERMUTATIONS * (0.75 - 5 * (0.75 * 0.25 / (2 * PERMUTATIONS)) ** 0.5))
-BLOCK = 256
+#: Members compared with each other at once, on full sets and by signature.
+BLOCK, SIGNED = 256, 2048
 
 SKETCH = T.StructType(
     [
@@ -229,12 +234,42 @@ def star_links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return in_cells(members.unionByName(heads), work)
 
 
-def in_blocks(groups: DataFrame) -> DataFrame:
+def open_nodes(groups: DataFrame) -> DataFrame:
+    """node and label of the members of groups (a, b, label) that hold several components: links may be missing there."""
+    several = groups.groupBy("a").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
+    return groups.join(several.select("a"), "a", "left_semi").select(F.col("b").alias("node"), "label").distinct()
+
+
+def prefixes(nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """node, label and shingle: the shingles of a set of which a similar set must hold one.
+
+    Shingles are put in order from rare to common among ``nodes``. A set of n that
+    shares 75% with another has one of its first ``n - ceil(0.75 n) + 1`` among that
+    set's first ones. Shingles that no other node has come first and join nobody,
+    so only those that are left of the prefix after them are given.
+    """
+
+    @F.pandas_udf(T.ArrayType(T.LongType()))
+    def unpacked(data: pd.Series) -> pd.Series:
+        return pd.Series([np.frombuffer(d, np.int64) for d in data])
+
+    given = sets.join(nodes, "node").select("node", "label", (F.octet_length("data") / 8).cast("int").alias("n"), "data")
+    entries = written(given.select("node", "label", "n", F.explode(unpacked("data")).alias("shingle")))
+    common = entries.groupBy("shingle").agg(F.count("*").alias("times")).filter("times > 1")
+    shared = entries.join(common, "shingle")
+    held = shared.groupBy("node").agg(F.count("*").alias("shared"))
+    first = F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1
+    room = shared.join(held, "node").withColumn("room", first - (F.col("n") - F.col("shared"))).filter("room > 0")
+    place = F.row_number().over(Window.partitionBy("node").orderBy("times", "shingle"))
+    return room.withColumn("place", place).filter("place <= room").select("node", "label", "shingle")
+
+
+def in_blocks(groups: DataFrame, size: int) -> DataFrame:
     """Cells of two blocks of each group (a, b, label, left): members not reached by a, and all members."""
     others = F.count_if(F.col("a") != F.col("b")).alias("others")
     sizes = groups.groupBy("a").agg(F.count_if("left").alias("n_left"), F.count("*").alias("n_all"), others)
     sizes = sizes.filter("n_left > 0 and others > 1")  # a member and its representative are compared already
-    sizes = sizes.select("a", *[F.ceil(F.col(c) / BLOCK).cast("int").alias(c) for c in ("n_left", "n_all")])
+    sizes = sizes.select("a", *[F.ceil(F.col(c) / size).cast("int").alias(c) for c in ("n_left", "n_all")])
     groups = written(groups.join(sizes, "a"))
     block, other = F.pmod(F.xxhash64("b"), "n_left").cast("int"), F.pmod(F.xxhash64("b", F.lit(1)), "n_all").cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
@@ -246,7 +281,10 @@ def in_blocks(groups: DataFrame) -> DataFrame:
 
 
 def rest_links(pairs: DataFrame, heads: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFrame:
-    """Links that the stars have missed: in each representative's group, members of other components with all."""
+    """Links that the stars have missed: in each representative's group, members of other components with all.
+
+    Only members whose rare shingles occur in another component take part.
+    """
 
     def partners(rows) -> list[tuple[int, int]]:
         """Members that are alike in signature to one of another component."""
@@ -277,11 +315,15 @@ def rest_links(pairs: DataFrame, heads: DataFrame, sets: DataFrame, labels: Data
 
     groups = pairs.unionByName(pairs.select("a", F.col("a").alias("b")).distinct())
     groups = groups.join(labels, F.col("b") == F.col("node"), "left").select("a", "b", F.coalesce("label", "b").alias("label"))
+    entries = written(prefixes(open_nodes(groups), sets))
+    several = entries.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
+    able = written(entries.join(several, "shingle", "left_semi").select(F.col("node").alias("able")).distinct())
     own = groups.filter("a = b").select("a", F.col("label").alias("reached"))
     groups = groups.join(own, "a").withColumn("left", F.col("label") != F.col("reached")).drop("reached")
-    cells = in_blocks(groups).join(heads.select("node", F.col("signature").alias("data")), F.col("b") == F.col("node"))
+    groups = groups.join(able, F.col("b") == F.col("able"), "left_semi")
+    cells = in_blocks(groups, SIGNED).join(heads.select("node", F.col("signature").alias("data")), F.col("b") == F.col("node"))
     kept = in_cells(cells, partners).distinct()
-    cells = in_blocks(groups.join(written(kept), ["a", "b"], "left_semi")).join(sets, F.col("b") == F.col("node"))
+    cells = in_blocks(groups.join(written(kept), ["a", "b"], "left_semi"), BLOCK).join(sets, F.col("b") == F.col("node"))
     return in_cells(cells, work)
 
 
