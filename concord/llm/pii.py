@@ -6,14 +6,19 @@ loose forms of addresses and numbers are scored by gradient-boosted trees on
 their format and context, and those above a calibrated threshold are added
 where they overlap nothing stronger.
 
-The trees are trained here, on the candidates of at most ``MOST_DOCS``
-documents that have any digit, at sign or spelt-out one (those with the smallest hash of id
-and text), at most ``MOST_CANDIDATES`` of them: a candidate is labelled by the
+The trees are trained here, on candidates of a bounded sample: of the documents
+that have any digit, at sign or spelt-out one, and apart from them of those
+that have a form of an address or number that is personal data, each time
+the ``MOST_DOCS`` with the smallest hash of id and text over the whole corpus;
+of their candidates ``MOST_CANDIDATES`` of either label. A few fixed texts of
+made-up data (``PRIOR``) always belong to the sample, so that there is
+something to learn from in any corpus, however sparse. A candidate is labelled by the
 rules of its kind, base or loose, numbers that no pattern covers are negatives,
 and so is what fails its rules, unless it overlaps a positive. Half of
-the sample calibrates: a threshold is the lowest score from which on at least
-``PRECISION`` of that half are personal data. With fewer than ``LEAST`` of
-either label nothing is added.
+the sample calibrates each loose kind on its own candidates: its threshold is the
+lowest score from which on at least ``PRECISION`` of them are personal data (and
+half of the way down to the next), or, where no score reaches that, the score
+that the trees give to that probability.
 
 Scanning and scoring are column expressions in one pass without a shuffle;
 the trees become nested conditions. Patterns that scan runs of characters
@@ -28,7 +33,7 @@ each on its own; texts are scanned whole; an empty table gives no rows; a null
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from concord.llm.common import text_or_empty
@@ -60,10 +65,34 @@ OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 CONTEXT = 24
 HINTS = r"(?i)(?:phone|tel|call|fax|mobile|mail|contact|write|card|visa|account|ssn|social|address|\bip\b)"
 
-MOST_DOCS, MOST_CANDIDATES, LEAST = 2000, 6000, 30
-ROUNDS, RATE, BINS = 25, 0.3, 16
+MOST_DOCS, MOST_CANDIDATES = 2000, 3000
+ROUNDS, DEPTH, RATE, BINS = 40, 3, 0.3, 32
 PRECISION, FLOOR = 0.99, 0.9
 
+#: Texts with made-up candidates of each loose kind, as many personal as not.
+PRIOR = [
+    text.format(100 + i, 210 + 17 * i, 10 + i, 2000 + 37 * i, 101 + 14 * i)
+    for i in range(40)
+    for text in (
+        "please write to person{0} [at] place{2} [dot] org about it",
+        "mail first.last{2} (at) house{0}.example any day",
+        "and ann_{2}@x{0}(dot)net is hers",
+        "so b{0} [at] uni.edu it was",
+        "sold {0}x @ 3.{2} and more",
+        "won 2{2}@1.{2} there",
+        "her ssn {4}-{2}-{3} was on the form",
+        "then {4}-{2}-{3} it was",
+        "part 9{2}-{2}-{3} of the series",
+        "call ({1}) {1}-{3} tonight",
+        "tel {1}.{1}.{3} or come by",
+        "maybe {1}-{1}-{3} this time",
+        "between {2}-{2}-{0} and {2}/{2}/{2}",
+        "item {0}-{2}.{2} costs {2}.{2}",
+    )
+]
+#: Documents that hold one of these may hold personal data.
+LIKELY = r"[A-Za-z0-9]@[A-Za-z0-9]|[(\[]at[)\]]|\+[0-9]{2}|[0-9]{3}-[0-9]{2}-[0-9]{4}|[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}|[0-9]{4}[\x20-][0-9]{4}"
+
 #: Features of a candidate; ``t`` its text, ``before`` and ``after`` its context.
 FEATURES = {
     "digits": lambda c: F.length(F.regexp_replace(c["t"], "[^0-9]", "")),
@@ -74,6 +103,7 @@ FEATURES = {
     "hyphens": lambda c: F.length(F.regexp_replace(c["t"], r"[^-]", "")),
     "brackets": lambda c: F.length(F.regexp_replace(c["t"], r"[^()]", "")),
     "spaces": lambda c: F.length(F.regexp_replace(c["t"], r"[^\x20]", "")),
+    "first number": lambda c: F.coalesce(F.regexp_extract(c["t"], "[0-9]{1,4}", 0).try_cast("int"), F.lit(-1)),
     "joined before": lambda c: c["before"].rlike(r"[0-9A-Za-z_=\x22-]$").cast("int"),
     "joined after": lambda c: c["after"].rlike(r"^[0-9A-Za-z_\x22-]").cast("int"),
     "hint before": lambda c: c["before"].rlike(HINTS).cast("int"),
@@ -137,7 +167,7 @@ def passes(kind: str, t: Column) -> Column:
 
 
 def plausible(kind: str, t: Column) -> Column:
-    """Label of a loose candidate by rules that its format does not show; null where they cannot tell."""
+    """Label of a loose candidate by the rules of its kind; null where they cannot tell."""
     digits = F.regexp_replace(t, "[^0-9]", "")
     return {
         "email_like": t.rlike(r"[A-Za-z]{2}$"),
@@ -184,19 +214,26 @@ def features_of(c: Column) -> list[Column]:
 # --- training, on a bounded sample ---
 
 
-def sample(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Features and labels of candidates of all patterns, and of numbers that none of them covers, in the sample."""
+def sample(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features, labels and kinds (by place in ``KINDS``, or its length) of candidates in the sample."""
     text = F.col("text")
     hashed = docs.select("text", F.xxhash64("doc_id", "text").alias("at"))
-    chosen = hashed.filter(text.rlike(r"[0-9@]|[(\[]at[)\]]")).select("at").distinct().orderBy("at").limit(MOST_DOCS)
-    some = hashed.join(F.broadcast(chosen), "at").dropDuplicates(["at"])  # MOST_DOCS hashes at most; texts do not move
+
+    def smallest(pattern: str) -> DataFrame:
+        return hashed.filter(text.rlike(pattern)).select("at").distinct().orderBy("at").limit(MOST_DOCS)
+
+    # 2 * MOST_DOCS hashes at most; texts do not move
+    chosen = smallest(r"[0-9@]|[(\[]at[)\]]").union(smallest(LIKELY)).distinct()
+    some = hashed.join(F.broadcast(chosen), "at").dropDuplicates(["at"])
+    prior = docs.sparkSession.createDataFrame([(t,) for t in PRIOR], "text string")
+    some = some.select("text", "at").unionByName(prior.withColumn("at", F.xxhash64("text")))
 
     def labelled(kind: str, pattern: str) -> Column:
         def row(c: Column) -> Column:
             label = passes(kind, c["t"]) if kind in BASE else plausible(kind, c["t"]) if kind in LOOSE else F.lit(False)
-            return F.struct(
-                F.array(*features_of(c)).alias("x"), label.alias("y"), c["start"].alias("start"), c["end"].alias("end")
-            )
+            place = F.lit(KINDS.index(kind) if kind in KINDS else len(KINDS))
+            at = (place.alias("kind"), c["start"].alias("start"), c["end"].alias("end"))
+            return F.struct(F.array(*features_of(c)).alias("x"), label.alias("y"), *at)
 
         return F.transform(with_context(text, guarded(text, kind, located(text, pattern))), row)
 
@@ -210,9 +247,11 @@ def sample(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     some = some.withColumn("known", known).withColumn("true", F.filter("known", lambda c: c["y"]))
     false = apart(F.filter("known", lambda c: ~c["y"]), F.col("true"))  # a part of personal data, or more, is no example
     some = some.select("at", F.explode(F.concat("true", false)).alias("c"))
-    rows = some.select("c.x", "c.y", F.xxhash64("at", "c.start", "c.x").alias("at"))
-    rows = rows.orderBy("at").limit(MOST_CANDIDATES).collect()
-    return np.array([r.x for r in rows]).reshape(len(rows), len(FEATURES)), np.array([r.y for r in rows], dtype=float)
+    rows = some.select("c.x", "c.y", "c.kind", F.xxhash64("at", "c.start", "c.x").alias("at"))
+    place = F.row_number().over(Window.partitionBy("y").orderBy("at"))
+    rows = rows.withColumn("place", place).filter(F.col("place") <= MOST_CANDIDATES).orderBy("at").collect()
+    x = np.array([r.x for r in rows]).reshape(len(rows), len(FEATURES))
+    return x, np.array([r.y for r in rows], dtype=float), np.array([r.kind for r in rows])
 
 
 def best_split(x: np.ndarray, g: np.ndarray, h: np.ndarray, cuts: list[np.ndarray]):
@@ -247,26 +286,30 @@ def value(tree, x: np.ndarray) -> np.ndarray:
     return np.where(x[:, f] <= cut, value(low, x), value(high, x))
 
 
-def train(x: np.ndarray, y: np.ndarray):
-    """Trees and the threshold of their summed score; (none, None) if there is too little to learn from."""
-    if min(y.sum(), len(y) - y.sum()) < LEAST:
-        return [], None
+def train(x: np.ndarray, y: np.ndarray, kind: np.ndarray) -> tuple[list, dict[str, float]]:
+    """Trees, and for each loose kind the threshold of their summed score."""
     fit = np.arange(len(y)) % 2 == 0
     cuts = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, BINS + 1)[:-1])) for f in range(x.shape[1])]
     trees, score = [], np.zeros(len(y))
     for _ in range(ROUNDS):
         p = 1 / (1 + np.exp(-score))
-        tree = grow(x[fit], (y - p)[fit], (p * (1 - p))[fit], cuts, 2)
+        tree = grow(x[fit], (y - p)[fit], (p * (1 - p))[fit], cuts, DEPTH)
         trees.append(tree)
         score += value(tree, x)
-    held, truth = score[~fit], y[~fit]
+    return trees, {k: threshold(score[~fit & (kind == KINDS.index(k))], y[~fit & (kind == KINDS.index(k))]) for k in ADDED}
+
+
+def threshold(held: np.ndarray, truth: np.ndarray) -> float:
+    """The lowest score from which on ``PRECISION`` of the held-out candidates of a kind are true."""
     order = np.argsort(-held, kind="stable")
     precise = np.cumsum(truth[order]) / np.arange(1, len(order) + 1) >= PRECISION
-    last = np.r_[np.diff(held[order]) != 0, True]  # equal scores stay together
+    last = np.r_[np.diff(held[order]) != 0, True][: len(order)]  # equal scores stay together
     good = np.flatnonzero(precise & last)
     if not len(good):
-        return [], None
-    return trees, max(float(held[order][good[-1]]), float(np.log(FLOOR / (1 - FLOOR))))
+        return float(np.log(PRECISION / (1 - PRECISION)))
+    lowest = float(held[order][good[-1]])
+    below = float(held[order][good[-1] + 1]) if good[-1] + 1 < len(order) else -np.inf
+    return max((lowest + below) / 2, float(np.log(FLOOR / (1 - FLOOR))))
 
 
 # --- scoring ---
@@ -280,16 +323,14 @@ def condition(tree, x: list[Column]) -> Column:
 
 
 def scored(text: Column, kind: str, model) -> Column:
-    """Loose candidates of a kind that score above the threshold."""
-    trees, threshold = model
-    if threshold is None:
+    """Loose candidates of a kind that score above its threshold; none of a kind without one."""
+    trees, thresholds = model
+    if kind not in thresholds:
         return F.array().cast(SPAN)
-    names = list(FEATURES)
 
     def kept(c: Column) -> Column:
-        x = [c["x"][i] for i in range(len(names))]
-        score = sum((condition(t, x) for t in trees), F.lit(0.0))
-        return (score >= threshold) & ~(x[names.index("joined before")] > 0)
+        x = [c["x"][i] for i in range(len(FEATURES))]
+        return sum((condition(t, x) for t in trees), F.lit(0.0)) >= thresholds[kind]
 
     found = F.transform(
         with_context(text, located(text, LOOSE[kind])),
