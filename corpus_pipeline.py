@@ -19,9 +19,18 @@ from pyspark.sql import functions as F
 from concord.llm import line_crf, minhash, mixing, packing, secrets
 from concord.llm.common import WORD, table, text_or_empty, written
 
+#: Documents of an Arrow batch, for all stages from the first on.
+ROWS = 1000
+
+
+def bounded(spark: SparkSession) -> None:
+    """Texts go to Python in batches of at most ``ROWS`` documents: they may be long, and workers keep what they once took."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS))
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and whose lines are mostly content."""
+    bounded(spark)
     model = line_crf.fit(docs, table(spark, sf_dir, "labels"))
     judged = docs.select(F.struct("*").alias("d"), line_crf.verdict(F.col("text"), model).alias("v"))
     return judged.filter("v.kept").select("d.*")
@@ -29,6 +38,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near-duplicates."""
+    bounded(spark)
     numbered = written(docs.select(F.struct("*").alias("d"), F.monotonically_increasing_id().alias("row")))
     stays = minhash.link_documents(numbered.select("d.doc_id", "d.text", "row"), F.col("row")).filter("stays").select("row")
     return numbered.join(stays, "row", "left_semi").select("d.*")
@@ -45,6 +55,7 @@ def with_text(docs: DataFrame, text: Column) -> DataFrame:
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with each secret in their texts replaced by a mark."""
+    bounded(spark)
     return with_text(docs, secrets.redact("text"))
 
 
@@ -73,6 +84,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in token windows."""
+    bounded(spark)
     return packing.pack(docs)
 
 
