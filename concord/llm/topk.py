@@ -178,8 +178,10 @@ def search(vectors: DataFrame, k: int = 5, every: int = EVERY) -> DataFrame:
     spark = vectors.sparkSession
     vectors = written(quantised(vectors))
     queries = blocks(vectors.filter(F.col("vec_id") % every == 0).coalesce(n_tasks(spark)), QUERY_BLOCK)
-    queries = written(queries.withColumn("q", F.row_number().over(Window.orderBy("block")) - 1))
-    n = queries.count()  # a row per block of queries
+    queries = written(queries)
+    numbers = queries.select("block").withColumn("q", F.row_number().over(Window.orderBy("block")) - 1)
+    queries = queries.join(numbers, "block")  # a number per block is all that meets in one task
+    n = numbers.count()
     lanes = -(-2 * n_tasks(spark) // max(n, 1))
     candidates = blocks(vectors, CANDIDATE_BLOCK).withColumn("lane", F.pmod(F.xxhash64("block"), F.lit(lanes)))
     parts = BLOCKS.names[1:]
