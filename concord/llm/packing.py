@@ -26,12 +26,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from concord.llm.common import ids_of, keyed, schema
+from concord.llm.common import keyed, schema
 from concord.llm.tokens import Encoder
 
 WINDOW = 2048
 #: Open windows a task holds at most: 32 MB of ids.
 MAX_OPEN = 4096
+#: Rows a task gives away at once.
+MOST_ROWS = 4096
 
 RESULT = schema(
     doc_id="long",
@@ -160,10 +162,10 @@ def pack(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", with_ids: bool
 
     def tasks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode, packer = Encoder(vocabulary), Packer(TaskContext.get().partitionId() << 40)
-        for batch in batches:
-            for doc_id, ids in zip(ids_of(batch), encode.many(batch.text), strict=True):
-                packer.add(doc_id, ids)
-            yield packer.rows(with_ids)
+        for doc_id, ids in encode.batches(batches):
+            packer.add(doc_id, ids)
+            if len(packer.done) >= MOST_ROWS:
+                yield packer.rows(with_ids)
         packer.finish()
         yield packer.rows(with_ids)
 

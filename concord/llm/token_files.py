@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from concord.llm.common import ids_of, keyed, n_tasks, open_store, schema, shared_folder, written
+from concord.llm.common import keyed, n_tasks, open_store, schema, shared_folder, written
 from concord.llm.tokens import Encoder
 
 MAGIC = b"TKF1"
@@ -164,10 +164,9 @@ def write(docs: DataFrame, folder: str, vocabulary: str = "word_bpe_49k.json") -
     def files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode, part, out = Encoder(vocabulary), TaskContext.get().partitionId(), None
         path = f"{folder}/part-{part:06d}-{uuid.uuid4().hex}.tkf"
-        for batch in batches:
-            for doc_id, ids in zip(ids_of(batch), encode.many(batch.text), strict=True):
-                out = out or Writer(path, encode.vocabulary())
-                out.add(doc_id, ids)
+        for doc_id, ids in encode.batches(batches):
+            out = out or Writer(path, encode.vocabulary())
+            out.add(doc_id, ids)
         if out:
             out.close()
             yield pd.DataFrame([(part, path, len(out.docs), out.n_ids)], columns=MANIFEST.names)

@@ -7,7 +7,7 @@ library; ids of all texts are then gathered with numpy. What is not a plain word
 is cut further by pattern. Pieces stay known from group to group in a bounded
 cache: when its young half is full, that becomes the old half, and what is
 still used moves back. An entry takes about 230 bytes, so ``CACHED`` bounds
-a process to some 64 MB. Long pieces are not kept. A test compares with encoding
+a task to some 64 MB, which it gives back when it ends. Long pieces are not kept. A test compares with encoding
 whole texts.
 """
 
@@ -17,13 +17,14 @@ import re
 import sys
 import types
 from array import array
-from collections import defaultdict
+from collections import defaultdict, deque
 from collections.abc import Iterable, Iterator
 from itertools import count
 
 import numpy as np
+import pandas as pd
 
-from concord.llm.common import tokenizer_path
+from concord.llm.common import ids_of, tokenizer_path
 
 #: White space as the library's patterns have it (Python's own class also holds four control characters).
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -65,8 +66,8 @@ SPELLING = spelling()
 CACHED, LONGEST, GROUP_PIECES = 280_000, 40, 250_000
 
 
-def caches() -> dict[str, tuple]:
-    """Tokenizers and what they have encoded, by vocabulary, kept by the process for the tasks it runs one after another.
+def caches() -> dict[str, object]:
+    """Tokenizers by vocabulary file, kept by the process for the tasks it runs one after another.
 
     Functions travel to executors by value, so a global of this module would start empty in each task.
     """
@@ -112,8 +113,8 @@ class Encoder:
 
         path = tokenizer_path(name)
         if path not in caches():
-            caches()[path] = (Tokenizer.from_file(path), Cache(CACHED))
-        self.library, self.known = caches()[path]
+            caches()[path] = Tokenizer.from_file(path)
+        self.library, self.known = caches()[path], Cache(CACHED)
         self.pieces, self.spelt, self.spaced = PIECES[name], SPELT[name], SPACED[name]
         self.model = self.library.model
         self.end = np.array([end_id], dtype="<u4").tobytes()
@@ -136,6 +137,18 @@ class Encoder:
                 group = Group()
         yield from self.encode_group(group)
 
+    def batches(self, batches: Iterable[pd.DataFrame]) -> Iterator[tuple[int | None, np.ndarray]]:
+        """Id and token ids of each document; groups go on from batch to batch."""
+        waiting = deque()
+
+        def texts() -> Iterator[str | None]:
+            for batch in batches:
+                waiting.extend(ids_of(batch))
+                yield from batch.text
+
+        for ids in self.many(texts()):
+            yield waiting.popleft(), ids
+
     def encode_group(self, group: Group) -> Iterator[np.ndarray]:
         values = list(map(self.known.young.get, group.names))
         values = [self.chunk(k) if v is None else v for k, v in zip(group.names, values, strict=True)]
