@@ -4,7 +4,8 @@ Three frames build on each other: ``votes`` (long or wide), the *consensus*
 (one row per item: ``majority, top_votes, n_votes, n_labels``) and the *judged*
 votes (one row per vote: its item's consensus and ``n_label``, the voters that
 gave the same label). Rates over *all* records take their denominator from the
-record listing, one row per record, and count votes of listed records alone.
+record listing, one row per record, and count votes of listed records alone;
+``restricted`` says that all rows given are of such records already.
 """
 
 from __future__ import annotations
@@ -174,10 +175,10 @@ def diversity(votes: DataFrame, approx: bool = False) -> DataFrame:
     return votes.groupBy(MODEL).agg(distinct.alias("n_labels"))
 
 
-def top_class_share(votes: DataFrame, listing: DataFrame) -> DataFrame:
+def top_class_share(votes: DataFrame, listing: DataFrame, restricted: bool = False) -> DataFrame:
     """Most frequent label per voter and its share of all records."""
     return (
-        label_frequency(aligned(votes, listing))
+        label_frequency(aligned(votes, listing, restricted))
         .groupBy(MODEL)
         .agg(F.min(F.struct(-F.col("n"), F.col(LABEL))).alias("best"), F.count(F.lit(1)).alias("n_labels"))
         .select(
@@ -293,19 +294,19 @@ def unanimity(cons: DataFrame) -> DataFrame:
     return counts.unionByName(zero).groupBy("level").agg(F.sum("n").alias("n"))
 
 
-def _share_of_records(judged: DataFrame, hit: Column, listing: DataFrame, name: str) -> DataFrame:
-    counts = aligned(judged, listing).groupBy(MODEL).agg(F.count_if(hit).alias("n"))
+def _share_of_records(judged: DataFrame, hit: Column, listing: DataFrame, name: str, restricted: bool) -> DataFrame:
+    counts = aligned(judged, listing, restricted).groupBy(MODEL).agg(F.count_if(hit).alias("n"))
     return counts.select(MODEL, (F.lit(100.0) * F.col("n") / record_count(listing)).alias(name))
 
 
-def unique_vote(judged: DataFrame, listing: DataFrame) -> DataFrame:
+def unique_vote(judged: DataFrame, listing: DataFrame, restricted: bool = False) -> DataFrame:
     """Percent of all records where a voter alone gave its label."""
-    return _share_of_records(judged, F.col("n_label") == 1, listing, "unique_pct")
+    return _share_of_records(judged, F.col("n_label") == 1, listing, "unique_pct", restricted)
 
 
-def alignment(judged: DataFrame, listing: DataFrame) -> DataFrame:
+def alignment(judged: DataFrame, listing: DataFrame, restricted: bool = False) -> DataFrame:
     """Percent of all records where a voter gave the majority label."""
-    return _share_of_records(judged, F.col(LABEL) == F.col("majority"), listing, "alignment_pct")
+    return _share_of_records(judged, F.col(LABEL) == F.col("majority"), listing, "alignment_pct", restricted)
 
 
 def divergence(judged: DataFrame, min_votes: int = 3) -> DataFrame:
@@ -339,16 +340,17 @@ def family_means(rates: DataFrame, value: str, family: Column, families: Sequenc
 
 
 def family_alignment(
-    judged: DataFrame, listing: DataFrame, family_of: Mapping[str, str], families: Sequence[str]
+    judged: DataFrame, listing: DataFrame, family_of: Mapping[str, str], families: Sequence[str], restricted: bool = False
 ) -> DataFrame:
     """Mean alignment of the voters of each family."""
-    return family_means(alignment(judged, listing), "alignment_pct", lookup(F.col(MODEL), family_of), families)
+    rates = alignment(judged, listing, restricted)
+    return family_means(rates, "alignment_pct", lookup(F.col(MODEL), family_of), families)
 
 
-def error_rates(votes: DataFrame, listing: DataFrame) -> DataFrame:
+def error_rates(votes: DataFrame, listing: DataFrame, restricted: bool = False) -> DataFrame:
     """Valid and failed records per voter; an absent or null vote is a failure."""
     return (
-        aligned(votes, listing)
+        aligned(votes, listing, restricted)
         .groupBy(MODEL)
         .agg(F.count(LABEL).alias("n_valid"))
         .withColumn("total", record_count(listing))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from concord.operators.votes import ITEM, LABEL, MODEL
+from concord.operators.votes import ITEM, LABEL, MODEL, aligned
 
 
 def merge_onto(listing: DataFrame, results: DataFrame, on: str | list[str] = ITEM) -> DataFrame:
@@ -43,14 +43,17 @@ def task_grid(datasets: DataFrame, models: Sequence[str], available: DataFrame,
     return present.select(key, F.explode(F.array(*[F.lit(m) for m in models])).alias(MODEL))
 
 
-def upsert_model(existing: DataFrame, new: DataFrame, model: str, listing: DataFrame) -> DataFrame:
+def upsert_model(
+    existing: DataFrame, new: DataFrame, model: str, listing: DataFrame, restricted: bool = False
+) -> DataFrame:
     """The long table with one model's rows replaced, for the records now listed.
 
     No new rows at all still replace the old ones; rows without a model stay.
+    Of ``restricted`` tables both hold rows of listed records alone already.
     """
     kept = existing.filter(~F.col(MODEL).eqNullSafe(model))
     fresh = new.withColumn(MODEL, F.lit(model))
-    return kept.unionByName(fresh, allowMissingColumns=True).join(listing, ITEM, "left_semi")
+    return aligned(kept.unionByName(fresh, allowMissingColumns=True), listing, restricted)
 
 
 def union_rows(first: DataFrame, *more: DataFrame) -> DataFrame:

@@ -26,8 +26,14 @@ def only_listed(rows: DataFrame, column: str, listed: Sequence[object]) -> DataF
     return rows.filter(f"case when {key} in ({names}) then true else {unknown} end")
 
 
-def aligned(votes: DataFrame, listing: DataFrame) -> DataFrame:
-    """Votes, consensus or wide rows of listed records; both sides are, or get, partitioned by item."""
+def aligned(votes: DataFrame, listing: DataFrame, restricted: bool = False) -> DataFrame:
+    """Votes, consensus or wide rows of listed records; both sides are, or get, partitioned by item.
+
+    ``restricted`` rows are of listed records alone already. Long rows are sorted for
+    the join, several an item, so align the wide table before it is made long.
+    """
+    if restricted:
+        return votes
     return votes.join(listing.select(ITEM), ITEM, "left_semi")
 
 

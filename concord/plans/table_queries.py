@@ -57,9 +57,10 @@ def task_grid(spark, sf):
        WHERE item_id IN (SELECT o_orderkey FROM orders)""",
 )
 def upsert_model(spark, sf):
-    stored = views.raw_votes(spark, sf).select("item_id", "model", F.col("raw_prediction").alias("prediction"))
+    raw = views.raw_votes(spark, sf, listed=True)
+    stored = raw.select("item_id", "model", F.col("raw_prediction").alias("prediction"))
     fresh = stored.filter("model = 'm3'").select("item_id", F.lower("prediction").alias("prediction"))
-    return joins.upsert_model(stored, fresh, "m3", views.listing(spark, sf))
+    return joins.upsert_model(stored, fresh, "m3", views.listing(spark, sf), restricted=True)
 
 
 _UPSERTED = """SELECT item_id, model, prediction FROM clean WHERE model <> 'm3'

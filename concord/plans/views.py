@@ -31,12 +31,23 @@ FAMILIES = ["CNNs", "Transformers", "Vision-Language", "Hybrid"]
 WATTS = {"m1": 45.0, "m2": 18.0, "m3": 42.0, "m4": 50.0, "m5": 44.0, "m6": 12.0}
 
 
+#: Most bytes that a task over votes reads from files or, compressed, from a shuffle.
+FILE_BYTES, SHUFFLE_BYTES = 16 << 20, 8 << 20
+
+
+def bounded(spark: SparkSession) -> None:
+    """Tasks over votes take a fixed share of the input: they sort what they read, in some 25 times the compressed bytes."""
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(FILE_BYTES))
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", str(SHUFFLE_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def votes_wide(spark: SparkSession, sf_dir: str, latency: bool = False) -> DataFrame:
     """One row per order with ``m1..m7``, raw predictions, and maybe ``m1_time..m7_time``."""
+    bounded(spark)
     rows = table(spark, sf_dir, "lineitem")
     failed = (F.col("l_returnflag") == "R") & (F.col("l_linestatus") == "O") & (F.col("l_quantity") < 10)
     whole = F.concat("l_returnflag", "l_linestatus")
@@ -45,18 +56,23 @@ def votes_wide(spark: SparkSession, sf_dir: str, latency: bool = False) -> DataF
     return votes.collapse(rows, F.col("l_orderkey"), F.col("l_linenumber"), VOTERS, measures)
 
 
-def clean_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return votes.clean(votes_wide(spark, sf_dir), MODELS)
+def clean_wide(spark: SparkSession, sf_dir: str, listed: bool = False) -> DataFrame:
+    return votes.clean(_restricted(spark, sf_dir, votes_wide(spark, sf_dir), listed), MODELS)
+
+
+def _restricted(spark: SparkSession, sf_dir: str, wide: DataFrame, listed: bool) -> DataFrame:
+    """With ``listed``, listed records alone: a row an item meets the listing, sorted as it is, and not one a vote."""
+    return votes.aligned(wide, listing(spark, sf_dir)) if listed else wide
 
 
-def raw_votes(spark: SparkSession, sf_dir: str, latency: bool = False) -> DataFrame:
-    """``item_id, model, raw_prediction``, maybe ``latency_s``, partitioned by item."""
+def raw_votes(spark: SparkSession, sf_dir: str, latency: bool = False, listed: bool = False) -> DataFrame:
+    """``item_id, model, raw_prediction``, maybe ``latency_s``, partitioned by item; maybe of listed records alone."""
     values = {"raw_prediction": "", "latency_s": "_time"} if latency else {"raw_prediction": ""}
-    return votes.lengthen(votes_wide(spark, sf_dir, latency), MODELS, values)
+    return votes.lengthen(_restricted(spark, sf_dir, votes_wide(spark, sf_dir, latency), listed), MODELS, values)
 
 
-def clean_votes(spark: SparkSession, sf_dir: str, latency: bool = False) -> DataFrame:
-    raw = raw_votes(spark, sf_dir, latency)
+def clean_votes(spark: SparkSession, sf_dir: str, latency: bool = False, listed: bool = False) -> DataFrame:
+    raw = raw_votes(spark, sf_dir, latency, listed)
     return raw.withColumn("prediction", cleaning.null_errors(F.col("raw_prediction")))
 
 

@@ -19,8 +19,8 @@ def _consensus(spark, sf):
     return consensus.with_consensus(views.clean_wide(spark, sf), MODELS)
 
 
-def _judged(spark, sf):
-    return consensus.judge_wide(views.clean_wide(spark, sf), MODELS)
+def _judged(spark, sf, listed=False):
+    return consensus.judge_wide(views.clean_wide(spark, sf, listed), MODELS)
 
 
 @query(
@@ -142,7 +142,8 @@ def diversity(spark, sf):
        WHERE rn = 1""",
 )
 def top_class_share(spark, sf):
-    return _rounded(consensus.top_class_share(views.clean_votes(spark, sf), views.listing(spark, sf)), "top_share")
+    rows, records = views.clean_votes(spark, sf, listed=True), views.listing(spark, sf)
+    return _rounded(consensus.top_class_share(rows, records, restricted=True), "top_share")
 
 
 @query("majority_vote", "SELECT item_id, majority, top_votes, n_votes, n_labels FROM cons")
@@ -223,7 +224,8 @@ def unanimity(spark, sf):
        LEFT JOIN label_n l ON c.item_id = l.item_id AND c.prediction = l.prediction GROUP BY c.model""",
 )
 def unique_vote(spark, sf):
-    return _rounded(consensus.unique_vote(_judged(spark, sf), views.listing(spark, sf)), "unique_pct")
+    rows, records = _judged(spark, sf, listed=True), views.listing(spark, sf)
+    return _rounded(consensus.unique_vote(rows, records, restricted=True), "unique_pct")
 
 
 @query(
@@ -245,7 +247,8 @@ _ALIGNMENT = """SELECT c.model, 100e0 * count(CASE WHEN c.prediction = s.majorit
 
 @query("alignment", f"SELECT model, round(a, 6) AS alignment_pct FROM ({_ALIGNMENT})")
 def alignment(spark, sf):
-    return _rounded(consensus.alignment(_judged(spark, sf), views.listing(spark, sf)), "alignment_pct")
+    rows, records = _judged(spark, sf, listed=True), views.listing(spark, sf)
+    return _rounded(consensus.alignment(rows, records, restricted=True), "alignment_pct")
 
 
 _FAMILY_LIST = "(VALUES " + ", ".join(f"('{f}')" for f in FAMILIES) + ") AS l(family)"
@@ -257,8 +260,8 @@ _FAMILY_LIST = "(VALUES " + ", ".join(f"('{f}')" for f in FAMILIES) + ") AS l(fa
         LEFT JOIN family f ON l.family = f.family LEFT JOIN ({_ALIGNMENT}) x ON f.model = x.model GROUP BY l.family""",
 )
 def family_alignment(spark, sf):
-    rows, records = _judged(spark, sf), views.listing(spark, sf)
-    return _rounded(consensus.family_alignment(rows, records, FAMILY_OF, FAMILIES), "alignment_pct")
+    rows, records = _judged(spark, sf, listed=True), views.listing(spark, sf)
+    return _rounded(consensus.family_alignment(rows, records, FAMILY_OF, FAMILIES, restricted=True), "alignment_pct")
 
 
 @query(
@@ -282,7 +285,7 @@ def intra_family(spark, sf):
        FROM listed CROSS JOIN total GROUP BY model, n_records""",
 )
 def error_rate(spark, sf):
-    rates = consensus.error_rates(views.clean_votes(spark, sf), views.listing(spark, sf))
+    rates = consensus.error_rates(views.clean_votes(spark, sf, listed=True), views.listing(spark, sf), restricted=True)
     return _rounded(rates, "error_pct").select("model", "error_pct")
 
 
@@ -292,7 +295,7 @@ def error_rate(spark, sf):
        FROM listed CROSS JOIN total GROUP BY model, n_records""",
 )
 def valid_error(spark, sf):
-    rates = consensus.error_rates(views.clean_votes(spark, sf), views.listing(spark, sf))
+    rates = consensus.error_rates(views.clean_votes(spark, sf, listed=True), views.listing(spark, sf), restricted=True)
     return rates.select("model", "n_valid", "n_error")
 
 

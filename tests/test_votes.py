@@ -259,6 +259,41 @@ def test_one_shuffle_for_consensus(spark):
         assert plan.count("Exchange") == 1, plan
 
 
+def test_votes_meet_the_listing_before_they_are_made_long(spark):
+    """A row an item is joined, in the order it has already: no sort of a row a vote."""
+    from concord.plans.all_queries import QUERIES
+    from conftest import SMALL
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for name in ("alignment", "family_alignment", "unique_vote", "upsert_model", "top_class_share", "error_rate", "valid_error"):
+            plan = QUERIES[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+            above = plan[: plan.index("Generate explode")]
+            assert "Sort [item_id" not in above, (name, above)
+            assert "LeftSemi" in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_vote_tasks_take_a_fixed_share(spark):
+    """What a task over votes reads, and so sorts, does not grow with the tables."""
+    from concord.plans.all_queries import QUERIES
+    from conftest import SMALL
+
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    before = {name: spark.conf.get(name) for name in names}
+    try:
+        for query in ("majority_vote", "pivot_votes", "alignment", "upsert_model"):
+            for name in names:
+                spark.conf.set(name, "128MB")
+            QUERIES[query](spark, SMALL)
+            assert [int(spark.conf.get(name)) for name in names] == [16 << 20, 8 << 20], query
+    finally:
+        for name in names:
+            spark.conf.set(name, before[name])
+
+
 def test_upsert_and_reindex(spark, long):
     fresh = votes_of(spark, {1: {"p": "z"}, 99: {"p": "z"}}).drop("model")
     merged = joins.upsert_model(long, fresh, "p", records_of(spark, [1, 2]))
