@@ -36,6 +36,8 @@ SCALE = 256
 EVERY = 50
 QUERY_BLOCK, CANDIDATE_BLOCK = 256, 1024
 RESOLUTIONS = (1, 4, 16)
+#: One in so many pairs left is reason to multiply whole blocks instead of picked rows.
+DENSE = 64
 SLACK = 1e-9
 MOST, LEAST = 2**63 - 1, -(2**63)
 
@@ -102,6 +104,15 @@ def statistics(data: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray]
     return mean * np.sqrt(lengths), np.sqrt(square)
 
 
+def described(data: np.ndarray) -> list[np.ndarray]:
+    """Means and deviations side by side for each resolution, coarsest first.
+
+    Their squares add up to the vector's own, so the bound ``(|q|^2 + |x|^2 - d^2) / 2``
+    of two vectors, ``d`` the distance of their statistics, is the product of these rows.
+    """
+    return [np.hstack(statistics(data, segments)) for segments in RESOLUTIONS]
+
+
 def exact(q: np.ndarray, x: np.ndarray, small: bool) -> np.ndarray:
     """Inner products of row pairs, in integers."""
     if small:
@@ -118,16 +129,17 @@ class Best:
         self.queries, self.k = queries, k
         self.found = [[] for _ in range(n)]  # (-score, no id, id, row)
         self.least = np.full(n, -np.inf)
+        self.described: dict[int, list[np.ndarray]] = {}
 
-    def take(self, at: np.ndarray, x: Block, columns: np.ndarray, scores: np.ndarray) -> None:
+    def take(self, at: np.ndarray, x: Block, columns: np.ndarray, scores: np.ndarray, plain: bool) -> None:
         order = np.lexsort((x.rows[columns], x.ids[columns], x.no_ids[columns], -scores.astype(float), at))
         at, columns, scores = at[order], columns[order], scores[order]
-        starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]]) if len(at) else []
-        for low, high in zip(starts, [*starts[1:], len(at)], strict=True):
+        starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]][: len(at)])
+        for low, high in zip(starts, np.r_[starts[1:], len(at)][: len(starts)], strict=True):
             found = self.found[i := int(at[low])]
-            # scores close to each other may tie as doubles: cut by the integer of the k-th
+            # large scores close to each other may tie as doubles: cut by the integer of the k-th
             cut = min(high, low + self.k)
-            while cut < high and float(scores[cut]) == float(scores[cut - 1]):
+            while not plain and cut < high and float(scores[cut]) == float(scores[cut - 1]):
                 cut += 1
             for c, s in zip(columns[low:cut].tolist(), scores[low:cut].tolist(), strict=True):
                 found.append((-s, int(x.no_ids[c]), int(x.ids[c]), int(x.rows[c])))
@@ -136,41 +148,44 @@ class Best:
             if len(found) == self.k:
                 self.least[i] = -found[-1][0]
 
+    def levels(self, size: int) -> list[np.ndarray]:
+        """The queries' statistics, coarsest first, kept for the next block of the same size."""
+        if size not in self.described:
+            self.described = {size: described(self.queries.widened(size))}
+        return self.described[size]
+
     def search(self, x: Block) -> None:
         size = max(self.queries.data.shape[1], x.data.shape[1])
         q, v = self.queries.widened(size), x.widened(size)
-        small = self.queries.most * x.most * max(size, 1) < 2**62
+        largest = self.queries.most * x.most * max(size, 1)
+        small, plain = largest < 2**62, largest < 2**53
         norms = (q.astype(float) ** 2).sum(1), (v.astype(float) ** 2).sum(1)
         slack = SLACK * (norms[0].max(initial=0) + norms[1].max(initial=0)) + 0.5
         other = self.queries.rows[:, None] != x.rows[None, :]
-
-        def bound(level: tuple, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-            (qm, qd), (xm, xd) = level
-            far = ((qm[i] - xm[j]) ** 2).sum(1) + ((qd[i] - xd[j]) ** 2).sum(1)
-            return (norms[0][i] + norms[1][j] - far) / 2
-
-        levels = [(statistics(q, s), statistics(v, s)) for s in RESOLUTIONS]
-        (qm, qd), (xm, xd) = levels[-1]
-        near = np.where(other, qm @ xm.T + qd @ xd.T, -np.inf)
+        levels = list(zip(self.levels(size), described(v), strict=True))
+        finest = levels[-1][0] @ levels[-1][1].T
+        near = np.where(other, finest, -np.inf)
         first = np.argpartition(-near, min(self.k, near.shape[1] - 1), axis=1)[:, : self.k]
         i, j = np.repeat(np.arange(len(q)), first.shape[1]), first.ravel()
         i, j = i[keep := other[i, j]], j[keep]
         seeds = exact(q[i], v[j], small)
         least = self.least.copy()
-        for a in range(len(q)):  # k exact scores of this block are a threshold for the rest of it
-            own = np.sort(seeds[i == a])
-            if len(own) == self.k:
-                least[a] = max(least[a], own[0])
-        i, j = np.nonzero(other)
-        for level in levels:
-            keep = np.concatenate(
-                [bound(level, i[a : a + 65536], j[a : a + 65536]) for a in range(0, len(i), 65536)] or [np.zeros(0)]
-            )
-            keep = keep + slack >= least[i]
-            i, j = i[keep], j[keep]
-        for a in range(0, len(i), 65536):
-            part = slice(a, a + 65536)
-            self.take(i[part], x, j[part], exact(q[i[part]], v[j[part]], small))
+        full = np.bincount(i, minlength=len(q)) == self.k
+        lowest = np.full(len(q), np.inf)
+        np.minimum.at(lowest, i, seeds.astype(float))
+        least[full] = np.maximum(least, lowest)[full]  # k exact scores of this block are a threshold for the rest of it
+        alive = other
+        for qs, xs in levels[:-1]:
+            alive &= qs @ xs.T + slack >= least[:, None]
+        alive &= finest + slack >= least[:, None]
+        i, j = np.nonzero(alive)
+        if plain and len(i) * DENSE > alive.size:  # doubles hold these sums exactly
+            scores = (q.astype(float) @ v.astype(float).T)[i, j].astype(np.int64)
+        else:
+            parts = [slice(a, a + 65536) for a in range(0, len(i), 65536)]
+            scores = np.concatenate([exact(q[i[p]], v[j[p]], small) for p in parts] or [np.zeros(0, np.int64)])
+        keep = scores >= least[i]
+        self.take(i[keep], x, j[keep], scores[keep], plain)
 
 
 def search(vectors: DataFrame, k: int = 5, every: int = EVERY) -> DataFrame:

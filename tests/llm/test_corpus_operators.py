@@ -384,6 +384,27 @@ def test_search_matches_brute_force(spark, seed, monkeypatch):
     assert searched(spark, rows) == plain_search(rows)
 
 
+def test_search_multiplies_blocks_where_bounds_rule_out_little(monkeypatch):
+    """Without structure nearly all pairs are left: they are scored by the block, in exact doubles, not pair by pair."""
+    rng = np.random.default_rng(3)
+    q, x = rng.integers(-256, 256, (40, 64)), rng.integers(-256, 256, (600, 64))
+    x[100:120] = x[7]  # ties
+
+    def block(data, first):
+        rows = np.arange(first, first + len(data), dtype="<i8")
+        return topk.Block(len(data), 64, rows.tobytes(), rows.tobytes(), bytes(len(data)), data.astype("<i8").tobytes())
+
+    pairs, plainly = [], topk.exact
+    monkeypatch.setattr(topk, "exact", lambda a, b, small: pairs.append(len(a)) or plainly(a, b, small))
+    best = topk.Best(block(q, 10_000), 5)
+    for first in (0, 300):
+        best.search(block(x[first : first + 300], first))
+    scores = q @ x.T
+    want = [sorted((-int(s), 0, j, j) for j, s in enumerate(row))[:5] for row in scores]
+    assert best.found == want
+    assert sum(pairs) <= 2 * 5 * len(q), pairs
+
+
 def test_search_few_large_and_none(spark):
     assert searched(spark, [(0, [1.0, 2.0]), (1, [3.0, 4.0])]) == [(0, 1, 1, 256 * 768 + 512 * 1024)]
     assert searched(spark, [(50, [1.0])]) == []
