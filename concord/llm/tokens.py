@@ -1,10 +1,10 @@
 """Token ids of whole texts, encoded piecewise.
 
 Both vocabularies used here never merge across the pieces cut below. Texts are
-taken in groups: marks after words are set apart, texts are cut at the spaces,
-and each different piece of a group is encoded once by the ``tokenizers``
-library; ids of all texts are then gathered with numpy. What is not a plain word
-is cut further by pattern. Pieces stay known from group to group in a bounded
+taken in groups: marks after words are set apart, texts are cut at the spaces
+and pieces are numbered, all by Arrow; each different piece of a group is encoded
+once by the ``tokenizers`` library, and ids of all texts are then gathered with
+numpy. What is not a plain word is cut further by pattern. Pieces stay known from group to group in a bounded
 cache: when its young half is full, that becomes the old half, and what is
 still used moves back. An entry takes about 230 bytes, so ``CACHED`` bounds
 a task to some 64 MB, which it gives back when it ends. Long pieces are not kept. A test compares with encoding
@@ -17,17 +17,19 @@ import re
 import sys
 import types
 from array import array
-from collections import defaultdict, deque
+from collections import deque
 from collections.abc import Iterable, Iterator
-from itertools import count
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from concord.llm.common import ids_of, tokenizer_path
 
 #: White space as the library's patterns have it (Python's own class also holds four control characters).
-SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 #: Letters before a space or a mark are a word of their own in both vocabularies.
 WORD = rf"[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+(?=[{SPACE}.,;:!?]|\Z)"
@@ -38,12 +40,19 @@ PIECES = {
     "word_bpe_49k.json": re.compile(rf"{WORD}|[^{SPACE}]+"),
     "byte_bpe_50k.json": re.compile(rf" ?{WORD}| ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"),
 }
-PLAIN = re.compile(r"[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
+LETTERS = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff"
+PLAIN = re.compile(f"[{LETTERS}]+")
 BLANK = re.compile(rf"[{SPACE}]")
 
 #: A mark between a letter or digit and a space is a piece of its own; a sign keeps it apart, another one marks what has no space before it.
 MARKS, APART, FIRST = ".,;:!?", "\x01", "\x02"
-ENDING = re.compile(rf"([{MARKS}]) (?<=[0-9A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff][{MARKS}] )")
+#: As Arrow has its patterns.
+ENDING, ENDING_APART = f"([0-9{LETTERS}])([{MARKS}]) ", f"\\1 {APART}\\2 "
+#: A line end without white space beside it, by vocabulary file: a space will do, or it is a piece of its own.
+LINE_ENDS = {
+    "word_bpe_49k.json": ("\n", " "),
+    "byte_bpe_50k.json": (f"([^{SPACE}])\n([^{SPACE}])", f"\\1 {APART}\n {FIRST}\\2"),
+}
 
 
 def spelling() -> dict[int, str]:
@@ -62,8 +71,10 @@ SPELT = {
 #: Whether white space is part of the tokens; where it is not, it only separates.
 SPACED = {"word_bpe_49k.json": False, "byte_bpe_50k.json": True}
 SPELLING = spelling()
-#: Pieces in both halves of the cache, the longest of them, and different pieces of a group of texts.
-CACHED, LONGEST, GROUP_PIECES = 280_000, 40, 250_000
+#: Pieces in both halves of the cache, the longest of them, and pieces of a group of texts, which has at most 8 times as many characters.
+CACHED, LONGEST, GROUP_PIECES = 280_000, 40, 1_500_000
+#: Words that the library is asked for, and pieces whose ids are gathered, at once.
+ASKED, GATHERED = 1024, 1 << 17
 
 
 def caches() -> dict[str, object]:
@@ -87,22 +98,14 @@ class Cache:
         return found
 
     def keep(self, key: str, value: bytes) -> None:
-        if len(key) > LONGEST:
-            return
-        if len(self.young) >= self.half:
-            self.young, self.old = {}, self.young
-        self.young[key] = value
-
-
-class Group:
-    """Texts as the numbers of their pieces."""
+        self.keep_all([key], [value])
 
-    def __init__(self):
-        self.names, self.order, self.texts = defaultdict(count().__next__), array("q"), []
-
-    def add(self, text: str, pieces: list[str], odd: bytes | None = None) -> None:
-        self.order.extend(map(self.names.__getitem__, pieces))
-        self.texts.append((text, len(pieces), odd))
+    def keep_all(self, keys: Iterable[str], values: Iterable[bytes]) -> None:
+        for key, value in zip(keys, values, strict=True):
+            if len(key) <= LONGEST:
+                if len(self.young) >= self.half:
+                    self.young, self.old = {}, self.young
+                self.young[key] = value
 
 
 class Encoder:
@@ -116,7 +119,7 @@ class Encoder:
             caches()[path] = Tokenizer.from_file(path)
         self.library, self.known = caches()[path], Cache(CACHED)
         self.pieces, self.spelt, self.spaced = PIECES[name], SPELT[name], SPACED[name]
-        self.model = self.library.model
+        self.model, self.line_end = self.library.model, LINE_ENDS[name]
         self.end = np.array([end_id], dtype="<u4").tobytes()
 
     def __call__(self, text: str | None) -> np.ndarray:
@@ -124,17 +127,16 @@ class Encoder:
 
     def many(self, texts: Iterable[str | None]) -> Iterator[np.ndarray]:
         """The ids of each text, in order."""
-        group = Group()
+        group, pieces, characters = [], 0, 0
         for text in texts:
             text = text or ""
             # a special token also decides how the space before it is cut
-            if "<|" in text or APART in text or FIRST in text:
-                group.add(text, [], self.encoded(text))
-            else:
-                group.add(text, (FIRST + ENDING.sub(f" {APART}\\1 ", text)).split(" ") if text else [])
-            if len(group.names) >= GROUP_PIECES or len(group.order) >= 16 * GROUP_PIECES:
+            odd = "<|" in text or APART in text or FIRST in text
+            group.append((text, self.encoded(text) if odd else None))
+            pieces, characters = pieces + text.count(" ") + 1, characters + len(text)
+            if pieces >= GROUP_PIECES or characters >= 8 * GROUP_PIECES:
                 yield from self.encode_group(group)
-                group = Group()
+                group, pieces, characters = [], 0, 0
         yield from self.encode_group(group)
 
     def batches(self, batches: Iterable[pd.DataFrame]) -> Iterator[tuple[int | None, np.ndarray]]:
@@ -149,28 +151,67 @@ class Encoder:
         for ids in self.many(texts()):
             yield waiting.popleft(), ids
 
-    def encode_group(self, group: Group) -> Iterator[np.ndarray]:
-        values = list(map(self.known.young.get, group.names))
-        values = [self.chunk(k) if v is None else v for k, v in zip(group.names, values, strict=True)]
+    def encode_group(self, group: list[tuple[str, bytes | None]]) -> Iterator[np.ndarray]:
+        """The ids of each text of a group; an odd text comes with its ids."""
+        texts = pa.array([FIRST + text if text and odd is None else None for text, odd in group], pa.large_string())
+        texts = pc.replace_substring_regex(texts, *self.line_end)
+        pieces = pc.split_pattern(pc.replace_substring_regex(texts, ENDING, ENDING_APART), " ")
+        upto = np.cumsum(pc.fill_null(pc.list_value_length(pieces), 0).to_numpy(), dtype=np.int64)
+        named = pieces.flatten().dictionary_encode()
+        order = named.indices.to_numpy()
+        del texts, pieces
+        values = self.chunks(named.dictionary)
         nothing = np.array([v is None for v in values], dtype=bool)
         lengths = np.array([len(v or b"") // 4 for v in values], dtype=np.int64)
-        ids = np.frombuffer(b"".join(v or b"" for v in values), dtype="<u4")
-        starts, order = np.cumsum(lengths) - lengths, np.frombuffer(group.order, dtype=np.int64)
-        at = 0
-        for text, size, odd in group.texts:
-            own, at = order[at : at + size], at + size
-            if odd is not None:
-                yield np.frombuffer(odd + self.end, dtype="<u4")
-            elif nothing[own].any():  # white space meets white space
-                yield np.frombuffer(self.cut(text) + self.end, dtype="<u4")
-            else:
-                n = lengths[own]
-                upto = np.cumsum(n)
-                total = int(upto[-1]) if size else 0
-                out = np.empty(total + 1, dtype="<u4")
-                out[:total] = ids[np.repeat(starts[own] - upto + n, n) + np.arange(total)]
-                out[total:] = np.frombuffer(self.end, dtype="<u4")
-                yield out
+        ids = np.frombuffer(b"".join([v or b"" for v in values]), dtype="<u4")
+        starts, first, at = np.cumsum(lengths) - lengths, 0, 0
+        while first < len(group):
+            last = max(first + 1, int(np.searchsorted(upto, at + GATHERED, "right")))
+            own, ends = order[at : upto[last - 1]], upto[first:last] - at
+            n = lengths[own]
+            before = np.concatenate([[0], np.cumsum(n)])
+            out = ids[np.repeat(starts[own] - before[:-1], n) + np.arange(before[-1])]
+            gaps = np.concatenate([[0], np.cumsum(nothing[own])])[ends]
+            start = gap = 0
+            for (text, odd), end, gap_upto in zip(group[first:last], before[ends].tolist(), gaps.tolist(), strict=True):
+                if odd is not None:
+                    yield np.frombuffer(odd + self.end, dtype="<u4")
+                elif gap_upto > gap:  # white space meets white space
+                    yield np.frombuffer(self.cut(text) + self.end, dtype="<u4")
+                else:
+                    yield np.frombuffer(out[start:end].tobytes() + self.end, dtype="<u4")
+                start, gap = end, gap_upto
+            first, at = last, int(upto[last - 1])
+
+    def chunks(self, names: pa.Array) -> list[bytes | None]:
+        """As ``chunk`` for different chunks; plain words that are not known go to the library one after another."""
+        plain = pc.match_substring_regex(names, f"^[{LETTERS}]+$").to_numpy(zero_copy_only=False).tolist()
+        names, known = names.to_numpy(zero_copy_only=False).tolist(), self.known
+        values = list(map(known.young.get, names))
+        new = []
+        for i, value in enumerate(values):
+            if value is None:
+                if plain[i] and names[i] not in known.old:
+                    new.append(i)
+                else:
+                    values[i] = self.chunk(names[i])
+        for k in range(0, len(new), ASKED):
+            places = new[k : k + ASKED]
+            words = [names[i] for i in places]
+            tokens = list(map(self.model.tokenize, self.spelt_all(words)))
+            ids = array("I", [t.id for own in tokens for t in own]).tobytes()
+            ends = list(accumulate([4 * len(own) for own in tokens]))
+            found = [ids[start:end] for start, end in zip([0, *ends], ends)]
+            known.keep_all(words, found)
+            for i, value in zip(places, found, strict=True):
+                values[i] = value
+        return values
+
+    def spelt_all(self, words: list[str]) -> list[str]:
+        """Plain words with a space before them, as the model gets them; letters of ASCII are spelt as they are."""
+        if self.spaced:
+            return [SPELLING[32] + word if word.isascii() else self.spelt(word, True) for word in words]
+        return [word.lower() if word.isascii() else self.spelt(word, True) for word in words]
 
     def encoded(self, text: str) -> bytes:
         return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
@@ -198,7 +239,9 @@ class Encoder:
 
     def cut(self, text: str) -> bytes:
         """Ids of any text, piece by piece."""
-        return b"".join(map(self.piece, self.pieces.findall(text)))
+        pieces, get = self.pieces.findall(text), self.known.young.get
+        values = map(get, [FIRST + piece for piece in pieces])
+        return b"".join([self.piece(p) if v is None else v for p, v in zip(pieces, values)])
 
     def piece(self, piece: str) -> bytes:
         ids = self.known.get(key := FIRST + piece)

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import random
+import sys
 import zlib
 
 import numpy as np
@@ -241,6 +242,28 @@ def test_groups_of_texts_give_the_ids_of_each(encoded, small_docs, odd, name, mo
         assert [g.tolist() for g in got] == [ids.tolist() for ids in encoded(name, texts)]
 
 
+@pytest.mark.parametrize("name", NAMES)
+def test_white_space_and_marks_in_any_order(encoded, name):
+    rng = random.Random(3)
+    parts = ["a", "Bc", "é", "7", ".", ",", "!", "\n", "\n", " ", "\r", "\t", "\u2028", "-", "&&&", "\x85"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(12))) for _ in range(6000)]
+    assert [g.tolist() for g in Encoder(name).many(texts)] == [ids.tolist() for ids in encoded(name, texts)]
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_a_new_word_costs_no_call_of_its_own(name):
+    """What Python does for a word is in loops over many: in op6 and op9 most of the time goes to new words."""
+    letters = "abcdefghij"
+    words = ["".join(letters[int(d)] for d in str(100_000 + 7 * i)) for i in range(5000)]
+    calls, own = collections.Counter(), Encoder(name)
+    sys.setprofile(lambda frame, event, arg: calls.update([event]))
+    try:
+        list(own.many([" ".join(words[:2500]) + ".\n" + " ".join(words[2500:])]))
+    finally:
+        sys.setprofile(None)
+    assert calls["call"] < 1000
+
+
 @pytest.mark.parametrize("bits", [1, 5, 8, 13, 16, 17, 32])
 def test_bit_packing(bits):
     ids = np.random.default_rng(bits).integers(0, 2**bits, 1001).astype("<u4")
