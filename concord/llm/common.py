@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -71,6 +73,25 @@ def open_store(path: str):
     return fs.FileSystem.from_uri(path)
 
 
+def give_back() -> None:
+    """What this process has freed goes back to the system: Python workers outlive their tasks, and keep it otherwise."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # of the C library of Linux
+        trim(0)
+
+
+def giving_back(work: Callable[[Iterable], Iterator]) -> Callable[[Iterable], Iterator]:
+    """``work`` on the batches of a task, whose memory is given back when it ends."""
+
+    def rows(batches: Iterable) -> Iterator:
+        yield from work(batches)
+        give_back()
+
+    return rows
+
+
 TYPES = {"long": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(), "string": T.StringType()}
 TYPES |= {"boolean": T.BooleanType(), "binary": T.BinaryType()}
 

@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from concord.llm.common import ids_of, keyed, n_tasks, schema, utf8, written
+from concord.llm.common import giving_back, ids_of, keyed, n_tasks, schema, utf8, written
 from concord.llm.components import components
 
 SHINGLE = 5
@@ -120,7 +120,7 @@ def sketches(docs: DataFrame, row: Column | None = None) -> DataFrame:
             yield pd.DataFrame(out, columns=SKETCH.names).astype({"doc_id": "Int64"})
 
     row = F.monotonically_increasing_id() if row is None else row
-    return docs.select(*keyed("text"), row.alias("at")).mapInPandas(rows, SKETCH)
+    return docs.select(*keyed("text"), row.alias("at")).mapInPandas(giving_back(rows), SKETCH)
 
 
 def stars(classes: DataFrame) -> DataFrame:
@@ -153,7 +153,7 @@ def full_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 
     nodes = nodes.select(F.col("doc_id").alias("id"), "node", "print")
     texts = docs.select("doc_id", "text").join(nodes, F.col("doc_id").eqNullSafe(F.col("id")))
-    return texts.select("node", "print", "text").mapInPandas(rows, schema(node="long", data="binary"))
+    return texts.select("node", "print", "text").mapInPandas(giving_back(rows), schema(node="long", data="binary"))
 
 
 def shared(a: np.ndarray, b: np.ndarray) -> int:
@@ -191,7 +191,7 @@ def plausible(pairs: DataFrame, heads: DataFrame) -> DataFrame:
 
     first = heads.select(F.col("node").alias("a"), F.col("signature").alias("s"))
     second = heads.select(F.col("node").alias("b"), F.col("signature").alias("t"))
-    return pairs.join(first, "a").join(second, "b").select("a", "b", "s", "t").mapInPandas(rows, LINKS)
+    return pairs.join(first, "a").join(second, "b").select("a", "b", "s", "t").mapInPandas(giving_back(rows), LINKS)
 
 
 CELL = ["a", "cell", "side", "node", "label", "data"]
@@ -215,7 +215,7 @@ def in_cells(rows: DataFrame, work, result=LINKS) -> DataFrame:
             yield pd.DataFrame(work(held), columns=result.names)
 
     rows = rows.select(CELL).repartition(n_tasks(rows.sparkSession), "a", "cell")
-    return rows.sortWithinPartitions("a", "cell", "side", "node").mapInPandas(cells, result)
+    return rows.sortWithinPartitions("a", "cell", "side", "node").mapInPandas(giving_back(cells), result)
 
 
 def star_links(pairs: DataFrame, sets: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from concord.llm.common import keyed, schema
+from concord.llm.common import giving_back, keyed, schema
 from concord.llm.tokens import Encoder
 
 WINDOW = 2048
@@ -170,4 +170,4 @@ def pack(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", with_ids: bool
         yield packer.rows(with_ids)
 
     result = T.StructType([*RESULT.fields, T.StructField("ids", T.ArrayType(T.LongType()))]) if with_ids else RESULT
-    return docs.select(*keyed("text")).mapInPandas(tasks, result)
+    return docs.select(*keyed("text")).mapInPandas(giving_back(tasks), result)

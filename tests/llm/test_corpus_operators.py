@@ -2,7 +2,9 @@
 
 import collections
 import hashlib
+import os
 import random
+import subprocess
 import sys
 import zlib
 
@@ -324,6 +326,52 @@ def check_packing(rows, got, ids):
     return padding
 
 
+#: A packing task over a few MB of words, one in eight of them new, in a process that has packed a little before.
+PACKED = """
+import random, re
+import pandas as pd
+from concord.llm import packing
+
+def held():
+    found = re.findall(r"\\nAnonymous:\\s+(\\d+)", open("/proc/self/smaps_rollup").read())
+    return sum(map(int, found)) / 1024
+
+class Docs:
+    select = lambda self, *columns: self
+    mapInPandas = lambda self, work, schema: work
+
+class Task:
+    partitionId = staticmethod(lambda: 0)
+
+class Context:
+    get = staticmethod(lambda: Task)
+
+packing.keyed, packing.TaskContext = (lambda *others: others), Context
+rng = random.Random(3)
+word = lambda: "".join(rng.choices("abcdefghij", k=9)) if rng.random() < 0.125 else "word" + "abcdef"[rng.randrange(6)]
+
+def batches(n):
+    for i in range(n):
+        texts = [" ".join(word() for _ in range(250)) for _ in range(400)]
+        yield pd.DataFrame({"doc_id": range(len(texts)), "no_id": False, "text": texts})
+
+for _ in packing.pack(Docs())(batches(1)):
+    pass
+before = held()
+for _ in packing.pack(Docs())(batches(10)):
+    pass
+print(held() - before)
+"""
+
+
+@pytest.mark.skipif(not os.path.exists("/proc/self/smaps_rollup"), reason="memory can't be read here")
+def test_a_packing_task_gives_its_memory_back():
+    """Python workers live on after a task: what they kept from it added up over the stages of the pipeline."""
+    top = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    done = subprocess.run([sys.executable, "-c", PACKED], cwd=top, capture_output=True, text=True, timeout=300)
+    assert float(done.stdout) < 40, (done.stdout, done.stderr)
+
+
 def test_packing_places_each_id_once(make_docs, encoded, small_docs, odd):
     rows = small_docs + [(5000 + i, t) for i, t in enumerate(odd)] + [(None, "no id here")]
     got = packing.pack(make_docs(rows)).collect()
