@@ -33,12 +33,19 @@ WATTS = {"m1": 45.0, "m2": 18.0, "m3": 42.0, "m4": 50.0, "m5": 44.0, "m6": 12.0}
 
 #: Most bytes that a task over votes reads from files or, compressed, from a shuffle.
 FILE_BYTES, SHUFFLE_BYTES = 16 << 20, 8 << 20
+#: Shares of a shuffle for each task that reads files, before Spark joins small ones.
+SHARES = 4
 
 
-def bounded(spark: SparkSession) -> None:
-    """Tasks over votes take a fixed share of the input: they sort what they read, in some 25 times the compressed bytes."""
+def bounded(spark: SparkSession, rows: DataFrame) -> None:
+    """Tasks over votes take a fixed share of ``rows``: they sort what they read, in some 25 times the compressed bytes.
+
+    Spark joins small shares but splits none, so there are enough from the start, whatever the session's number of them.
+    """
     spark.conf.set("spark.sql.files.maxPartitionBytes", str(FILE_BYTES))
     spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", str(SHUFFLE_BYTES))
+    shares = max(int(spark.conf.get("spark.sql.shuffle.partitions")), SHARES * rows.rdd.getNumPartitions())
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(shares))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,8 +54,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def votes_wide(spark: SparkSession, sf_dir: str, latency: bool = False) -> DataFrame:
     """One row per order with ``m1..m7``, raw predictions, and maybe ``m1_time..m7_time``."""
-    bounded(spark)
     rows = table(spark, sf_dir, "lineitem")
+    bounded(spark, rows)
     failed = (F.col("l_returnflag") == "R") & (F.col("l_linestatus") == "O") & (F.col("l_quantity") < 10)
     whole = F.concat("l_returnflag", "l_linestatus")
     label = F.when(failed, F.lit(fixed_values.ERROR_PROCESSING)).otherwise(whole)

@@ -1,5 +1,7 @@
 """Vote operators on hand-made edge cases."""
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.errors import PySparkException
@@ -294,6 +296,27 @@ def test_vote_tasks_take_a_fixed_share(spark):
             spark.conf.set(name, before[name])
 
 
+def test_vote_shares_grow_in_number_with_the_table(spark, tmp_path):
+    """Spark splits no share of a shuffle, so their number follows the files and not the session alone."""
+    from concord.plans.all_queries import QUERIES
+    from conftest import SMALL
+
+    spark.read.parquet(f"{SMALL}/lineitem.parquet").repartition(12).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.read.parquet(f"{SMALL}/orders.parquet").write.parquet(f"{tmp_path}/orders.parquet")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    try:
+        for name in ("family_alignment", "unique_vote", "upsert_model", "pivot_votes"):
+            few, many = (QUERIES[name](spark, path) for path in (SMALL, str(tmp_path)))
+            plan = many._jdf.queryExecution().executedPlan().toString()
+            shares = [int(n) for n in re.findall(r"hashpartitioning\(item_id#\d+L?, (\d+)\)", plan)]
+            assert shares and min(shares) >= 24, (name, plan)
+            assert sorted(map(str, many.collect())) == sorted(map(str, few.collect())), name
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.initialPartitionNum")
+
+
 def test_upsert_and_reindex(spark, long):
     fresh = votes_of(spark, {1: {"p": "z"}, 99: {"p": "z"}}).drop("model")
     merged = joins.upsert_model(long, fresh, "p", records_of(spark, [1, 2]))
